@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .mixing import mix_digest
+from .sharding import shard_digest
 from .simhash import near_duplicates
 
 
@@ -14,8 +16,18 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(documents(spark, sf_dir))
+
+
+def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op10_sainte_lague_mix": op10_sainte_lague_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
