@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, table
+from .decontam import hit_digest
 from .mixing import mix_digest
 from .sharding import shard_digest
 from .simhash import near_duplicates
@@ -16,6 +17,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hit_digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
@@ -26,6 +31,7 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op10_sainte_lague_mix": op10_sainte_lague_mix,
 }
