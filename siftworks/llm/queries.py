@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, table
 from .decontam import hit_digest
 from .mixing import mix_digest
+from .records import token_records
 from .sharding import shard_digest
 from .simhash import near_duplicates
 
@@ -17,6 +18,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit_digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +36,7 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_token_records": op2_token_records,
     "op3_decontamination": op3_decontamination,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op10_sainte_lague_mix": op10_sainte_lague_mix,
