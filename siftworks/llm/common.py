@@ -50,5 +50,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, kind: str = "table") -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and its path. Cuts the lineage: a lost executor costs no more than its own unread tasks."""
     path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if its rows, which are counted, are at most so many; else df as it is, for a shuffled join. df should be cheap to count, as a written table is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
