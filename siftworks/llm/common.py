@@ -26,6 +26,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def once(c: Column) -> Column:
+    """c, in a form that the optimiser never copies into the expressions that use it, where it would be evaluated for each use, or each element of an array. The test always holds."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, which only a local master may leave so, a new temporary folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)

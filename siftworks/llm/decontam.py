@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, once, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -100,7 +100,7 @@ def with_hits(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "t
     """
     windows, _ = written(item_windows(items, n).groupBy("length", "gram").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
     sizes = {r.length: r["count"] for r in windows.groupBy("length").count().collect()}
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__sw_row0"), words(F.col(text_col)).alias("w"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__sw_row0"), once(words(F.col(text_col))).alias("w"))
     if not sizes:
         out = packed.select("*", F.array().cast("array<int>").alias("__sw_hit"), F.array().cast("array<string>").alias("__sw_items"))
     elif sum(sizes.values()) <= max_broadcast:
