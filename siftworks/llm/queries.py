@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, table
 from .decontam import hit_digest
 from .fertility import judge
+from .linededup import removal_digest
 from .mixing import mix_digest
 from .records import token_records
 from .sharding import shard_digest
@@ -31,6 +32,10 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
+def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(documents(spark, sf_dir))
+
+
 def op9_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op3_decontamination": op3_decontamination,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op7_winnowing_line_dedup": op7_winnowing_line_dedup,
     "op9_tokenizer_fertility": op9_tokenizer_fertility,
     "op10_sainte_lague_mix": op10_sainte_lague_mix,
 }
