@@ -11,7 +11,9 @@ from .decontam import hit_digest
 from .fertility import judge
 from .linededup import removal_digest
 from .mixing import mix_digest
+from .pii import pii_digest
 from .records import token_records
+from .secrets import secret_digest
 from .sharding import shard_digest
 from .simhash import near_duplicates
 
@@ -32,10 +34,18 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
+def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(documents(spark, sf_dir))
+
+
 def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(documents(spark, sf_dir))
 
 
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(documents(spark, sf_dir))
+
+
 def op9_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
@@ -49,7 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op3_decontamination": op3_decontamination,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op5_contextual_pii": op5_contextual_pii,
     "op7_winnowing_line_dedup": op7_winnowing_line_dedup,
+    "op8_secret_ownership": op8_secret_ownership,
     "op9_tokenizer_fertility": op9_tokenizer_fertility,
     "op10_sainte_lague_mix": op10_sainte_lague_mix,
 }
