@@ -16,6 +16,7 @@ from .records import token_records
 from .secrets import secret_digest
 from .sharding import shard_digest
 from .simhash import near_duplicates
+from .weaklabel import classify
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(documents(spark, sf_dir))
 
 
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir))
+
+
 def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op5_contextual_pii": op5_contextual_pii,
+    "op6_weak_label_quality": op6_weak_label_quality,
     "op7_winnowing_line_dedup": op7_winnowing_line_dedup,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_tokenizer_fertility": op9_tokenizer_fertility,
