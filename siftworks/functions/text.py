@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What a page says that stands in for a feed.
 CHALLENGE = ("sgcaptcha", "cf-chl", "cdn-cgi/challenge-platform", "checking your browser before accessing", "attention required! | cloudflare", "just a moment...")
@@ -40,7 +41,7 @@ def visible_length(c: Column) -> Column:
     return F.length(html_text(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(style|script)\b.*?</\1>", " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """HTML entities as characters, in Arrow batches."""
     for s in rows:
