@@ -18,6 +18,7 @@ committed, retried and placed on any file system as those of any other Spark wri
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import UPPER, fresh_path, worker_state, written
 
+LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 MASK = 0xA282EAD8
-#: Words whose ids a worker keeps, and the longest of them in bytes: about 60 MB.
-KEPT_WORDS, KEPT_BYTES = 250_000, 48
-SEPARATOR = "<|startoftext|>"
+#: Words whose ids a worker keeps, and the longest of them in bytes: about 120 MB. When these are full, rarer words are encoded anew.
+KEPT_WORDS, KEPT_BYTES = 500_000, 48
+#: Stands between words that are encoded in one call; words that hold it are encoded alone.
+SEPARATOR = "|"
 
 
 class CorruptRecord(ValueError):
@@ -80,44 +83,62 @@ def read_frame(data: bytes | memoryview, at: int = 0) -> tuple[memoryview, int]:
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library.
 
-    ASCII white space always parts tokens of this vocabulary, so the ids of a text are those of its words; words are
-    encoded once and kept, the new ones of some texts all in one call.
+    ASCII white space always parts tokens of this vocabulary, and so does a full stop or comma after an ASCII letter;
+    letters count as lower case. So the ids of a text are those of its words, and words are encoded once and kept, the
+    new ones of some texts all in one call.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = int(self.kind[-1])
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        kind = f"<u{self.width}"
-        plain = [w for w in words if b"<|" not in w] if self.separator is not None else []
-        got = {w: np.array(self._ids(w.decode()), dtype=kind).tobytes() for w in set(words).difference(plain)}
-        if plain:
-            ids = np.array(self._ids(SEPARATOR.join(w.decode() for w in plain)), dtype=kind)
-            ends = [*np.flatnonzero(ids == self.separator).tolist(), len(ids)]
-            at = 0
-            for w, end in zip(plain, ends, strict=True):
-                got[w] = ids[at:end].tobytes()
+        self.stops = {c: self._alone(c) for c in b".,"}
+        self.separator = np.frombuffer(self._alone(ord(SEPARATOR)), dtype=self.kind)
+        if len(self.separator) != 1:
+            raise ValueError("this vocabulary has no token for the separator")
+
+    def _alone(self, word: bytes | int) -> bytes:
+        text = chr(word) if isinstance(word, int) else word.decode()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _together(self, words: list[bytes]) -> dict[bytes, bytes]:
+        got = {}
+        lists = [words[i : i + 100] for i in range(0, len(words), 100)]
+        joined = [f" {SEPARATOR} ".join(w.decode() for w in ws) for ws in lists]
+        for ws, e in zip(lists, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.kind)
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(ws, [*np.flatnonzero(ids == self.separator[0]).tolist(), len(ids)], strict=True):
+                got[w] = raw[self.width * at : self.width * end]
                 at = end + 1
         return got
 
+    def _encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words; all of them are in lower case unless they hold a special token."""
+        odd = {w for w in words if b"|" in w or any(t in w for t in self.special)}
+        ended = {w: w[:-1] for w in words - odd if len(w) > 1 and w[-1] in self.stops and 97 <= w[-2] <= 122}
+        new = {b for b in ended.values() if b not in self.kept} | (words - odd - ended.keys())
+        got = self._together(list(new))
+        got |= {w: self._alone(w) for w in odd}
+        return got | {w: (self.kept[b] if b in self.kept else got[b]) + self.stops[w[-1]] for w, b in ended.items()}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.kept})
-        more = self._encode(new) if new else {}
-        if len(self.kept) + len(more) > KEPT_WORDS:
-            self.kept = {}
-            more |= self._encode(list({w for ws in split for w in ws if w not in more}))
-        have = self.kept | more if len(self.kept) < len(more) else {**self.kept, **more}
-        out = [b"".join([have[w] for w in ws]) for ws in split]
-        self.kept.update((w, i) for w, i in more.items() if len(w) <= KEPT_BYTES)
+        raw = [(t or "").encode() for t in texts]
+        split = [(r if any(t in r for t in self.special) else r.translate(LOWER)).split() for r in raw]
+        kept = self.kept
+        more = self._encode({w for ws in split for w in ws if w not in kept})
+        if not more:
+            return [b"".join([kept[w] for w in ws]) for ws in split]
+        room = KEPT_WORDS - len(kept)
+        kept.update(more)
+        out = [b"".join([kept[w] for w in ws]) for ws in split]
+        for w in more if room < len(more) else [w for w in more if len(w) > KEPT_BYTES]:
+            del kept[w]
         return out
 
 
@@ -132,7 +153,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = Encoder(tokenizer or public_tokenizers.path(TOKENIZER))
+        file = tokenizer or public_tokenizers.path(TOKENIZER)
+        encoder = worker_state(f"encoder {file}", lambda: Encoder(file))
         end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
@@ -177,8 +199,6 @@ SCAN = pa.schema([("file", pa.string()), *((n, pa.int64()) for n in ("record", "
 
 def write_index(spark: SparkSession, path: str, index: str) -> None:
     """Writes the offset index of the record files at path: scan_records and start, the ids in all records before, as Parquet."""
-    from .common import written
-
     found, _ = written(scan_records(spark, path), "frames")
     sums = found.groupBy("number").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
