@@ -55,7 +55,7 @@ def _rows(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
     spans = F.concat(*[F.expr(f"transform({k}, x -> struct(x.s as s, x.e as e))") for k in BASE])
     out = out.withColumn("__sw_spans", once(F.array_sort(spans)))
     each = f"transform(arrays_zip(f_t, r_t), y -> struct(y.f_t.s as s, y.f_t.e as e, {clean.format('y.f_t.m')} as token, transform(array(y.r_t), x -> {pattern})[0] as pattern, exists(__sw_spans, b -> b.s >= y.f_t.s AND b.s < y.f_t.e) as known, exists(__sw_spans, b -> b.s < y.f_t.e AND b.e > y.f_t.s) as taken))"
-    tokens = F.expr(f"filter({each}, x -> x.pattern IS NOT NULL AND length(x.token) >= 5 AND (x.known OR NOT x.taken) AND rlike(x.token, '[0-9].*[0-9].*[0-9]'))")
+    tokens = F.expr(f"filter({each}, x -> x.pattern IS NOT NULL AND (x.known OR NOT x.taken AND length(x.token) >= 5 AND rlike(x.token, '[0-9].*[0-9].*[0-9]')))")
     return out.select(*carry, *BASE, tokens.alias("t"))
 
 
