@@ -10,11 +10,13 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+FOLDED = pa.schema([("url", pa.string()), ("slot", pa.int64()), ("kept", pa.bool_()), ("matched", pa.string()), ("sim", pa.float64()), ("filter_type", pa.string())])
 VERBATIM, OVERLAP, TOPIC = 0.90, 0.60, 0.30
 
 
@@ -29,27 +31,27 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: st
     a, b = _blocks(left, key_l, vector, "l", block), _blocks(right, key_r, vector, "r", block)
     kind_a, kind_b = left.schema[key_l].dataType.simpleString(), right.schema[key_r].dataType.simpleString()
 
-    def unit(rows: list) -> tuple[list, np.ndarray, np.ndarray]:
-        size = np.array([len(r["v"]) if r["v"] is not None else 0 for r in rows])
-        m = np.zeros((len(rows), max(1, size.max(initial=1))))
-        for i, r in enumerate(rows):
-            m[i, : size[i]] = r["v"] if size[i] else []
+    def unit(cell: pa.ListScalar) -> tuple[list, np.ndarray, np.ndarray]:
+        keys, vectors = cell.values.flatten()
+        size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        m = np.zeros((len(keys), max(1, size.max(initial=1))))
+        m[np.arange(m.shape[1])[None, :] < size[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return [r["k"] for r in rows], np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), size
+        return keys, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for l, r in zip(batch["l"], batch["r"], strict=True):
-                ka, ma, sa = unit(list(l))
-                kb, mb, sb = unit(list(r))
+            for left_cell, right_cell in zip(batch.column("l"), batch.column("r"), strict=True):
+                ka, ma, sa = unit(left_cell)
+                kb, mb, sb = unit(right_cell)
                 width = max(ma.shape[1], mb.shape[1])
                 ma, mb = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (ma, mb))
                 sim = np.where(sa[:, None] == sb[None, :], ma @ mb.T, 0.0)
                 i, j = np.nonzero(sim >= threshold)
-                yield pd.DataFrame({"a": [ka[x] for x in i], "b": [kb[x] for x in j], "sim": sim[i, j]})
+                yield pa.RecordBatch.from_arrays([ka.take(pa.array(i)), kb.take(pa.array(j)), pa.array(sim[i, j])], names=["a", "b", "sim"])
 
     pairs = a.crossJoin(b)  # of blocks, not of rows
-    return pairs.repartition(max(1, min(2000, pairs.count()))).mapInPandas(run, f"a {kind_a}, b {kind_b}, sim double")
+    return pairs.repartition(max(1, min(2000, pairs.count()))).mapInArrow(run, f"a {kind_a}, b {kind_b}, sim double")
 
 
 def _tiers(pairs: DataFrame, left: DataFrame, right: DataFrame, verbatim: float, overlap: float) -> DataFrame:
@@ -112,10 +114,10 @@ def greedy_dedup(items: DataFrame, verbatim: float = VERBATIM, overlap: float =
     near = own.groupBy("a").agg(F.collect_list(F.struct("b", "sim", "filter_type")).alias("near"))
     rows = items.select("url", "pos", "fetched_at").join(near, F.col("url") == F.col("a")).drop("a").join(roots, F.col("url") == F.col("node")).drop("node")
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
+    def fold(group: pa.Table) -> pa.Table:
         slots: list[dict] = []
         out = []
-        for r in sorted(group.to_dict("records"), key=lambda r: r["pos"]):
+        for r in sorted(group.to_pylist(), key=lambda r: r["pos"]):
             links = {n["b"]: n for n in r["near"]}
             hit = None
             for s in slots:
@@ -129,11 +131,11 @@ def greedy_dedup(items: DataFrame, verbatim: float = VERBATIM, overlap: float =
             gone, stays = (s["url"], r["url"]) if r["fetched_at"] < s["fetched_at"] else (r["url"], s["url"])
             if gone == s["url"]:
                 s.update(url=r["url"], fetched_at=r["fetched_at"])
-            out.append((gone, None, False, stays, n["sim"], n["filter_type"]))
-        out += [(s["url"], s["slot"], True, None, None, None) for s in slots]
-        return pd.DataFrame(out, columns=["url", "slot", "kept", "matched", "sim", "filter_type"]).astype({"slot": "Int64", "sim": "float64"})
+            out.append({"url": gone, "kept": False, "matched": stays, "sim": n["sim"], "filter_type": n["filter_type"]})
+        out += [{"url": s["url"], "slot": s["slot"], "kept": True} for s in slots]
+        return pa.Table.from_pylist(out, schema=FOLDED)
 
-    told = rows.groupBy("root").applyInPandas(fold, "url string, slot long, kept boolean, matched string, sim double, filter_type string")
+    told = rows.groupBy("root").applyInArrow(fold, "url string, slot long, kept boolean, matched string, sim double, filter_type string")
     told = told.withColumnRenamed("url", "u")
     joined = items.join(told, F.col("url") == F.col("u"), "left").drop("u")
     return joined.withColumns({"kept": F.coalesce("kept", F.lit(True)), "slot": F.when(F.coalesce("kept", F.lit(True)), F.coalesce("slot", F.col("pos")))})
