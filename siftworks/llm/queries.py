@@ -72,4 +72,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sainte_lague_mix": op10_sainte_lague_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Only what SQL has: no XXH64, no tokenisers, no fits; those queries are held against brute force in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+j AS (SELECT item, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM j)),
+x AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d CROSS JOIN (SELECT DISTINCT n FROM g)),
+h AS (SELECT doc_id, s, x.n, item FROM x JOIN g ON g.n = x.n AND g.gram = array_to_string(list_slice(w, s, s + x.n - 1), ' ')),
+p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS at FROM h) GROUP BY doc_id),
+q AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id""",
+    "op4_rendezvous_sharding": """
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+b AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(h), 2), lambda o: CAST('0x' || substr(h, o + 1, 2) AS BIGINT))), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8))) AS text_crc32 FROM b, t),
+s AS (SELECT c.*, n.s, -ln((CAST('0x' || substr(md5(k || '#' || n.s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS score FROM c CROSS JOIN range(9) n(s)),
+m AS (SELECT doc_id, size, text_crc32, CAST(arg_min(s, score) FILTER (WHERE s < 8) AS INTEGER) AS shard, CAST(arg_min(s, score) AS INTEGER) AS grown_shard FROM s GROUP BY doc_id, size, text_crc32)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS BIGINT) AS slot, grown_shard FROM m""",
+}
