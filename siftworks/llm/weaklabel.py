@@ -30,7 +30,7 @@ FUNCTION_WORDS = frozenset((
     "le la les de des et est un une du en que qui dans pour pas sur plus par au ce il "
     "el los las del y en por con para una su al lo como más pero se"
 ).split())
-#: Documents that train the scorer: those with the least hashes of their texts. Buckets of features.
+#: Distinct texts that train the scorer: those with the least hashes. Buckets of features.
 SAMPLE, BUCKETS = 6_000, 1 << 14
 KEPT_WORDS, KEPT_CHARS = 200_000, 32
 
@@ -100,24 +100,26 @@ def features(word: str) -> tuple[int, int]:
     return zlib.crc32(b"w" + word.lower().encode("utf-8", "surrogatepass")) % BUCKETS, zlib.crc32(b"s" + shape.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer over the mean of the words' two features, scaled; Adam on all rows at once."""
-    at, row, val = [], [], []
-    for i, t in enumerate(texts):
-        words = t.split()
-        seen: dict[int, int] = {}
-        for w in words:
-            for b in features(w):
-                seen[b] = seen.get(b, 0) + 1
-        at += seen.keys()
-        row += [i] * len(seen)
-        val += [SCALE * n / len(words) for n in seen.values()]
-    at_, row_, val_ = np.array(at, dtype=int), np.array(row, dtype=int), np.array(val)
+def sparse(text: str) -> tuple[list[int], list[float]]:
+    """The buckets of a text's words and shapes, and the scaled mean of each; none for a text without words."""
+    words = text.split()
+    seen: dict[int, int] = {}
+    for w in words:
+        for b in features(w):
+            seen[b] = seen.get(b, 0) + 1
+    return list(seen), [SCALE * n / len(words) for n in seen.values()]
+
+
+def train(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer over rows as of sparse; Adam on all rows at once."""
+    at_ = np.array([b for r in rows for b in r[0]], dtype=int)
+    val_ = np.array([v for r in rows for v in r[1]], dtype=float)
+    row_ = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     w, bias = np.zeros(BUCKETS), 0.0
     m, s, mb, sb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     weight = 1 + 2 * (1 - labels)  # bad documents are few
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row_, w[at_] * val_, len(texts)) + bias, -60, 60)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row_, w[at_] * val_, len(rows)) + bias, -60, 60)))
         err = (p - labels) * weight / weight.sum()
         g, gb = np.bincount(at_, err[row_] * val_, BUCKETS) + decay * w, err.sum()
         m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
@@ -133,8 +135,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """id, posterior (of the labellers' votes), score (of the scorer, from 0 to 1) and kept (score of one half at least) of each row.
 
     A null text counts as an empty one, whose score is 0. Rows that repeat
-    are scored each; null ids stay null. An empty table gives an empty one. sample bounds the documents that train the
-    scorer, at most that many rows, chosen by hash of the text; all else covers every row.
+    are scored each; null ids stay null. An empty table gives an empty one. sample bounds the texts that train the
+    scorer: that many distinct ones, of the least hashes, and of each only its counted features reach the driver, at
+    most BUCKETS of them. All else covers every row.
     """
     two = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = two.schema["id"].dataType.simpleString()
@@ -151,8 +154,20 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     if not patterns:
         return two.select(F.col("id").alias(id_col), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     prior, right = accuracies(patterns)
-    chosen = [r[0] for r in two.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample).select("text").collect()]
-    labels = posterior(np.array([votes(t) for t in chosen], dtype=int).reshape(-1, len(LABELLERS)), prior, right)
+    hashed = two.select(F.xxhash64("text").alias("h"), "text")
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    fit = hashed.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            at, value = zip(*map(sparse, texts), strict=True) if texts else ((), ())
+            cols = [batch.column(0), pa.array(map(votes, texts), pa.list_(pa.int8())), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "votes", "at", "value"])
+
+    chosen = sorted(fit.mapInArrow(told, "h long, votes array<tinyint>, at array<int>, value array<float>").toArrow().to_pylist(), key=lambda r: r["h"])
+    labels = posterior(np.array([r["votes"] for r in chosen], dtype=int).reshape(-1, len(LABELLERS)), prior, right)
+    chosen = [(r["at"], r["value"]) for r in chosen]
     weights, bias = train(chosen, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
