@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +40,12 @@ def repeat_words(ids: np.ndarray, n: int = 8) -> int:
 
 
 def script(text: str) -> str:
-    """The script of the first letters of the words of a text, by the first word of the letters' names; the most frequent, or "none"."""
+    """The script of the first letters of all words of a text, by the first word of the letters' names; the most frequent, or "none"."""
     seen: dict[str, int] = {}
-    for w in text.split(None, 64)[:64]:
-        if w[0].isalpha():
-            name = "LATIN" if w[0] < "ɐ" else unicodedata.name(w[0], "OTHER").split(" ", 1)[0]
-            seen[name] = seen.get(name, 0) + 1
+    for c, n in Counter([w[0] for w in text.split()]).items():
+        if c.isalpha():
+            name = "LATIN" if c < "ɐ" else unicodedata.name(c, "OTHER").split(" ", 1)[0]
+            seen[name] = seen.get(name, 0) + n
     return max(sorted(seen), key=seen.__getitem__).lower() if seen else "none"
 
 
