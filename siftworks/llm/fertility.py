@@ -122,14 +122,28 @@ def measure(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("
 FARTHEST, FARTHEST_SUM, LEAST_SPREAD, MORE_BYTES, GROUP = 7.0, -7.0, {"chars_per_piece": 0.02, "entropy": 0.05}, 0.2, 50
 
 
-def bands(measures: DataFrame, by: str) -> DataFrame:
-    """A row for each value of by and length class (a power of two of pieces) that has GROUP rows: median and spread of the measures. Rows that fail the base rules don't count."""
+#: Bits by which entropy may grow with a doubling of the pieces; divided by FARTHEST, the spread that a class away adds.
+BITS = 1.0
+#: The bands of a row, first to last: columns besides the length class, and the classes either way that are pooled; None pools all lengths.
+LEVELS = (("lang", 0), ("script", 0), ("lang", 1), ("lang", 2), ("script", 1), ("script", 2), ("lang", None), ("script", None), (None, None))
+
+
+def bands(measures: DataFrame, by: str | None, width: int | None, least: int = GROUP) -> DataFrame:
+    """k, l, and band, the median and spread of the measures, for each value of by and length class (a power of two of pieces) with that many rows in the classes up to width away. Rows that fail the base rules don't count.
+
+    Where classes are pooled, the spread of the entropy is at least what BITS a class makes, since entropy grows with length.
+    """
+    more = {"chars_per_piece": 0.0, "entropy": (7 if width is None else width) * BITS / FARTHEST}
+
     def q(c: str) -> tuple:
         three = F.percentile_approx(c, [0.25, 0.5, 0.75], 2000)
-        return three[1].alias(f"{by}_{c}"), F.greatest((three[2] - three[0]) / 1.349, F.lit(LEAST_SPREAD[c])).alias(f"{by}_{c}_s")
+        return three[1].alias(c), F.greatest((three[2] - three[0]) / 1.349, F.lit(LEAST_SPREAD[c] + more[c])).alias(f"{c}_s")
 
-    groups = measures.where("NOT base_failed").groupBy(F.col(by).alias(f"{by}_k"), F.col("length_class").alias(f"{by}_l"))
-    return groups.agg(F.count("*").alias("n"), *q("chars_per_piece"), *q("entropy"), F.percentile_approx("byte_share", 0.5, 2000).alias(f"{by}_byte_share")).where(F.col("n") >= GROUP).drop("n")
+    rows = measures.where("NOT base_failed").withColumn("k", F.col(by) if by else F.lit("")).where("k IS NOT NULL")
+    at = F.lit(0) if width is None else F.col("length_class") if width == 0 else F.explode(F.sequence(F.col("length_class") - width, F.col("length_class") + width))
+    groups = rows.withColumn("l", at).groupBy("k", "l")
+    got = groups.agg(F.count("*").alias("n"), *q("chars_per_piece"), *q("entropy"), F.percentile_approx("byte_share", 0.5, 2000).alias("byte_share")).where(F.col("n") >= least)
+    return got.select("k", "l", F.struct("chars_per_piece", "chars_per_piece_s", "entropy", "entropy_s", "byte_share").alias("band"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
@@ -137,8 +151,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry
 
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that the text repeats. kept: not
     base_failed, and the tokeniser's measures lie in the band of the row's language and length class; where that
-    language has too few rows of the class, in the band of its script; where that has too few as well, the row is kept.
-    Bands come from medians and quartiles over all rows, so junk of less than half a group does not move them. Null
+    language has too few rows of the class, in the band of its script; then of the language and of the script over
+    the classes one and two away; then over all lengths; at last in the band of all rows, however few. Bands come from medians and quartiles over all rows, so junk of less than half a group does not move them. Null
     texts count as empty, null languages go by script; rows that repeat are judged each. An empty table gives an empty one.
     """
     lang = "__sw_lang"
@@ -146,13 +160,20 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words")
     got = got.withColumns({"base_failed": failed, "length_class": F.floor(F.log2(F.greatest("n_pieces", F.lit(1)))).cast("int")})
     got, _ = written(got, "measures")
-    by_lang, _ = written(bands(got.where(F.col(lang).isNotNull()), lang), "bands")
-    by_script, _ = written(bands(got, "script"), "bands")
-    out = got.join(small(by_lang), F.expr(f"{lang} = {lang}_k AND length_class = {lang}_l"), "left").join(small(by_script), F.expr("script = script_k AND length_class = script_l"), "left")
-    mid = lambda c: F.coalesce(f"{lang}_{c}", f"script_{c}")
-    a, b = ((F.col(c) - mid(c)) / F.coalesce(f"{lang}_{c}_s", f"script_{c}_s") for c in LEAST_SPREAD)
-    fits = (F.abs(a) <= FARTHEST) & (F.abs(b) <= FARTHEST) & (a + b >= FARTHEST_SUM) & (F.col("byte_share") <= mid("byte_share") + MORE_BYTES)
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).select(*[F.col(f"`{c}`") for c in carry], *MEASURES.names, "base_failed", "kept")
+    combos, _ = written(got.where("NOT base_failed").select(lang, "script", "length_class").distinct(), "combos")
+    chosen = combos.withColumn("band", F.lit(None).cast("struct<chars_per_piece:double,chars_per_piece_s:double,entropy:double,entropy_s:double,byte_share:double>"))
+    for kind, width in LEVELS:
+        by = {"lang": lang, "script": "script", None: None}[kind]
+        level, _ = written(bands(got, by, width, GROUP if by else 1), "bands")
+        level = level.withColumnsRenamed({"band": "__sw_band"})
+        key = F.col(by) if by else F.lit("")
+        chosen = chosen.join(small(level), (key == F.col("k")) & ((F.lit(0) if width is None else F.col("length_class")) == F.col("l")), "left")
+        chosen = chosen.withColumn("band", F.coalesce("band", "__sw_band")).drop("k", "l", "__sw_band")
+    chosen, _ = written(chosen.select(F.col(lang).alias("__sw_l"), F.col("script").alias("__sw_s"), F.col("length_class").alias("__sw_c"), "band"), "chosen")
+    out = got.join(small(chosen), F.col(lang).eqNullSafe(F.col("__sw_l")) & (F.col("script") == F.col("__sw_s")) & (F.col("length_class") == F.col("__sw_c")), "left")
+    a, b = ((F.col(c) - F.col("band")[c]) / F.col("band")[f"{c}_s"] for c in LEAST_SPREAD)
+    fits = (F.abs(a) <= FARTHEST) & (F.abs(b) <= FARTHEST) & (a + b >= FARTHEST_SUM) & (F.col("byte_share") <= F.col("band")["byte_share"] + MORE_BYTES)
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False))).select(*[F.col(f"`{c}`") for c in carry], *MEASURES.names, "base_failed", "kept")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
