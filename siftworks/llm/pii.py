@@ -1,6 +1,7 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
-What the base patterns match seeds the search: the two words before a match are a lexical pattern. Patterns and the
+What the base patterns match seeds the search: the two words before a match are a lexical pattern, in which a word with a digit or @ is
+a placeholder; a text's first two words have no pattern when they are tokens, for want of two words before them. Patterns and the
 tokens with digits that follow them form a graph. A pattern's score is the share of its distinct tokens that are known,
 a token's that of its best pattern; a few rounds of both let patterns with high scores find identifiers that no base
 pattern has. All is DataFrame operations; texts are read once and not shuffled.
@@ -23,7 +24,8 @@ BASE = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = r"(?<!\S)(?=\S*?[0-9@])\S++"
-CONTEXT = 80
+#: Stands in a pattern for a word with a digit or @.
+HELD = "#"
 ROUNDS, LEAST_KNOWN, LEAST_SCORE = 3, 3, 0.8
 
 
@@ -50,11 +52,14 @@ def _rows(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
     out = out.drop("__sw_text").withColumns({f"f_{k}": once(places(f"r_{k}")) for k in BASE} | {"f_t": once(places("r_t"))})
     out = out.withColumns({k: once(F.expr(f"filter(f_{k}, x -> {_holds(k, 'x.m')})")) for k in BASE})
     clean = r"regexp_replace(lower({}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"
-    words = f"slice(filter(split(right(x.p, {CONTEXT}), '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> ''), -2, 2)"
-    pattern = f"CASE WHEN size(regexp_extract_all(right(x.p, {CONTEXT}), '\\\\S+', 0)) >= 2 THEN array_join(transform({words}, w -> {clean.format('w')}), ' ') END"
+    words = f"transform(array(filter(split(x.p, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> '')), a -> transform(slice(a, greatest(size(a) - 1, 1), 2), w -> {clean.format('w')}))[0]"
+    out = out.withColumn("__sw_w", once(F.expr(f"transform(r_t, x -> {words})")))
+    none = "cast(array() as array<string>)"
+    before = f"concat(CASE WHEN i > 1 THEN array('{HELD}') ELSE {none} END, CASE WHEN i > 0 THEN concat(__sw_w[i - 1], array('{HELD}')) ELSE {none} END, __sw_w[i])"
+    pattern = f"transform(array({before}), b -> CASE WHEN size(b) >= 2 THEN array_join(slice(b, -2, 2), ' ') END)[0]"
     spans = F.concat(*[F.expr(f"transform({k}, x -> struct(x.s as s, x.e as e))") for k in BASE])
     out = out.withColumn("__sw_spans", once(F.array_sort(spans)))
-    each = f"transform(arrays_zip(f_t, r_t), y -> struct(y.f_t.s as s, y.f_t.e as e, {clean.format('y.f_t.m')} as token, transform(array(y.r_t), x -> {pattern})[0] as pattern, exists(__sw_spans, b -> b.s >= y.f_t.s AND b.s < y.f_t.e) as known, exists(__sw_spans, b -> b.s < y.f_t.e AND b.e > y.f_t.s) as taken))"
+    each = f"transform(arrays_zip(f_t, r_t), (y, i) -> struct(y.f_t.s as s, y.f_t.e as e, {clean.format('y.f_t.m')} as token, {pattern} as pattern, exists(__sw_spans, b -> b.s >= y.f_t.s AND b.s < y.f_t.e) as known, exists(__sw_spans, b -> b.s < y.f_t.e AND b.e > y.f_t.s) as taken))"
     tokens = F.expr(f"filter({each}, x -> x.pattern IS NOT NULL AND (x.known OR NOT x.taken AND length(x.token) >= 5 AND rlike(x.token, '[0-9].*[0-9].*[0-9]')))")
     return out.select(*carry, *BASE, tokens.alias("t"))
 
