@@ -65,7 +65,7 @@ def _rows(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
 
 
 def _discovered(rows: DataFrame) -> DataFrame:
-    """(pattern, token) of what patterns of high score find. rows has t; only distinct pairs, counted before they are moved, meet."""
+    """(pattern, token) of what patterns of high score find, tokens that are base matches elsewhere included. rows has t; only distinct pairs, counted before they are moved, meet."""
     seen = rows.select(F.explode("t").alias("t")).where("t.pattern <> ' '")
     edges, _ = written(seen.groupBy(F.col("t.pattern").alias("pattern"), F.col("t.token").alias("token")).agg(F.max(F.col("t.known").cast("double")).alias("seed")), "edges")
     known = edges.groupBy("token").agg(F.max("seed").alias("score"))
@@ -75,7 +75,7 @@ def _discovered(rows: DataFrame) -> DataFrame:
         scored = edges.join(good, "pattern", "left").groupBy("token").agg(F.greatest(F.max("seed"), F.coalesce(F.max("trust"), F.lit(0.0))).alias("score"))
         known, _ = written(scored, "known")
     strong = edges.join(known, "token").groupBy("pattern").agg(F.sum("score").alias("held"), F.count("*").alias("n")).where(f"held >= {LEAST_KNOWN} AND held / n >= {LEAST_SCORE}").select("pattern")
-    return edges.where("seed = 0").join(strong, "pattern", "left_semi").select("pattern", "token")
+    return edges.join(strong, "pattern", "left_semi").select("pattern", "token")
 
 
 def find_pii(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:

@@ -16,3 +16,8 @@ def test_words_before_a_token_may_hold_digits_or_be_far(spark):
         at = texts[i].index(t)
         assert got[i] == f"context:{at}:{at + 10}"
     assert got[30] == got[31] == ""
+
+
+def test_token_known_elsewhere_is_found(spark):
+    texts = [f"please call me +49301234{i}00 today" for i in range(9)] + ["please call me 49301234500 today"]
+    assert spans(spark, texts)[9] == "context:15:26"
