@@ -37,9 +37,24 @@ class KeywordScorer:
 class NameMatcher:
     """Matches an item to the first card, by id, whose name its title holds."""
 
+    def __init__(self, most_broadcast: int = 10_000, prefix: int = 8) -> None:
+        self.most_broadcast, self.prefix = most_broadcast, prefix
+
     def match(self, items: DataFrame, cards: DataFrame) -> DataFrame:
-        few = F.broadcast(cards.orderBy("card_id").limit(10_000).select("card_id", F.lower("name").alias("n")))
-        j = items.select("url", "pos", F.lower("title").alias("t")).join(few, F.contains(F.col("t"), F.col("n")) & (F.col("n") != ""), "left")
+        names = cards.groupBy(F.lower("name").alias("n")).agg(F.min("card_id").alias("card_id")).where("n <> ''")
+        rows = items.select("url", "pos", F.lower("title").alias("t"))
+        if names.limit(self.most_broadcast + 1).count() <= self.most_broadcast:
+            j = rows.join(F.broadcast(names), F.contains(F.col("t"), F.col("n")), "left")
+        else:
+            # beyond, names meet the parts of titles that are their first letters; short names are parts as a whole
+            part = F.substring("n", 1, self.prefix)
+            keyed = names.withColumn("part", part)
+            starts = F.sequence(F.lit(1), F.length("t"))
+            every = lambda n: F.transform(starts, lambda s: F.substring(F.col("t"), s, F.lit(n)))
+            parts = F.array_distinct(F.flatten(F.array(*[every(n) for n in range(1, self.prefix + 1)])))
+            titles = rows.where("t <> ''").select("t").distinct().withColumn("part", F.explode(parts))
+            hits = titles.join(keyed, "part").where(F.contains(F.col("t"), F.col("n"))).groupBy("t").agg(F.min("card_id").alias("card_id"))
+            j = rows.join(hits, "t", "left")
         return j.groupBy(F.col("url").alias("item_id")).agg(F.min("card_id").alias("matched_card_id"), F.min("pos").alias("pos"))
 
 
