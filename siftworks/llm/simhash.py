@@ -149,7 +149,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one with the least id, and of rows that repeat that id the one with the least text.
 
-    Null ids come after all others. All columns stay. The choice is an aggregate of one row a component, never a sort of a component.
+    Null ids come after all others. Rows are chosen by id, so unlike texts that repeat an id, or components of null ids
+    alone, leave one row; similar.drop_similar, which the pipeline uses, chooses by component. All columns stay. The choice is an aggregate of one row a component, never a sort of a component.
     """
     found = near_duplicates(docs, id_col, text_col).groupBy("component_id").count().select(F.col("component_id").alias("__sw_id"))
     kept = docs.join(found, docs[id_col].eqNullSafe(found["__sw_id"]), "left_semi")
