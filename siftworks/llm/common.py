@@ -63,13 +63,48 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Paths of all tables that written made, in order, for drop_written.
+PATHS: list[str] = []
+
+
 def written(df: DataFrame, kind: str = "table") -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and its path. Cuts the lineage: a lost executor costs no more than its own unread tasks."""
     path = fresh_path(df.sparkSession, kind)
     df.write.option("compression", "zstd").parquet(path)
+    PATHS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """df with a broadcast hint if its rows, which are counted, are at most so many; else df as it is, for a shuffled join. df should be cheap to count, as a written table is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def drop_written(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that were written since PATHS had so many, but for those to keep. A DataFrame that reads them can't be used any more."""
+    for path in PATHS[since:]:
+        if path not in keep:
+            drop_path(spark, path)
+    PATHS[since:] = [p for p in PATHS[since:] if p in keep]
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of the files under a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def small(df: DataFrame, path: str, most: int = 200_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """df, which reads the table written at path, with a broadcast hint if that table's rows and its bytes, compressed, are at most so many; else df as it is, for a shuffled join."""
+    return F.broadcast(df) if path_bytes(df.sparkSession, path) <= most_bytes and df.limit(most + 1).count() <= most else df
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], times: str, least: int = 100) -> DataFrame:
+    """left joined with right, which has one row for each key and, in times, left's rows of that key; times is not in the result.
+
+    Keys with over a 50,000th of left's rows, of which there can't be 50,000, are broadcast, so that their rows stay
+    where they are; all others meet by a shuffle, none of them with more than that share. right should be a written
+    table, and left cheap to read twice.
+    """
+    total = right.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) > max(least, total // 50_000)
+    often = right.where(hot).drop(times)
+    if often.isEmpty():
+        return left.join(right.drop(times), on)
+    rare = left.join(F.broadcast(often.select(*on)), on, "left_anti").join(right.where(~hot).drop(times), on)
+    return left.join(F.broadcast(often), on).unionByName(rare)

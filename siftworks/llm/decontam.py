@@ -1,23 +1,24 @@
-"""Benchmark decontamination: a hash set of normalised test n-grams, sent to all tasks, against the windows of training texts.
+"""Benchmark decontamination: a broadcast hash set of normalised test n-grams against the windows of training texts.
 
-A text's windows are not all looked up. Any ten words in a row hold eight trigrams in a row, and just one of those
-begins at a multiple of eight; only where that one occurs in the test set are the windows over it compared, as whole
-texts, with the set. Nothing is shuffled.
+A text's windows are not all looked up. Any ten words in a row hold six runs of five words, and just one of those
+begins at a multiple of six; only the runs there, one word in six, are looked up in the set's hashes of such runs
+(anchors). Where one is found, the windows over it are cut from the text and looked up, as whole texts, in the set of
+windows. What is found goes by the text's digest, so that copies are one and no row needs a number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, once, written
+from .common import ascii_lower, once, small, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Distinct windows that the set sent to all tasks may hold; with more, windows are joined by a shuffle instead.
-MAX_BROADCAST = 100_000
+#: Bytes of the set that may be broadcast, at so many a row of anchors; a larger set is joined by a shuffle instead.
+MAX_BROADCAST, ROW_BYTES = 64 << 20, 64
 
 
 def words(text: Column) -> Column:
@@ -32,84 +33,76 @@ def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_co
     return w.select("item", "length", F.explode(F.expr("transform(sequence(1, size(w) - length + 1), s -> array_join(slice(w, s, length), ' '))")).alias("gram"))
 
 
-def _hash(text: Column) -> Column:
-    return F.xxhash64(text)
-
-
-def _table(pairs: Iterable[tuple[int, str, list[str]]], n: int) -> tuple[str, str]:
-    """SQL of two constant arrays of n buckets: the texts of each bucket, and what belongs to each text."""
-    texts: list[list[str]] = [[] for _ in range(n)]
-    more: list[list[str]] = [[] for _ in range(n)]
-    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    for h, text, items in pairs:
-        texts[h % n].append(quote(text))
-        more[h % n].append("array(" + ",".join(map(quote, items)) + ")")
-    buckets = lambda rows, kind: "array(" + ",".join(f"array({','.join(r)})" if r else f"cast(array() as array<{kind}>)" for r in rows) + ")"
-    return buckets(texts, "string"), buckets(more, "array<string>")
-
-
-def _starts(length: int, grams: list[tuple[int, str, list[str]]], anchors: list[tuple[int, str]], k: int) -> tuple[Column, Column]:
-    """For words w: the starts of its windows of this length that are in the set, and what belongs to each."""
-    n = max(1, len(grams))
-    texts, items = _table(grams, n)
-    known, _ = _table([(h, a, []) for h, a in anchors], max(1, len(anchors)))
-    stride, m = length - k + 1, max(1, len(anchors))
-    gram = f"array_join(slice(w, s, {length}), ' ')"
-    anchor = f"array_join(slice(w, p, {k}), ' ')"
-    last = f"size(w) - {length} + 1"
-    spots = f"filter(sequence({stride}, size(w) - {k} + 1, {stride}), p -> array_contains(element_at({known}, cast(pmod(xxhash64({anchor}), {m}) as int) + 1), {anchor}))"
-    spans = f"flatten(transform({spots}, p -> sequence(greatest(1, p - {stride} + 1), least(p, {last}))))"
-    bucket = f"cast(pmod(xxhash64({gram}), {n}) as int) + 1"
-    starts = f"filter({spans}, s -> array_contains(element_at({texts}, {bucket}), {gram}))"
-    found = f"transform(starts{length}, s -> element_at(element_at({items}, {bucket}), cast(array_position(element_at({texts}, {bucket}), {gram}) as int)))"
-    return F.expr(f"CASE WHEN size(w) >= {length} THEN {starts} ELSE cast(array() as array<int>) END"), F.expr(found)
-
-
-def _by_set(marked: DataFrame, rows: list) -> DataFrame:
-    spread = marked
-    lengths = sorted({r.length for r in rows})
-    for length in lengths:
-        k = min(3, length)
-        grams = [(r.h, r.gram, r.items) for r in rows if r.length == length]
-        anchors = sorted({(a.h, a.t) for r in rows if r.length == length for a in r.anchors})
-        starts, found = _starts(length, grams, anchors, k)
-        spread = spread.withColumn(f"starts{length}", starts).withColumn(f"items{length}", found)
-    none_int, none_text = F.array().cast("array<int>"), F.array().cast("array<string>")
-    covered = [F.expr(f"flatten(transform(starts{n}, s -> sequence(s, s + {n} - 1)))") for n in lengths]
-    hit = F.array_sort(F.array_distinct(F.concat(none_int, *covered)))
-    items = F.array_sort(F.array_distinct(F.concat(none_text, *[F.flatten(f"items{n}") for n in lengths])))
-    return spread.select("*", hit.alias("__sw_hit"), items.alias("__sw_items")).drop(*[f"{x}{n}" for n in lengths for x in ("starts", "items")])
-
-
-def _by_join(marked: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
-    """As _by_set, for sets of any size: all windows are exploded and joined with the set by their texts."""
-    kept, _ = written(marked.withColumn("__sw_row", F.monotonically_increasing_id()), "decontam")
-    each = "flatten(array({}))".format(", ".join(f"CASE WHEN size(w) >= {n} THEN transform(sequence(1, size(w) - {n} + 1), s -> struct(s as s, {n} as length, array_join(slice(w, s, {n}), ' ') as gram)) ELSE array() END" for n in lengths))
-    windows = kept.select("__sw_row", F.explode(F.expr(each)).alias("x")).select("__sw_row", "x.*")
-    hits = windows.join(grams.select("length", "gram", "items"), ["length", "gram"])
-    by_row = hits.groupBy("__sw_row").agg(F.flatten(F.collect_set(F.sequence(F.col("s"), F.col("s") + F.col("length") - 1))).alias("h"), F.flatten(F.collect_set("items")).alias("i"))
-    none_int, none_text = F.array().cast("array<int>"), F.array().cast("array<string>")
-    return kept.join(by_row, "__sw_row", "left").select(*marked.columns, F.array_sort(F.array_distinct(F.coalesce("h", none_int))).alias("__sw_hit"), F.array_sort(F.array_distinct(F.coalesce("i", none_text))).alias("__sw_items"))
+def _anchor(length: int) -> tuple[int, int]:
+    """For windows of a length: the words of an anchor, and the step from one to the next."""
+    k = (length + 1) // 2
+    return k, length - k + 1
+
+
+def _cut(n: int) -> str:
+    """SQL fields for an anchor at place p of words w: a, the start of the first window of n words over it, and c, the words of all of them."""
+    low, high = f"greatest(1, p - {_anchor(n)[1] - 1})", f"least(p, size(w) - {n - 1})"
+    return f"{low} AS a, array_join(slice(w, {low}, {high} - {low} + {n}), ' ') AS c"
+
+
+def _spots(lengths: list[int], more: Callable[[int], str], kind: str) -> str:
+    """SQL: for words w, an array of structs of length, h, an anchor's hash, and more, of its place p."""
+    none = f"cast(array() as array<struct<length:int,h:bigint,{kind}>>)"
+    each = []
+    for n in lengths:
+        k, step = _anchor(n)
+        each.append(f"CASE WHEN size(w) >= {n} THEN transform(sequence({step}, size(w) - {k - 1}, {step}), p -> struct({n} AS length, xxhash64(slice(w, p, {k})) AS h, {more(n)})) ELSE {none} END")
+    return f"flatten(array({', '.join(each)}))"
+
+
+def _over_anchors(texts: DataFrame, windows: DataFrame, lengths: list[int], max_broadcast: int) -> DataFrame:
+    """(key, length, a, c) of each anchor of texts (text) that is one of the windows': key is the text's digest, c the words from a on of all windows over it."""
+    parts = [f"WHEN length = {n} THEN transform(sequence(1, {_anchor(n)[1]}), p -> xxhash64(slice(split(gram, ' '), p, {_anchor(n)[0]})))" for n in lengths]
+    anchors, _ = written(windows.select("length", F.explode(F.expr(f"CASE {' '.join(parts)} END")).alias("h")).distinct(), "anchors")
+    w = once(words(F.col("text"))).alias("w")
+    key = F.sha2("text", 256).alias("key")
+    if ROW_BYTES * anchors.count() <= max_broadcast:
+        every = texts.select(key, w).select("key", F.explode(F.expr(_spots(lengths, _cut, "a:int,c:string"))).alias("x")).select("key", "x.*")
+        return every.join(F.broadcast(anchors), ["length", "h"], "left_semi").select("key", "length", "a", "c")
+    # beyond, hashes and places alone are shuffled, and the texts that have one are asked again
+    every = texts.select(F.xxhash64("text").alias("k"), w).select("k", F.explode(F.expr(_spots(lengths, lambda n: "p AS p", "p:int"))).alias("x")).select("k", "x.*")
+    met = every.join(anchors, ["length", "h"], "left_semi").groupBy("k").agg(F.collect_set(F.struct("length", "p")).alias("at"))
+    met, path = written(met, "met")
+    again = texts.withColumn("k", F.xxhash64("text")).join(small(met, path), "k").select(key, w, "at")
+    fits = "t.length = {n} AND t.p <= size(w) - {k} AND size(w) >= {n}"
+    cut = [f"transform(transform(filter(at, t -> {fits.format(n=n, k=_anchor(n)[0] - 1)}), t -> t.p), p -> struct({n} AS length, {_cut(n)}))" for n in lengths]
+    return again.select("key", F.explode(F.expr(f"concat({', '.join(cut)})")).alias("x")).select("key", "x.*")
+
+
+def _found(texts: DataFrame, windows: DataFrame, lengths: list[int], path: str, max_broadcast: int) -> DataFrame:
+    """(key, hit, items) of each text with a window of the set: the places of its hit words, from 1, and the items, both sorted."""
+    cut = _over_anchors(texts, windows, lengths, max_broadcast).withColumn("v", once(F.split("c", " ")))
+    grams = F.expr("transform(sequence(0, size(v) - length), j -> struct(a + j AS s, array_join(slice(v, j + 1, length), ' ') AS gram))")
+    each = cut.select("key", "length", F.explode(grams).alias("g")).select("key", "length", "g.*")
+    hits = each.join(small(windows, path, most_bytes=max_broadcast // 4), ["length", "gram"])
+    places = F.flatten(F.collect_set(F.expr("sequence(s, s + length - 1)")))
+    return hits.groupBy("key").agg(F.array_sort(F.array_distinct(places)).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def with_hits(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with __sw_words (count), __sw_hit (places, from 1, of hit words) and __sw_items (ids, as text and sorted, of items with a window in the row).
 
-    The set's size is counted first. Up to max_broadcast distinct windows go to all tasks as a constant; beyond, the
-    windows of docs are joined with the set by a shuffle, with the same result.
+    The set is written and measured first. Up to max_broadcast bytes it is broadcast and texts stay where they are;
+    beyond, the anchors of texts, as hashes, are joined with the set by a shuffle, with the same result. docs is read
+    twice: for the hits, and to put them to the rows by the digest of the text.
     """
-    windows, _ = written(item_windows(items, n).groupBy("length", "gram").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
-    sizes = {r.length: r["count"] for r in windows.groupBy("length").count().collect()}
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__sw_row0"), once(words(F.col(text_col))).alias("w"))
-    if not sizes:
-        out = packed.select("*", F.array().cast("array<int>").alias("__sw_hit"), F.array().cast("array<string>").alias("__sw_items"))
-    elif sum(sizes.values()) <= max_broadcast:
-        cut = "transform(sequence(1, length - least(3, length) + 1), p -> array_join(slice(split(gram, ' '), p, least(3, length)), ' '))"
-        rows = windows.select("length", "gram", "items", F.xxhash64("gram").alias("h"), F.transform(F.expr(cut), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))).alias("anchors")).collect()
-        out = _by_set(packed, rows)
+    windows, path = written(item_windows(items, n).groupBy("length", "gram").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__sw_c{i}") for i, c in enumerate(docs.columns)], text.alias("__sw_text"))
+    none_int, none_text = F.array().cast("array<int>"), F.array().cast("array<string>")
+    if lengths:
+        found, found_path = written(_found(docs.select(text.alias("text")).where("text IS NOT NULL"), windows, lengths, path, max_broadcast), "hits")
+        rows = rows.withColumn("__sw_key", F.sha2("__sw_text", 256)).join(small(found.withColumnsRenamed({"key": "__sw_k", "hit": "__sw_hit", "items": "__sw_items"}), found_path), F.col("__sw_key") == F.col("__sw_k"), "left")
     else:
-        out = _by_join(packed, windows, sorted(sizes))
-    return out.select(*[F.col("__sw_row0")[c].alias(c) for c in docs.columns], F.size("w").cast("long").alias("__sw_words"), "__sw_hit", "__sw_items")
+        rows = rows.withColumns({"__sw_hit": none_int, "__sw_items": none_text})
+    count = F.coalesce(F.regexp_count("__sw_text", F.lit(RAW_WORD)), F.lit(0)).cast("long")
+    return rows.select(*[F.col(f"__sw_c{i}").alias(c) for i, c in enumerate(docs.columns)], count.alias("__sw_words"), F.coalesce("__sw_hit", none_int).alias("__sw_hit"), F.coalesce("__sw_items", none_text).alias("__sw_items"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int = 10, text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -124,12 +117,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
         return found.where("size(__sw_hit) = 0").select(*docs.columns)
     if mode != "spans":
         raise ValueError("mode is documents or spans")
-    text = F.col(text_col)
-    found = found.withColumns({"__sw_raw": F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0)), "__sw_gap": F.split(text, RAW_WORD, -1)})
-    keep = F.expr(
-        "concat(__sw_gap[0], array_join(transform(__sw_raw, (x, i) -> CASE WHEN array_contains(__sw_hit, i + 1) THEN CASE WHEN array_contains(__sw_hit, i + 2) THEN '' ELSE __sw_gap[i + 1] END ELSE concat(x, __sw_gap[i + 1]) END), ''))"
-    )
-    return found.withColumn(text_col, F.when(F.size("__sw_hit") > 0, keep).otherwise(text)).select(*docs.columns)
+    text = F.col(f"`{text_col}`")
+    found = found.withColumns({"__sw_raw": once(F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))), "__sw_gap": once(F.split(text, RAW_WORD, -1))})
+    # what stands after a hit word stays unless the next is hit as well; sorted sets, so that a long text's cost is near its length
+    inner = F.array_intersect("__sw_hit", F.transform("__sw_hit", lambda i: i - 1))
+    found = found.withColumn("__sw_last", once(F.array_except("__sw_hit", inner)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("__sw_raw")), F.col("__sw_hit")), lambda i: F.struct(i.alias("i"), F.concat(F.get("__sw_raw", i - 1), F.get("__sw_gap", i)).alias("t")))
+    ends = F.transform("__sw_last", lambda i: F.struct(i.alias("i"), F.get("__sw_gap", i).alias("t")))
+    left = F.concat(F.get("__sw_gap", F.lit(0)), F.array_join(F.array_sort(F.concat(kept, ends))["t"], ""))
+    return found.withColumn(text_col, F.when(F.size("__sw_hit") > 0, left).otherwise(text)).select(*docs.columns)
 
 
 def hit_digest(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:

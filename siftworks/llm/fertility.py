@@ -164,13 +164,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry
     chosen = combos.withColumn("band", F.lit(None).cast("struct<chars_per_piece:double,chars_per_piece_s:double,entropy:double,entropy_s:double,byte_share:double>"))
     for kind, width in LEVELS:
         by = {"lang": lang, "script": "script", None: None}[kind]
-        level, _ = written(bands(got, by, width, GROUP if by else 1), "bands")
+        level, path = written(bands(got, by, width, GROUP if by else 1), "bands")
         level = level.withColumnsRenamed({"band": "__sw_band"})
         key = F.col(by) if by else F.lit("")
-        chosen = chosen.join(small(level), (key == F.col("k")) & ((F.lit(0) if width is None else F.col("length_class")) == F.col("l")), "left")
+        chosen = chosen.join(small(level, path), (key == F.col("k")) & ((F.lit(0) if width is None else F.col("length_class")) == F.col("l")), "left")
         chosen = chosen.withColumn("band", F.coalesce("band", "__sw_band")).drop("k", "l", "__sw_band")
-    chosen, _ = written(chosen.select(F.col(lang).alias("__sw_l"), F.col("script").alias("__sw_s"), F.col("length_class").alias("__sw_c"), "band"), "chosen")
-    out = got.join(small(chosen), F.col(lang).eqNullSafe(F.col("__sw_l")) & (F.col("script") == F.col("__sw_s")) & (F.col("length_class") == F.col("__sw_c")), "left")
+    chosen, path = written(chosen.select(F.col(lang).alias("__sw_l"), F.col("script").alias("__sw_s"), F.col("length_class").alias("__sw_c"), "band"), "chosen")
+    out = got.join(small(chosen, path), F.col(lang).eqNullSafe(F.col("__sw_l")) & (F.col("script") == F.col("__sw_s")) & (F.col("length_class") == F.col("__sw_c")), "left")
     a, b = ((F.col(c) - F.col("band")[c]) / F.col("band")[f"{c}_s"] for c in LEAST_SPREAD)
     fits = (F.abs(a) <= FARTHEST) & (F.abs(b) <= FARTHEST) & (a + b >= FARTHEST_SUM) & (F.col("byte_share") <= F.col("band")["byte_share"] + MORE_BYTES)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False))).select(*[F.col(f"`{c}`") for c in carry], *MEASURES.names, "base_failed", "kept")

@@ -199,7 +199,7 @@ def brute_hits(docs, items, n=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("most", [64 << 20, 0])
 def test_hits_equal_brute_force(spark, odd, none, most):
     r = _R(3)
     items = [(i, sentence(r, 14 + i)) for i in range(6)] + [(9, None), (10, "!!"), (11, "Wab waB"), (12, "one"), (10, items_text := sentence(r, 11)), (13, items_text)]
@@ -219,6 +219,15 @@ def test_hits_equal_brute_force(spark, odd, none, most):
     assert all(same[x.doc_id] == x.text for x in cut.collect() if x.doc_id in clean)
 
 
+def test_large_sets_give_the_same_on_both_ways(spark):
+    r = _R(8)
+    items = spark.createDataFrame([(i, sentence(r, 60)) for i in range(300)], "item_id long, text string")
+    texts = [sentence(r, 30) + " " + items.where(f"item_id = {i}").first().text[20:150] + " " + sentence(r, 30) for i in range(3)] + ["common " * 400, None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 20)], "doc_id long, text string")
+    one, two = (sorted(map(tuple, decontam.hit_digest(docs, items, max_broadcast=m).collect())) for m in (64 << 20, 0))
+    assert one == two and sum(x[5] for x in one) == 60
+
+
 # --- sharding
 
 
