@@ -13,9 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, once, small, written
+from .common import ascii_lower, once, small, split_words, word_count, written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words in lower case; words, and what parts them, in any case.
+PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RAW_PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of the set that may be broadcast, at so many a row of anchors; a larger set is joined by a shuffle instead.
 MAX_BROADCAST, ROW_BYTES = 64 << 20, 64
@@ -23,7 +25,7 @@ MAX_BROADCAST, ROW_BYTES = 64 << 20, 64
 
 def words(text: Column) -> Column:
     """The words of a text in lower case; none for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text.cast("string")), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(split_words(ascii_lower(text.cast("string")), PARTS), F.array().cast("array<string>"))
 
 
 def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +103,7 @@ def with_hits(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "t
         rows = rows.withColumn("__sw_key", F.sha2("__sw_text", 256)).join(small(found.withColumnsRenamed({"key": "__sw_k", "hit": "__sw_hit", "items": "__sw_items"}), found_path), F.col("__sw_key") == F.col("__sw_k"), "left")
     else:
         rows = rows.withColumns({"__sw_hit": none_int, "__sw_items": none_text})
-    count = F.coalesce(F.regexp_count("__sw_text", F.lit(RAW_WORD)), F.lit(0)).cast("long")
+    count = word_count(F.col("__sw_text"), RAW_PARTS)
     return rows.select(*[F.col(f"__sw_c{i}").alias(c) for i, c in enumerate(docs.columns)], count.alias("__sw_words"), F.coalesce("__sw_hit", none_int).alias("__sw_hit"), F.coalesce("__sw_items", none_text).alias("__sw_items"))
 
 
@@ -118,7 +120,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
     if mode != "spans":
         raise ValueError("mode is documents or spans")
     text = F.col(f"`{text_col}`")
-    found = found.withColumns({"__sw_raw": once(F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))), "__sw_gap": once(F.split(text, RAW_WORD, -1))})
+    found = found.withColumns({"__sw_raw": once(split_words(text, RAW_PARTS)), "__sw_gap": once(F.split(text, RAW_WORD, -1))})
     # what stands after a hit word stays unless the next is hit as well; sorted sets, so that a long text's cost is near its length
     inner = F.array_intersect("__sw_hit", F.transform("__sw_hit", lambda i: i - 1))
     found = found.withColumn("__sw_last", once(F.array_except("__sw_hit", inner)))
