@@ -1,10 +1,10 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
-What the base patterns match seeds the search: the two words before a match are a lexical pattern, in which a word with a digit or @ is
-a placeholder; a text's first two words have no pattern when they are tokens, for want of two words before them. Patterns and the
-tokens with digits that follow them form a graph. A pattern's score is the share of its distinct tokens that are known,
-a token's that of its best pattern; a few rounds of both let patterns with high scores find identifiers that no base
-pattern has. All is DataFrame operations; texts are read once and not shuffled.
+What the base patterns match seeds the search. Each token with a digit or @ has up to four lexical patterns: the two
+words before it; the word before it and the one after; the word before it and the token's shape; and the two words
+after it. A word with a digit or @ is a placeholder in them. Patterns and tokens form a graph. A pattern's score is the share of
+its distinct tokens that are known, a token's that of its best pattern; a few rounds of both let patterns with high
+scores find identifiers that no base pattern has. All is DataFrame operations; texts are read once and not shuffled.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, written
-from .spans import listed, matches, places
+from .common import once, split_join, written
+from .spans import NONE, before, listed, matches, places
 
 #: The base kinds. Possessive forms of the stated patterns, which match the same and never try a run twice.
 BASE = {
@@ -22,10 +22,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+#: What a text must hold to have a match.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "t": "[0-9@]"}
 TOKEN = r"(?<!\S)(?=\S*?[0-9@])\S++"
 #: Stands in a pattern for a word with a digit or @.
 HELD = "#"
+#: Rounds of scores; known tokens that a pattern needs, and their share of its distinct tokens.
 ROUNDS, LEAST_KNOWN, LEAST_SCORE = 3, 3, 0.8
 
 
@@ -42,65 +44,96 @@ def _holds(kind: str, m: str) -> str:
     return "true"
 
 
-def _rows(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
-    """carry, a column of places for each base kind, and t: the tokens with a digit or @ outside them and those that begin one, with their patterns."""
-    out = docs.select(*carry, once(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__sw_text"))
-    nothing = F.expr("cast(array() as array<struct<m:string,p:string>>)")
-    raw = {k: matches("__sw_text", p) for k, p in BASE.items()}
-    has = {k: F.contains("__sw_text", F.lit(n)) if n else F.lit(True) for k, n in NEEDS.items()}
-    out = out.withColumns({f"r_{k}": once(F.when(has[k], raw[k]).otherwise(nothing)) for k in BASE} | {"r_t": once(matches("__sw_text", TOKEN))})
-    out = out.drop("__sw_text").withColumns({f"f_{k}": once(places(f"r_{k}")) for k in BASE} | {"f_t": once(places("r_t"))})
-    out = out.withColumns({k: once(F.expr(f"filter(f_{k}, x -> {_holds(k, 'x.m')})")) for k in BASE})
-    clean = r"regexp_replace(lower({}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"
-    words = f"transform(array(filter(split(x.p, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> '')), a -> transform(slice(a, greatest(size(a) - 1, 1), 2), w -> {clean.format('w')}))[0]"
-    out = out.withColumn("__sw_w", once(F.expr(f"transform(r_t, x -> {words})")))
+def _clean(word: str) -> str:
+    """SQL: a word in lower case, without what is no letter or digit at its ends."""
+    return f"regexp_replace(lower({word}), r'^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"
+
+
+def _patterns(i: str, token: str) -> str:
+    """SQL: the patterns of the token of place i, from __sw_gaps, the first and last two words of what stands before each token and after the last."""
     none = "cast(array() as array<string>)"
-    before = f"concat(CASE WHEN i > 1 THEN array('{HELD}') ELSE {none} END, CASE WHEN i > 0 THEN concat(__sw_w[i - 1], array('{HELD}')) ELSE {none} END, __sw_w[i])"
-    pattern = f"transform(array({before}), b -> CASE WHEN size(b) >= 2 THEN array_join(slice(b, -2, 2), ' ') END)[0]"
-    spans = F.concat(*[F.expr(f"transform({k}, x -> struct(x.s as s, x.e as e))") for k in BASE])
-    out = out.withColumn("__sw_spans", once(F.array_sort(spans)))
-    each = f"transform(arrays_zip(f_t, r_t), (y, i) -> struct(y.f_t.s as s, y.f_t.e as e, {clean.format('y.f_t.m')} as token, {pattern} as pattern, exists(__sw_spans, b -> b.s >= y.f_t.s AND b.s < y.f_t.e) as known, exists(__sw_spans, b -> b.s < y.f_t.e AND b.e > y.f_t.s) as taken))"
-    tokens = F.expr(f"filter({each}, x -> x.pattern IS NOT NULL AND (x.known OR NOT x.taken AND length(x.token) >= 5 AND rlike(x.token, '[0-9].*[0-9].*[0-9]')))")
-    return out.select(*carry, *BASE, tokens.alias("t"))
-
-
-def _discovered(rows: DataFrame) -> DataFrame:
-    """(pattern, token) of what patterns of high score find, tokens that are base matches elsewhere included. rows has t; only distinct pairs, counted before they are moved, meet."""
-    seen = rows.select(F.explode("t").alias("t")).where("t.pattern <> ' '")
-    edges, _ = written(seen.groupBy(F.col("t.pattern").alias("pattern"), F.col("t.token").alias("token")).agg(F.max(F.col("t.known").cast("double")).alias("seed")), "edges")
-    known = edges.groupBy("token").agg(F.max("seed").alias("score"))
-    for _ in range(ROUNDS):
-        by_pattern = edges.join(known, "token").groupBy("pattern").agg(F.sum("score").alias("held"), F.count("*").alias("n"), F.sum("seed").alias("seeds"))
-        good = by_pattern.where(f"held >= {LEAST_KNOWN} AND seeds >= 1").select("pattern", (F.col("held") / F.col("n")).alias("trust"))
-        scored = edges.join(good, "pattern", "left").groupBy("token").agg(F.greatest(F.max("seed"), F.coalesce(F.max("trust"), F.lit(0.0))).alias("score"))
-        known, _ = written(scored, "known")
-    strong = edges.join(known, "token").groupBy("pattern").agg(F.sum("score").alias("held"), F.count("*").alias("n")).where(f"held >= {LEAST_KNOWN} AND held / n >= {LEAST_SCORE}").select("pattern")
-    return edges.join(strong, "pattern", "left_semi").select("pattern", "token")
+    left = f"concat(CASE WHEN {i} > 1 THEN array('{HELD}') ELSE {none} END, CASE WHEN {i} > 0 THEN concat(__sw_gaps[{i} - 1].z, array('{HELD}')) ELSE {none} END, __sw_gaps[{i}].z)"
+    right = f"concat(__sw_gaps[{i} + 1].a, CASE WHEN {i} + 2 < size(__sw_gaps) THEN concat(array('{HELD}'), __sw_gaps[{i} + 2].a) ELSE {none} END, CASE WHEN {i} + 3 < size(__sw_gaps) THEN array('{HELD}') ELSE {none} END)"
+    shape = f"regexp_replace(regexp_replace(regexp_replace({token}, r'\\p{{Lu}}+', 'A'), r'\\p{{Ll}}+', 'a'), '[0-9]', '0')"
+    kinds = (
+        "CASE WHEN size(c.l) > 1 THEN concat('two before: ', c.l[size(c.l) - 2], ' ', c.l[size(c.l) - 1]) END",
+        "CASE WHEN size(c.l) > 0 AND size(c.r) > 0 THEN concat('both sides: ', c.l[size(c.l) - 1], ' ', c.r[0]) END",
+        f"CASE WHEN size(c.l) > 0 THEN concat('shape after: ', c.l[size(c.l) - 1], ' ', {shape}) END",
+        "CASE WHEN size(c.r) > 1 THEN concat('two after: ', c.r[0], ' ', c.r[1]) END",
+    )
+    # a pattern has a word or a placeholder at least: words of signs, which are empty, say nothing
+    return f"transform(array(struct({left} AS l, {right} AS r)), c -> filter(array({', '.join(kinds)}), q -> rlike(substring_index(q, ': ', -1), r'^[\\p{{L}}#]| [\\p{{L}}#]')))[0]"
+
+
+def _rows(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
+    """carry, a column of places for each base kind, and __sw_t: the tokens with a digit or @ outside them and those that begin one, with their patterns."""
+    out = docs.select(*[F.col(f"`{c}`") for c in carry], once(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("__sw_text"))
+    nothing = F.expr("named_struct('found', cast(array() as array<struct<m:string,p:string>>), 'rest', '')")
+    found = {k: once(F.when(F.rlike("__sw_text", F.lit(NEEDS[k])), matches("__sw_text", p)).otherwise(nothing)) for k, p in (BASE | {"t": TOKEN}).items()}
+    out = out.withColumns({f"__sw_r_{k}": c for k, c in found.items()}).drop("__sw_text")
+    out = out.withColumns({f"__sw_f_{k}": once(places(f"__sw_r_{k}.found")) for k in found})
+    out = out.withColumns({f"__sw_{k}": once(F.expr(f"filter(__sw_f_{k}, x -> {_holds(k, 'x.m')})")) for k in BASE})
+    ends = f"transform(array(filter(split(p, r'[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '')), a -> struct(transform(slice(a, 1, 2), w -> {_clean('w')}) AS a, transform(slice(a, greatest(size(a) - 1, 1), 2), w -> {_clean('w')}) AS z))[0]"
+    out = out.withColumn("__sw_gaps", once(F.expr(f"transform(concat(__sw_r_t.found.p, array(__sw_r_t.rest)), p -> {ends})")))
+    spans = F.array_sort(F.concat(*[F.expr(f"transform(__sw_{k}, x -> struct(x.s as s, x.e as e))") for k in BASE]))
+    out = out.withColumn("__sw_spans", once(spans))
+    out = out.withColumns({
+        "__sw_begun": once(F.expr(before("__sw_f_t.s", "__sw_spans.s", False))),
+        "__sw_met": once(F.expr(before("__sw_f_t.e", "__sw_spans.s", False))),
+        "__sw_past": once(F.expr(before("__sw_f_t.s", "array_sort(__sw_spans.e)", True))),
+    })
+    each = f"transform(__sw_f_t, (y, i) -> struct(y.s AS s, y.e AS e, {_clean('y.m')} AS token, {_patterns('i', 'y.m')} AS patterns, __sw_met[i] > __sw_begun[i] AS known, __sw_met[i] > __sw_past[i] AS taken))"
+    tokens = F.expr(f"filter({each}, x -> size(x.patterns) > 0 AND (x.known OR NOT x.taken AND length(x.token) >= 5 AND rlike(x.token, '[0-9].*[0-9].*[0-9]')))")
+    return out.select(*[F.col(f"`{c}`") for c in carry], *[f"__sw_{k}" for k in BASE], tokens.alias("__sw_t"))
+
+
+def discovered(edges: DataFrame) -> DataFrame:
+    """(pattern, token, times) of what patterns of high score find, tokens that are base matches elsewhere included.
+
+    edges has pattern, token, seed (1 if the token is a base match in that pattern, else 0) and times, one row for each
+    pair; it should be a written table. Every join is of edges with a table of one row a key, so that no two edges of
+    a pattern or token meet, and keys with many edges are split from the others.
+    """
+    tokens, _ = written(edges.groupBy("token").agg(F.max("seed").alias("score"), F.count("*").alias("of")), "tokens")
+    known, held = tokens, None
+    for turn in range(ROUNDS + 1):
+        by_pattern = split_join(edges, known, ["token"], "of").groupBy("pattern").agg(F.sum("score").alias("held"), F.count("*").alias("of"), F.sum("seed").alias("seeds"))
+        held, _ = written(by_pattern.where(f"held >= {LEAST_KNOWN}"), "patterns")
+        if turn < ROUNDS:
+            good = held.where("seeds >= 1").select("pattern", (F.col("held") / F.col("of")).alias("score"), "of")
+            told = split_join(edges, good, ["pattern"], "of").select("token", "score", F.lit(0).cast("long").alias("of"))
+            known, _ = written(tokens.unionByName(told).groupBy("token").agg(F.max("score").alias("score"), F.max("of").alias("of")), "tokens")
+    strong = held.where(f"held / of >= {LEAST_SCORE}").select("pattern", "of")
+    return split_join(edges, strong, ["pattern"], "of").select("pattern", "token", "times")
 
 
 def find_pii(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
     """carry, and for each row the places s, e and texts m of each base kind and of found, the identifiers that context gave.
 
     Places are in code points, ends exclusive. Null and empty texts have none, rows that repeat are searched each, and
-    an empty table gives an empty one. Base places never depend on what else is found. carry's names may not be those
-    of the kinds.
+    an empty table gives an empty one. Base places never depend on what else is found. A carried column of the name of
+    a kind, or found, is replaced; others may have any names.
     """
-    rows, _ = written(_rows(docs, carry, text_col).withColumn("__sw_row", F.monotonically_increasing_id()), "pii")
-    more = rows.select("__sw_row", F.explode(F.expr("filter(t, x -> NOT x.known)")).alias("x")).select("__sw_row", "x.s", "x.e", "x.token", "x.pattern")
-    hits = more.join(_discovered(rows), ["pattern", "token"], "left_semi")
-    by_row = hits.groupBy("__sw_row").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col("token").alias("m")))).alias("found"))
-    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,m:string>>)")
-    return rows.join(by_row, "__sw_row", "left").select(*carry, *BASE, F.coalesce("found", none).alias("found"))
+    held = [c for c in carry if c not in (*BASE, "found")]
+    named = docs.select(*[F.col(f"`{c}`").alias(f"__sw_c{i}") for i, c in enumerate(held)], F.col(f"`{text_col}`").alias("__sw_in"))
+    rows, _ = written(_rows(named, named.columns[:-1], "__sw_in").withColumn("__sw_row", F.monotonically_increasing_id()), "pii")
+    each = rows.select("__sw_row", F.explode("__sw_t").alias("x")).select("__sw_row", "x.s", "x.e", "x.token", "x.known", F.explode("x.patterns").alias("pattern"))
+    edges, _ = written(each.groupBy("pattern", "token").agg(F.max(F.col("known").cast("double")).alias("seed"), F.count("*").alias("times")), "edges")
+    found, _ = written(discovered(edges), "found")
+    hits = split_join(each, found, ["pattern", "token"], "times").where("NOT known")
+    by_row = hits.groupBy("__sw_row").agg(F.array_sort(F.collect_set(F.struct("s", "e", F.col("token").alias("m")))).alias("found"))
+    out = rows.join(by_row, "__sw_row", "left")
+    return out.select(*[F.col(f"__sw_c{i}").alias(c) for i, c in enumerate(held)], *[F.col(f"__sw_{k}").alias(k) for k in BASE], F.coalesce("found", F.expr(NONE)).alias("found"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each base match in its text replaced by its kind in brackets; all columns stay. A projection, without the method's finds, for streams and other inputs that pass once."""
-    text = F.col(text_col)
+    """docs with each base match in its text replaced by its kind in brackets; all columns stay, whatever their names. A projection, without the method's finds, for streams and other inputs that pass once."""
+    cols = docs.columns
+    text = F.col(f"`{text_col}`")
     for kind, pattern in BASE.items():
-        found = once(matches("__sw_in", pattern))
-        kept = f"transform(r, x -> concat(x.p, CASE WHEN {_holds(kind, 'x.m')} THEN '[{kind}]' ELSE x.m END))"
-        docs = docs.withColumn("__sw_in", once(text.cast("string"))).withColumn("r", found).withColumn("__sw_tail", F.element_at(F.split("__sw_in", pattern, -1), -1))
-        docs = docs.withColumn(text_col, once(F.concat(F.array_join(F.expr(kept), ""), F.col("__sw_tail")))).drop("__sw_in", "r", "__sw_tail")
+        kept = f"transform(__sw_r.found, x -> concat(x.p, CASE WHEN {_holds(kind, 'x.m')} THEN '[{kind}]' ELSE x.m END))"
+        docs = docs.withColumn("__sw_in", once(text.cast("string"))).withColumn("__sw_r", once(matches("__sw_in", pattern)))
+        docs = docs.withColumn(text_col, once(F.concat(F.array_join(F.expr(kept), ""), F.col("__sw_r.rest")))).select(*[F.col(f"`{c}`") for c in cols])
     return docs
 
 

@@ -10,8 +10,15 @@ BLOCK = 256
 
 
 def matches(text: str, pattern: str) -> Column:
-    """For a string column: structs of m, a match, and p, what stands between the one before and it; leftmost and non-overlapping."""
-    return F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("m"), F.slice(F.split(F.col(text), pattern, -1), 1, F.regexp_count(F.col(text), F.lit(pattern))).alias("p"))
+    """For a string column: found, structs of m, a match, and p, what stands between the one before and it, leftmost and non-overlapping; and rest, what stands after the last."""
+    both = F.array(F.struct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("m"), F.split(F.col(text), pattern, -1).alias("p")))
+    return F.transform(both, lambda c: F.struct(F.arrays_zip(c["m"].alias("m"), F.slice(c["p"], F.lit(1), F.size(c["m"])).alias("p")).alias("found"), F.element_at(c["p"], -1).alias("rest")))[0]
+
+
+def before(points: str, marks: str, equal: bool) -> str:
+    """SQL: for each number of a sorted array, how many of marks are less, or with equal as great at most. By one sort, and not by a look at each mark for each point."""
+    both = f"array_sort(concat(transform({marks}, v -> struct(v AS v, {0 if equal else 2} AS k)), transform({points}, v -> struct(v AS v, 1 AS k))))"
+    return f"transform(filter(transform({both}, (x, i) -> struct(x.k AS k, i AS i)), x -> x.k = 1), (x, j) -> x.i - j)"
 
 
 def places(found: str) -> Column:
