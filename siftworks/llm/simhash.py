@@ -17,9 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, written
+from .common import PATHS, UPPER, small, split_join, written
 from .components import stars
 
+#: Fingerprints that share a key, from which on a longer chain is the key.
+DENSE = 1000
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 #: For a byte, a number whose eight bytes are the byte's bits.
@@ -104,28 +106,64 @@ def _chain(x: str, i: str) -> Column:
     return F.expr("CASE " + " ".join(f"WHEN {i} = {s} THEN {t}" for s, t in enumerate(tests)) + " END")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def _thirds() -> Column:
+    """For 2 i + d: what to flip in the third segment of the chain from i, whose second has d bits that differ, so that no more than two do in all."""
+    lists = []
+    for i in range(5):
+        at, width = SEGMENTS[(i + 2) % 5]
+        bits = [1 << b for b in range(at, at + width)]
+        one = [0, *bits]
+        lists += [one + [x | y for k, x in enumerate(bits) for y in bits[:k]], one]
+    return F.array(*[F.array(*[F.lit(_signed(x)).cast("long") for x in xs]) for xs in lists])
+
+
+def _met_dense(probe: DataFrame, index: DataFrame, dense: DataFrame) -> DataFrame:
+    """(g, g2) of the pairs that meet on the keys of dense, a small table: by the chain's third segment too, and only where there is more than one g."""
+    dense = F.broadcast(dense.select("i", "key"))
+    triple = [_signed(_mask(i) | _mask(i + 1) | _mask(i + 2)) for i in range(5)]
+    mask = F.get(F.array(*[F.lit(m).cast("long") for m in triple]), F.col("i"))
+    two = F.get(F.array(*[F.lit(m).cast("long") for _, m in _keys()]), F.col("i"))
+    d = F.when(F.col("key") == F.col("fp").bitwiseAND(two), 0).otherwise(1)
+    asked = probe.join(dense, ["i", "key"]).select("fp", "g", "i", "key", F.explode(F.get(_thirds(), 2 * F.col("i") + d)).alias("x"))
+    asked = asked.select("fp", "g", "i", (F.col("key").bitwiseOR(F.col("fp").bitwiseAND(mask).bitwiseAND(F.bitwise_not(two)))).bitwiseXOR(F.col("x")).alias("key3"))
+    held = index.join(dense, ["i", "key"]).select("fp2", "g2", "i", F.col("fp2").bitwiseAND(mask).alias("key3"))
+    both = asked.select("i", "key3", "g", F.lit(0).alias("n")).unionByName(held.select("i", "key3", F.col("g2").alias("g"), F.lit(1).alias("n")))
+    mixed = both.groupBy("i", "key3").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.sum("n").alias("n")).where("low < high AND n > 0").select("i", "key3")
+    held = held.join(mixed, ["i", "key3"], "left_semi")
+    met = asked.alias("p").join(held.alias("q"), F.expr("p.i = q.i AND p.key3 = q.key3 AND g <> g2 AND bit_count(fp ^ fp2) <= 4") & _chain("(fp ^ fp2)", "p.i"))
+    return met.select("g", "g2")
+
+
+def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     """(fp, root) for each of the distinct fps that links with others, roots left out: root is the least fp, as a signed long, of its component.
 
     First each key's fingerprints are tried against the least of them, one row each. Then the keys are joined, and
     what the first step has united already gives no more rows, so that a dense group makes no pairs of its members.
+    Keys of more than `dense` fingerprints, and more than a 50,000th of all, are joined by a longer chain.
     """
     keyed = fps.select("fp", F.explode(_literal(_keys(), ("i", "mask"))).alias("t")).select("fp", "t.i", F.expr("fp & t.mask").alias("key"))
-    least = keyed.groupBy("i", "key").agg(F.min("fp").alias("p"), F.count("*").alias("n")).where("n > 1")
-    near = keyed.join(least, ["i", "key"]).where("fp <> p AND bit_count(fp ^ p) <= 4")
+    least, _ = written(keyed.groupBy("i", "key").agg(F.min("fp").alias("p"), F.count("*").alias("n")).where("n > 1"), "least")
+    near = split_join(keyed, least, ["i", "key"], "n").where("fp <> p AND bit_count(fp ^ p) <= 4")
     first, _ = written(stars(near.select(F.col("fp").alias("a"), F.col("p").alias("b"))), "first")
     known = fps.join(first.withColumnsRenamed({"node": "fp", "root": "g"}), "fp", "left").select("fp", F.coalesce("g", "fp").alias("g"))
     known, _ = written(known, "known")
     index = known.select("fp", "g", F.explode(_literal(_keys(), ("i", "mask"))).alias("t")).select(F.col("fp").alias("fp2"), F.col("g").alias("g2"), "t.i", F.expr("fp & t.mask").alias("key"))
     raised = F.filter(_literal(_raised(), ("i", "mask", "flip")), lambda t: F.col("fp").bitwiseAND(t["flip"]) == 0)
     probe = known.select("fp", "g", F.explode(raised).alias("t")).select("fp", "g", "t.i", F.expr("(fp & t.mask) | t.flip").alias("key"))
+    often = least.where(F.col("n") > max(dense, known.count() // 10_000))
+    more = None
+    if not often.isEmpty():
+        more = _met_dense(probe, index, often)
+        keys = F.broadcast(often.select("i", "key"))
+        probe, index = probe.join(keys, ["i", "key"], "left_anti"), index.join(keys, ["i", "key"], "left_anti")
     met = probe.alias("p").join(
         index.alias("q"),
         F.expr("p.i = q.i AND p.key = q.key AND g <> g2 AND bit_count(fp ^ fp2) <= 4") & _chain("(fp ^ fp2)", "p.i"),
-    )
-    over = stars(met.select(F.col("g").alias("a"), F.col("g2").alias("b")))
-    over = over.withColumnsRenamed({"node": "g", "root": "r"})
-    return known.join(over, "g", "left").select("fp", F.coalesce("r", "g").alias("root")).where("fp <> root")
+    ).select("g", "g2")
+    over = stars((met if more is None else met.unionByName(more)).select(F.col("g").alias("a"), F.col("g2").alias("b")))
+    over, _ = written(over.withColumnsRenamed({"node": "g", "root": "r"}), "over")
+    joined = known.join(small(over, PATHS[-1]), "g", "left")
+    return joined.select("fp", F.coalesce("r", "g").alias("root")).where("fp <> root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42) -> DataFrame:
@@ -138,22 +176,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one row.
     """
     marked, _ = written(with_fingerprint(docs, id_col, text_col, k, seed), "fp")
-    fps, _ = written(marked.groupBy("fp").agg(F.min("id").alias("low")), "fps")
-    joined = fps.join(links(fps.select("fp")), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    joined, _ = written(joined, "roots")
-    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = joined.join(lows, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the least id, and of rows that repeat that id the one with the least text.
-
-    Null ids come after all others. Rows are chosen by id, so unlike texts that repeat an id, or components of null ids
-    alone, leave one row; similar.drop_similar, which the pipeline uses, chooses by component. All columns stay. The choice is an aggregate of one row a component, never a sort of a component.
-    """
-    found = near_duplicates(docs, id_col, text_col).groupBy("component_id").count().select(F.col("component_id").alias("__sw_id"))
-    kept = docs.join(found, docs[id_col].eqNullSafe(found["__sw_id"]), "left_semi")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    first = kept.groupBy(F.col(id_col).alias("__sw_id")).agg(F.min_by(F.struct(*cols), F.struct(F.length(text_col), F.xxhash64(text_col))).alias("__sw_row"))
-    return first.select(*[F.col("__sw_row")[c].alias(c) for c in docs.columns])
+    fps, _ = written(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "fps")
+    linked, path = written(links(fps.select("fp")), "roots")
+    joined = fps.join(small(linked, path), "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    joined, _ = written(joined, "joined")
+    lows, _ = written(joined.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")), "lows")
+    of_fp, _ = written(split_join(joined.select("root", "fp", "n"), lows, ["root"], "members").select("fp", "n", "component_id"), "components")
+    return split_join(marked, of_fp, ["fp"], "n").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
