@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import small, worker_state, written
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACES = " \t\n\x0b\x0c\r"
@@ -105,7 +105,8 @@ def measure(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        m = Measure(model or public_tokenizers.path(VOCABULARY))
+        file = model or public_tokenizers.path(VOCABULARY)
+        m = worker_state(f"measure {file}", lambda: Measure(file))
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
@@ -153,10 +154,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry
     base_failed, and the tokeniser's measures lie in the band of the row's language and length class; where that
     language has too few rows of the class, in the band of its script; then of the language and of the script over
     the classes one and two away; then over all lengths; at last in the band of all rows, however few. Bands come from medians and quartiles over all rows, so junk of less than half a group does not move them. Null
-    texts count as empty, null languages go by script; rows that repeat are judged each. An empty table gives an empty one.
+    texts count as empty, null languages go by script; rows that repeat are judged each. An empty table gives an empty
+    one. A carried column of the name of a measure, base_failed or kept is replaced; others may have any names.
     """
-    lang = "__sw_lang"
-    got = measure(docs.withColumn(lang, F.col(lang_col).cast("string")), text_col, (*carry, lang), model)
+    lang, held = "__sw_lang", [c for c in carry if c not in (*MEASURES.names, "base_failed", "kept")]
+    at = [f"__sw_c{i}" for i in range(len(held))]
+    named = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(held, at, strict=True)], F.col(f"`{lang_col}`").cast("string").alias(lang), F.col(f"`{text_col}`").alias("__sw_in"))
+    got = measure(named, "__sw_in", (*at, lang), model)
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words")
     got = got.withColumns({"base_failed": failed, "length_class": F.floor(F.log2(F.greatest("n_pieces", F.lit(1)))).cast("int")})
     got, _ = written(got, "measures")
@@ -173,7 +177,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry
     out = got.join(small(chosen, path), F.col(lang).eqNullSafe(F.col("__sw_l")) & (F.col("script") == F.col("__sw_s")) & (F.col("length_class") == F.col("__sw_c")), "left")
     a, b = ((F.col(c) - F.col("band")[c]) / F.col("band")[f"{c}_s"] for c in LEAST_SPREAD)
     fits = (F.abs(a) <= FARTHEST) & (F.abs(b) <= FARTHEST) & (a + b >= FARTHEST_SUM) & (F.col("byte_share") <= F.col("band")["byte_share"] + MORE_BYTES)
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False))).select(*[F.col(f"`{c}`") for c in carry], *MEASURES.names, "base_failed", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False))).select(*[F.col(a).alias(c) for c, a in zip(held, at, strict=True)], *MEASURES.names, "base_failed", "kept")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
