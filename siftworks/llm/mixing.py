@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_RUN, SPACE_WORD, written
+from .common import SPACE_RUN, word_count, written
 
 #: Parts that a source is split into, so that no sort holds a whole one.
 PARTS = 4096
@@ -98,7 +98,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     """docs with size, source_size, target, the word of the source's ring at which the row begins, and the ends of the shards' runs of words."""
     text = F.col(text_col).cast("string")
     spot = F.xxhash64(F.lit(seed), F.col(id_col), text)
-    sized = docs.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long"), "__sw_src": F.col(source_col).cast("string"), "__sw_spot": spot, "__sw_part": F.pmod(F.shiftright(spot, 20), F.lit(PARTS))}).drop(text_col)
+    sized = docs.withColumns({"size": word_count(text), "__sw_src": F.col(source_col).cast("string"), "__sw_spot": spot, "__sw_part": F.pmod(F.shiftright(spot, 20), F.lit(PARTS))}).drop(text_col)
     sums = sized.groupBy("__sw_src", "__sw_part").agg(F.sum("size").alias("__sw_n"))
     sums, _ = written(sums, "parts")
     totals = sums.groupBy("__sw_src").agg(F.sum("__sw_n")).limit(MAX_SOURCES + 1).collect()
