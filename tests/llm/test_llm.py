@@ -381,6 +381,28 @@ def test_classifier_held_out_accuracy(spark, odd, none):
     assert weaklabel.classify(none).count() == 0
 
 
+def test_posterior_and_score_equal_brute_force(spark):
+    r = _R(17)
+    texts = [f"{sentence(r, 30)} the of and to in" + ("." if i % 2 else "###" * (i % 5)) for i in range(60)] + [sentence(r, 70).upper() + "!!"] * 3 + ["", "é É ß", None]
+    got = {x.doc_id: x for x in weaklabel.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    plain = [t or "" for t in texts]
+    cast = [weaklabel.votes(t) for t in plain]
+    for t, v in zip(plain, cast, strict=True):  # two of the labellers, character by character
+        if len(t.split()) >= 8:
+            share = sum(c.isupper() for c in t) / max(sum(c.isalpha() for c in t), 1)
+            assert v[1] == (1 if share <= 0.08 else 0 if share >= 0.25 else -1)
+    prior, right = weaklabel.accuracies(sorted(Counter(map(tuple, cast)).items()))
+    want = weaklabel.posterior(np.array(cast), prior, right)
+    each = sorted(set(plain))
+    labels = dict(zip(plain, want, strict=True))
+    weights, bias = weaklabel.train([weaklabel.sparse(t) for t in each], np.array([labels[t] for t in each]))
+    for i, t in enumerate(plain):
+        assert abs(got[i].posterior - want[i]) < 1e-9
+        total = sum(weights[b] for w in t.split() for b in weaklabel.features(w))
+        score = 1 / (1 + np.exp(-(bias + weaklabel.SCALE * total / len(t.split())))) if t.split() else 0.0
+        assert abs(got[i].score - score) < 1e-3 and got[i].kept == (got[i].score >= 0.5)
+
+
 # --- line dedup
 
 
@@ -483,6 +505,41 @@ def test_bands_reject_odd_fertility_and_keep_the_rest(spark):
     assert not any(got[1000 + i] for i in range(20))
 
 
+def test_kept_equals_brute_force(spark):
+    """Bands and verdicts from medians and quartiles of the rows, where groups are large enough for the first level."""
+    r = _R(21)
+    rows = [(i, sentence(r, int(r.r.integers(70, 100))), "ab"[i % 2], "a", 0) for i in range(240)] + [(1000 + i, " ".join("Q" + r.choice(WORDS).upper() + "##" for _ in range(80)), "a", "a", 0) for i in range(12)]
+    got = fertility.judge(spark.createDataFrame(rows, DOC), carry=("doc_id", "lang")).collect()
+    groups = {}
+    for x in got:
+        groups.setdefault((x.lang, int(np.log2(max(1, x.n_pieces)))), []).append(x)
+    checked = 0
+    for key, members in groups.items():
+        good = [x for x in members if not x.base_failed]
+        if len(good) < fertility.GROUP:
+            continue
+
+        def three(c):
+            v = sorted(getattr(x, c) for x in good)
+            return [v[max(0, int(np.ceil(q * len(v))) - 1)] for q in (0.25, 0.5, 0.75)]
+
+        (a1, a2, a3), (b1, b2, b3), (_, c2, _) = three("chars_per_piece"), three("entropy"), three("byte_share")
+        for x in members:
+            a = (x.chars_per_piece - a2) / max((a3 - a1) / 1.349, fertility.LEAST_SPREAD["chars_per_piece"])
+            b = (x.entropy - b2) / max((b3 - b1) / 1.349, fertility.LEAST_SPREAD["entropy"])
+            fits = abs(a) <= fertility.FARTHEST and abs(b) <= fertility.FARTHEST and a + b >= fertility.FARTHEST_SUM and x.byte_share <= c2 + fertility.MORE_BYTES
+            assert x.kept == (not x.base_failed and fits)
+            checked += 1
+    assert checked > 200 and not all(x.kept for x in got)
+
+
+def test_judged_columns_may_clash(spark):
+    docs = clash(spark.createDataFrame([(1, "one two three", "en", "a", 0)], DOC)).withColumns({c: F.lit(7) for c in ("band", "l", "entropy", "length_class", "base_failed")})
+    got = fertility.judge(docs, carry=tuple(docs.columns)).first()
+    assert (got.n_words, got.kept, got.base_failed, got.script, got.band, got.length_class, got.k) == (3, False, True, "latin", 7, 7, 7)
+    assert fertility.quality_filter(docs).columns == docs.columns
+
+
 # --- mixing
 
 
@@ -516,6 +573,27 @@ def test_targets():
     assert mixing.targets([0, 10], [5, 2], 1.5) == [0.0, 15.0]
 
 
+def test_taken_equals_a_walk_round_the_ring(spark):
+    """Each source's words stand in a ring by its rows' places; from its first word on, its quota's words are taken one by one."""
+    r = _R(33)
+    rows = [(i, sentence(r, int(r.r.integers(0, 40))), "en", f"s{i % 4}", 1) for i in range(120)]
+    df = spark.createDataFrame(rows, DOC)
+    spots = {x.doc_id: x.h for x in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    sizes = {i: len(t.split()) for i, t, *_ in rows}
+    sources = {i: s for i, _, _, s, _ in rows}
+    totals = Counter()
+    for i in sizes:
+        totals[sources[i]] += sizes[i]
+    want = Counter()
+    for p in mixing.plan(list(totals.items())):
+        part = lambda i: (spots[i] >> 20) % mixing.PARTS
+        ring = [i for i in sorted((i for i in sizes if sources[i] == p["source"]), key=lambda i: (part(i), spots[i], i)) for _ in range(sizes[i])]
+        for step in range(min(sum(p["quotas"]) * p["block"], 2 * len(ring))):
+            want[ring[(p["start"] + step) % len(ring)]] += 1
+    got = {x.doc_id: x.taken for x in mixing.mix_digest(df).collect()}
+    assert got == {i: want[i] for i in sizes}
+
+
 def test_mix(spark, odd, none):
     r = _R(6)
     rows = [(i, sentence(r, int(r.r.integers(0, 200))), "en", f"s{i % 7}" if i % 11 else None, 1) for i in range(300)]
