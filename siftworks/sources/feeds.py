@@ -14,19 +14,13 @@ from pyspark.sql import functions as F
 from siftworks.context import RunContext
 from siftworks.functions.dates import fresh, listing_date, rfc2822
 from siftworks.functions.rules import is_case_study
-from siftworks.functions.text import clean_inline, file_name, is_challenge, make_title, strip_illegal_xml, video_url
+from siftworks.functions.text import file_name, is_challenge, make_title, strip_illegal_xml, video_url
 from siftworks.schemas import ITEM
+from siftworks.sources.pages import FOUND, POST_CLASS, post, rows_of, story
 
 #: Hours after which a post is too old, by source bucket; posts that are read of a source that sets no limit.
 MAX_AGE = {"daily": 48, "weekly": 216}
 LIMIT = 30
-#: Patterns of the stories of a roundup page and of the posts of a listing page.
-STORY = r"(?s)(<article[^>]*>.*?</article>)"
-STORY_LINK = r'(?s)<a[^>]*href="([^"]+)"[^>]*>\s*<h3[^>]*>(.*?)</h3>'
-STORY_TEXT = r'(?s)<div[^>]*class="[^"]*newsletter-html[^"]*"[^>]*>(.*?)</div>'
-SPONSORED, MINUTES = r"(?i)\(sponsor\)\s*$", r"(?i)\s*\(\d+\s*minute read\)\s*$"
-POST = r'(?s)(<article[^>]*class="[^"]*__article"[^>]*>.*?</article>)'
-POST_TITLE, POST_DATE = r"(?s)<h3[^>]*>(.*?)</h3>", r'class="[^"]*__date"[^>]*>([^<]+)</div>'
 CONFIG = "name string, bucket string, kind string, url string, fetch_limit int, drop_case_studies boolean"
 #: A fetched body: the transport's job, and in tests a file's.
 BODY = "name string, url string, content_type string, body string"
@@ -115,27 +109,47 @@ def quarantine(bodies: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def parse_roundups(pages: DataFrame) -> DataFrame:
-    """The stories of fetched roundup pages: url, fetched_at, body (S7, S8, P5). Sponsored ones go, reading times leave the titles; hrefs stay as written."""
-    blocks = F.regexp_extract_all("body", F.lit(STORY), F.lit(1))
-    each = pages.select("name", "fetched_at", F.posexplode(blocks).alias("place", "b"))
-    each = each.withColumns({"href": F.regexp_extract("b", STORY_LINK, 1), "raw": clean_inline(F.regexp_extract("b", STORY_LINK, 2)), "text": clean_inline(F.regexp_extract("b", STORY_TEXT, 1))})
-    some = each.where((F.col("href") != "") & (F.col("raw") != "") & ~F.rlike("raw", F.lit(SPONSORED)))
-    title = F.trim(F.regexp_replace("raw", MINUTES, ""))
-    return some.withColumn("title", title).where("title <> ''").select(*_item(url=F.col("href"), title=F.col("title"), text=F.col("text"), fetched_at=F.col("fetched_at"), author_name=F.col("name")), F.col("name").alias("origin"), "place")
+    """The stories of fetched roundup pages: name, fetched_at, body (S7, S8, P5). Sponsored ones go, reading times leave the titles; hrefs stay as written."""
+    each = pages.select("name", "fetched_at", "body").mapInPandas(rows_of(story), FOUND).where("title <> ''")
+    return each.select(*_item(url=F.col("href"), title=F.col("title"), text=F.col("more"), fetched_at=F.col("fetched_at"), author_name=F.col("name")), F.col("name").alias("origin"), "place")
 
 
 def parse_listings(pages: DataFrame, config: DataFrame, ctx: RunContext, base: str, prefix: str = "/engineering/") -> DataFrame:
     """The posts of a listing page (S9): articles with a link under prefix and a title, joined to base; the age filter counts only where a date was read."""
-    blocks = F.slice(F.regexp_extract_all("body", F.lit(POST), F.lit(1)), 1, F.col("fetch_limit"))
-    each = pages.join(F.broadcast(config.select("name", "bucket", "fetch_limit")), "name").select("name", "bucket", F.posexplode(blocks).alias("place", "b"))
-    title = F.regexp_extract("b", POST_TITLE, 1)
-    date = F.regexp_extract("b", POST_DATE, 1)
-    each = each.withColumns({"href": F.regexp_extract("b", f'href="({re.escape(prefix)}[^"]+)"', 1), "title": F.trim(F.regexp_replace(title, r"<[^>]+>", "")), "date": date})
-    ts = F.coalesce(listing_date(F.col("date")), ctx.now())
+    found = pages.select("name", F.lit(None).cast("string").alias("fetched_at"), "body").mapInPandas(rows_of(lambda a: post(a, prefix), lambda a: a.kind.endswith(POST_CLASS)), FOUND)
+    each = found.join(F.broadcast(config.select("name", "bucket", "fetch_limit")), "name").where("place < fetch_limit")
+    ts = F.coalesce(listing_date(F.col("more")), ctx.now())
     young = F.lit(False)
     for bucket, hours in MAX_AGE.items():
-        young |= (F.col("bucket") == bucket) & fresh(ts, F.col("date") != "", ctx.now(), hours)
-    return each.where((F.col("href") != "") & (F.col("title") != "") & young).select(*_item(url=F.concat(F.lit(base), F.col("href")), title=F.col("title"), fetched_at=_iso(ts), author_name=F.col("name")), F.col("name").alias("origin"), "place")
+        young |= (F.col("bucket") == bucket) & fresh(ts, F.col("more") != "", ctx.now(), hours)
+    return each.where(young).select(*_item(url=F.concat(F.lit(base), F.col("href")), title=F.col("title"), fetched_at=_iso(ts), author_name=F.col("name")), F.col("name").alias("origin"), "place")
+
+
+def fetch_sources(bodies: DataFrame, config: DataFrame, ctx: RunContext, base: str = "", prefix: str = "/engineering/") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, errors (name, message) and a cost row for each source of config, by its kind: feed, roundup or listing.
+
+    bodies may have fetched_at, of a roundup's issue, latency_ms of the fetch, and failed, its message. A source that
+    failed, or gave nothing that parses, leaves the others as they are. Kinds that no reader knows raise.
+    """
+    kinds = [r.kind for r in config.select("kind").distinct().collect()]  # three at most
+    if unknown := set(kinds) - {"feed", "roundup", "listing"}:
+        raise ValueError(f"unknown kinds of source {sorted(unknown)}")
+    for column, value in (("fetched_at", F.lit(ctx.now_iso())), ("latency_ms", F.lit(0.0)), ("failed", F.lit(None).cast("string"))):
+        bodies = bodies if column in bodies.columns else bodies.withColumn(column, value)
+    told = bodies.join(F.broadcast(config.select("name", "kind")), "name")
+    got = told.where("failed IS NULL")
+    items, errors = parse_feeds(got.where("kind = 'feed'").select("name", "url", "content_type", "body"), config, ctx)
+    stories = parse_roundups(got.where("kind = 'roundup'"))
+    posts = parse_listings(got.where("kind = 'listing'"), config, ctx, base, prefix)
+    every = union_items([items.withColumn("place", F.col("place").cast("long")), stories.withColumn("place", F.col("place").cast("long")), posts.withColumn("place", F.col("place").cast("long"))])
+    errors = errors.unionByName(told.where("failed IS NOT NULL").select("name", F.col("failed").alias("message")))
+    said = errors.groupBy("name").agg(F.array_join(F.sort_array(F.collect_set("message")), "; ").alias("said"))
+    took = bodies.groupBy("name").agg(F.sum("latency_ms").alias("latency_ms"))
+    costs = config.select("name").join(took, "name", "left").join(said, "name", "left").select(
+        F.lit("fetch").alias("node_name"), F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"), F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms"), F.lit(0.0).alias("cost_usd"),
+        F.when(F.col("said").isNotNull(), F.concat("name", F.lit(": "), "said")).alias("error"), F.lit(None).cast("string").alias("provider"), F.lit(ctx.run_id).alias("run_id"), F.col("name").alias("source_name"),
+    )
+    return every, errors, costs
 
 
 BOOKMARK = "id string, date string, text string, url string, user struct<name:string,handle:string>, links array<struct<shortUrl:string,expandedUrl:string>>, quote_status struct<text:string>"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftworks.functions.rules import is_welcome, sender_address
 from siftworks.functions.text import html_text, visible_length
-from siftworks.functions.url import article_url, hrefs
+from siftworks.functions.url import article_url, hrefs, redirect_target
 
 #: Mails that are read at a time, and the length from which a body without a link is worth a look.
 LIMIT, SUBSTANTIAL = 20, 2000
@@ -65,6 +65,31 @@ def decide(mails: DataFrame, senders: DataFrame, resolver: Callable[[str], str |
     return j.withColumns({"url": url, "tier": tier, "action": F.when(leave, "leave").otherwise("read"), "item": item, "error": error, "warn": warn})
 
 
+def diagnose(mails: DataFrame, senders: DataFrame, resolver: Callable[[str], str | None] = lambda link: None, subjects: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
+    """What each tier makes of each link of the unread mails (L23): message_id, subject, name, place, href, tier, target. Reads only.
+
+    tier is 1 for a link to a post as it stands, 2 for one that decodes to it, 3 for one that the resolver ends at any
+    page, and null for one that fails. subjects: only mails with one of these.
+    """
+    post = r"/p/[\w-]"
+    first = mails.where("unread").orderBy("timestamp", "message_id").limit(limit)
+    if subjects is not None:
+        first = first.where(F.col("subject").isin(subjects))
+    named = first.withColumn("address", sender_address(F.col("from_"))).join(F.broadcast(senders.select("address", "name")), "address", "left")
+    each = named.select("message_id", "subject", "name", F.posexplode(hrefs(F.coalesce("extracted_html", "html", F.lit("")))).alias("place", "href"))
+    each = each.withColumn("decoded", redirect_target(F.col("href")))
+    near = F.when(F.rlike("href", F.lit(post)), 1).when(F.rlike(F.coalesce("decoded", F.lit("")), F.lit(post)), 2)
+    each = each.withColumn("near", near)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(end=[None if known == known and known is not None else resolver(h) for h, known in zip(batch["href"], batch["near"], strict=True)])
+
+    told = each.mapInPandas(run, "message_id string, subject string, name string, place int, href string, decoded string, near int, end string")
+    tier = F.coalesce("near", F.when(F.col("end").isNotNull(), 3))
+    return told.select("message_id", "subject", "name", "place", "href", tier.alias("tier"), F.when(F.col("near") == 1, F.col("href")).when(F.col("near") == 2, F.col("decoded")).otherwise(F.col("end")).alias("target"))
+
+
 def items(decided: DataFrame) -> DataFrame:
     """The items of decided mails."""
     raw = F.coalesce("extracted_html", "html", "extracted_text", "text", F.lit(""))

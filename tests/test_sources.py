@@ -89,6 +89,38 @@ def test_listing(spark):
     assert sorted((r.url, r.title, r.text) for r in got) == [("https://h.example/engineering/new", "New one", ""), ("https://h.example/engineering/odd", "Odd", "")]
 
 
+def test_pages_with_odd_markup(spark):
+    from siftworks.sources.pages import Articles, post, story, without_reading_time
+
+    page = '<article><a href="/p?a=1&amp;b=2"><h3>A <b>bold</b> &lt;one&gt;</h3></a><div class="x newsletter-html">first<div>inner</div>never</div></article><article><h3>no link</h3></article><article class="k__article"><a href="/other">x</a><a href="/engineering/y">y</a><h3 class="t"> T &amp; U </h3><div class="k__date">Jul 1, 2026</div>'
+    found = Articles(page + "</article>").found
+    assert story(found[0]) == ("/p?a=1&amp;b=2", "A bold <one>", "firstinner") and story(found[1]) is None
+    assert post(found[2], "/engineering/") == ("/engineering/y", "T &amp; U", "Jul 1, 2026")
+    assert [without_reading_time(t) for t in ("A (3 minute read)", "A (x minute read)", "minute read)", "B (4 MINUTE READ)")] == ["A", "A (x minute read)", "minute read)", "B"]
+    assert Articles("").found == [] and Articles("<article><h3>open").found == []
+
+
+def test_sources_by_kind(spark):
+    fresh = "Wed, 22 Jul 2026 06:00:00 +0000"
+    rows = [("f", "u", "text/xml", feed(post("A", "http://a", fresh)), None), ("bad", "u", "text/xml", "<rss><", None), ("down", "u", None, None, "timed out"), ("r", "u", "text/html", '<article><a href="http://s"><h3>S</h3></a></article>', None), ("l", "u", "text/html", '<article class="x__article"><a href="/engineering/n"><h3>N</h3></a></article>', None)]
+    told = spark.createDataFrame(rows, feeds.BODY + ", failed string").withColumn("latency_ms", F.lit(2.5))
+    items, errors, costs = feeds.fetch_sources(told, config(spark, ("f", "daily", {}), ("bad", "daily", {}), ("down", "daily", {}), ("r", "daily", {"kind": "roundup"}), ("l", "daily", {"kind": "listing"}), ("mute", "daily", {})), CTX, "https://h.example")
+    assert sorted(r.url for r in items.collect()) == ["http://a", "http://s", "https://h.example/engineering/n"]
+    assert sorted(r.name for r in errors.collect()) == ["bad", "down"]
+    got = {r.source_name: (r.latency_ms, r.error) for r in costs.collect()}
+    assert got["f"] == (2.5, None) and got["down"] == (2.5, "down: timed out") and got["bad"][1].startswith("bad: ") and got["mute"] == (0.0, None) and len(got) == 6
+    with pytest.raises(ValueError, match="unknown kinds"):
+        feeds.fetch_sources(told, config(spark, ("f", "daily", {"kind": "podcast"})), CTX)
+
+
+def test_mail_diagnosis(spark):
+    senders = spark.createDataFrame([("j@n.example", "N")], "address string, name string")
+    mails = spark.createDataFrame([mail(0, "A", "j@n.example", '<a href="https://n.example/p/x">a</a><a href="https://t.example/ok">b</a><a href="https://t.example/down">c</a>')], mailbox.MAIL)
+    got = mailbox.diagnose(mails, senders, {"https://t.example/ok": "https://end.example"}.get).orderBy("place").collect()
+    assert [(r.tier, r.target) for r in got] == [(1, "https://n.example/p/x"), (3, "https://end.example"), (None, None)]
+    assert mailbox.diagnose(mails, senders, subjects=["B"]).count() == 0
+
+
 def test_bookmarks(spark, tmp_path):
     data = [
         {"id": "1", "date": "2026-01-01T00:00:00Z", "text": "word " * 40, "url": "http://x/1", "user": {"name": "N", "handle": "h"}, "links": [{"shortUrl": "s", "expandedUrl": "http://e"}, {"shortUrl": "t"}], "quote_status": {"text": "q"}},
