@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions.rules import valid_classification, valid_tags
+from siftworks.operators.cut import cut
 
 
 def first_by(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
@@ -20,19 +21,17 @@ def last_by(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(pos)).alias("r")).select(key, "r.*")
 
 
-def batched(items: DataFrame, size: int = 50, pos: str = "pos", parts: int = 4096) -> DataFrame:
+def batched(items: DataFrame, size: int = 50, pos: str = "pos") -> DataFrame:
     """items with batch and index, both from 0, in the order of pos.
 
-    Rows are numbered within ranges of pos, and the ranges' counts, a row each, give the numbers' starts; so no task
-    sorts all rows.
+    Rows are ranged by pos into partitions of about one size, whatever gaps pos has, sorted there and cut; a row's place
+    in its partition is then given, and the partitions' counts, a row each, give where they start. So no task sorts all rows.
     """
-    low, high = items.agg(F.min(pos), F.max(pos)).first()
-    wide = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
-    ranged = items.withColumn("__part", F.expr(f"({pos} - {low or 0}) div {wide}"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # at most so many parts
-    starts = ranged.groupBy(F.col("__part").alias("__p")).count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__from"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(pos)) - 1
-    at = ranged.withColumn("__in", within).join(F.broadcast(starts), F.col("__part") == F.col("__p")).withColumn("__at", F.col("__from") + F.col("__in"))
+    ranged = cut(items.repartitionByRange(pos).sortWithinPartitions(pos).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = ranged.groupBy(part.alias("__p")).count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__from"))
+    at = ranged.join(F.broadcast(starts), part == F.col("__p")).withColumn("__at", F.col("__from") + F.col("__id").bitwiseAND((1 << 33) - 1))
     return at.select(*items.columns, F.expr(f"cast(__at div {size} as int)").alias("batch"), F.pmod("__at", F.lit(size)).cast("int").alias("index"))
 
 

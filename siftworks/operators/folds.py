@@ -82,6 +82,14 @@ def agreement(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame
     return j.agg(F.count("*").alias("n"), F.count_if(same).alias("n_agree"), F.avg(same.cast("int")).alias("rate"))
 
 
+def cost_comparison(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(node_name, old_cost, new_cost, cost_ratio, latency_delta_ms) for each node of both, from cost rows: old over new, infinite where new is free; new less old."""
+    total = lambda df, side: df.groupBy("node_name").agg(F.sum("cost_usd").alias(f"{side}_cost"), F.sum("latency_ms").alias(f"{side}_ms"))
+    j = total(old, "old").join(total(new, "new"), "node_name")
+    ratio = F.when(F.col("new_cost") > 0, F.col("old_cost") / F.col("new_cost")).otherwise(F.lit(float("inf")))
+    return j.select("node_name", "old_cost", "new_cost", ratio.alias("cost_ratio"), F.round(F.col("new_ms") - F.col("old_ms"), 1).alias("latency_delta_ms"))
+
+
 def collect_errors(rows: DataFrame, errors: DataFrame, names: DataFrame) -> DataFrame:
     """(name, n_rows, error) for each configured name, also those that gave nothing, and each that has rows or errors; messages joined by "; " in their order."""
     r = rows.groupBy(F.col("author_name").alias("name")).agg(F.count("*").alias("n"))

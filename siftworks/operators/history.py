@@ -25,6 +25,11 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str
     return told.select("__row.*", *[F.col("__v")[v].alias(f"prior_{v}") for v in values])
 
 
+def previous(rows: DataFrame, key: str, order: list[str], value: str, out: str = "previous") -> DataFrame:
+    """rows with the value of the key's row before, by order, or null for its first (W6). A key's rows must fit a task's sort, which spills."""
+    return rows.withColumn(out, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
+
+
 def movement(prior: DataFrame, snapshot: DataFrame, lists: DataFrame, done: str = "Done") -> DataFrame:
     """Where the cards of an earlier plan stand now (J10, L18). prior: card_id, list_name; snapshot: card_id, closed, list_id; lists: list_id, list_name.
 

@@ -6,7 +6,6 @@ over the threshold come out. Work is spread over the pairs of blocks, and no tas
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,20 +14,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftworks.operators.cut import cut
+
 BLOCK = 1024
 FOLDED = pa.schema([("url", pa.string()), ("slot", pa.int64()), ("kept", pa.bool_()), ("matched", pa.string()), ("sim", pa.float64()), ("filter_type", pa.string())])
 VERBATIM, OVERLAP, TOPIC = 0.90, 0.60, 0.30
 
 
-def _blocks(df: DataFrame, key: str, vector: str, side: str, block: int) -> DataFrame:
+def _blocks(df: DataFrame, key: str, vector: str, side: str, block: int) -> tuple[DataFrame, int]:
+    """df as rows of about block vectors, in the order of their keys, and how many such rows there are at most."""
     n = max(1, -(-df.count() // block))
     one = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("b"))
-    return one.groupBy("b").agg(F.collect_list(F.struct("k", "v")).alias(side)).drop("b")
+    return one.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias(side)).drop("b"), n
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str = "embedding_vector", block: int = BLOCK) -> DataFrame:
-    """(a, b, sim) of the pairs of left and right whose cosine is threshold at least. Zero vectors and vectors of other sizes have cosine 0."""
-    a, b = _blocks(left, key_l, vector, "l", block), _blocks(right, key_r, vector, "r", block)
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str = "embedding_vector", block: int = BLOCK, best: bool = False) -> DataFrame:
+    """(a, b, sim) of the pairs of left and right whose cosine is threshold at least; with best, for each a only the one of a block of right that has the greatest, of equal ones the least b. Zero vectors and vectors of other sizes have cosine 0."""
+    (a, na), (b, nb) = _blocks(left, key_l, vector, "l", block), _blocks(right, key_r, vector, "r", block)
     kind_a, kind_b = left.schema[key_l].dataType.simpleString(), right.schema[key_r].dataType.simpleString()
 
     def unit(cell: pa.ListScalar) -> tuple[list, np.ndarray, np.ndarray]:
@@ -47,11 +49,16 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: st
                 width = max(ma.shape[1], mb.shape[1])
                 ma, mb = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (ma, mb))
                 sim = np.where(sa[:, None] == sb[None, :], ma @ mb.T, 0.0)
-                i, j = np.nonzero(sim >= threshold)
+                if best:
+                    i = np.arange(len(ka))
+                    j = sim.argmax(axis=1)
+                    i, j = i[sim[i, j] >= threshold], j[sim[i, j] >= threshold]
+                else:
+                    i, j = np.nonzero(sim >= threshold)
                 yield pa.RecordBatch.from_arrays([ka.take(pa.array(i)), kb.take(pa.array(j)), pa.array(sim[i, j])], names=["a", "b", "sim"])
 
     pairs = a.crossJoin(b)  # of blocks, not of rows
-    return pairs.repartition(max(1, min(2000, pairs.count()))).mapInArrow(run, f"a {kind_a}, b {kind_b}, sim double")
+    return pairs.repartition(min(2000, na * nb)).mapInArrow(run, f"a {kind_a}, b {kind_b}, sim double")
 
 
 def _tiers(pairs: DataFrame, left: DataFrame, right: DataFrame, verbatim: float, overlap: float) -> DataFrame:
@@ -69,32 +76,21 @@ def window_match(items: DataFrame, window: DataFrame, verbatim: float = VERBATIM
 
 
 def nearest_topic(items: DataFrame, topics: DataFrame, key: str = "url", vector: str = "embedding_vector") -> DataFrame:
-    """(key, best_tag, similarity_score) of each item: its nearest topic, of equal ones the least tag."""
-    pairs = similar_pairs(items, topics, -2.0, key, "tag", vector)
+    """(key, best_tag, similarity_score) of each item: its nearest topic, of equal ones the least tag (J4). One row an item and block of topics leaves the product."""
+    pairs = similar_pairs(items, topics, -2.0, key, "tag", vector, best=True)
     best = pairs.groupBy("a").agg(F.min_by(F.struct("b", "sim"), F.struct(-F.col("sim"), F.col("b"))).alias("m"))
     return best.select(F.col("a").alias(key), F.col("m.b").alias("best_tag"), F.col("m.sim").alias("similarity_score"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the shared folder; one of its own where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftworks-"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) by least labels that are passed along edges (a, b) and then along the labels' own labels, until none changes."""
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _cut(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     for _ in range(rounds):
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near, label.node == near.a).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
         up = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        after = _cut(step.join(up, step.root == up.n2).select("node", F.least("root", "r2").alias("root"), "was"))
+        after = cut(step.join(up, step.root == up.n2).select("node", F.least("root", "r2").alias("root"), "was"))
         if after.where("root <> was").isEmpty():
             return after.select("node", "root")
         label = after.select("node", "root")
@@ -109,7 +105,7 @@ def greedy_dedup(items: DataFrame, verbatim: float = VERBATIM, overlap: float =
     of the pair graph, in parallel; all other items survive as they are. items has url, pos, fetched_at, is_roundup and
     embedding_vector.
     """
-    own = _cut(_tiers(similar_pairs(items, items, min(verbatim, overlap), "url", "url"), items, items, verbatim, overlap).where("a <> b"))
+    own = cut(_tiers(similar_pairs(items, items, min(verbatim, overlap), "url", "url"), items, items, verbatim, overlap).where("a <> b"))
     roots = components(own)
     near = own.groupBy("a").agg(F.collect_list(F.struct("b", "sim", "filter_type")).alias("near"))
     rows = items.select("url", "pos", "fetched_at").join(near, F.col("url") == F.col("a")).drop("a").join(roots, F.col("url") == F.col("node")).drop("node")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftworks.sources.store import TableStore
 
@@ -12,9 +13,21 @@ def labelled(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("item_id string, correct_decision string, correct_tags array<string>, notes string").json(path, multiLine=True)
 
 
-def completions(spark: SparkSession, urls: DataFrame, **jdbc: str) -> DataFrame:
-    """(url, checked) of an outside table for the urls at hand (S24). jdbc: url, dbtable and what else the reader needs; only two columns are read."""
-    return spark.read.format("jdbc").options(**jdbc).load().select("url", "checked").join(urls.select("url").distinct(), "url", "left_semi")
+def completions(spark: SparkSession, urls: DataFrame, most: int = 1000, **jdbc: str) -> DataFrame:
+    """(url, checked) of an outside table for the urls at hand (S24). jdbc: url, dbtable and what else the reader needs.
+
+    Only two columns are read. Up to so many distinct urls, as a weekly run has, go to the database as a condition;
+    with more the table is read and joined.
+    """
+    table = spark.read.format("jdbc").options(**jdbc).load().select("url", "checked")
+    wanted = urls.select("url").distinct()
+    some = [r.url for r in wanted.limit(most + 1).collect()]
+    return asked(table, some) if len(some) <= most else table.join(wanted, "url", "left_semi")
+
+
+def asked(table: DataFrame, urls: list[str]) -> DataFrame:
+    """The rows of these urls, by a condition that a scan takes over."""
+    return table.where(F.col("url").isin(urls)) if urls else table.limit(0)
 
 
 def stage_rows(store: TableStore, name: str, run_id: str) -> DataFrame:

@@ -13,3 +13,11 @@ def test_files(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/c", header=True).count() == 2
     files.dump_json(df, f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").first().cost == 1.5
+
+
+def test_completions_are_asked_for_by_url(spark, tmp_path):
+    spark.createDataFrame([(f"u{i}", i % 2 == 0) for i in range(50)], "url string, checked boolean").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    got = files.asked(table, ["u1", "u2", "zzz"])
+    assert sorted(map(tuple, got.collect())) == [("u1", False), ("u2", True)]
+    assert "PushedFilters: [In(url" in got._jdf.queryExecution().toString() and files.asked(table, []).count() == 0
