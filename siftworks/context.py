@@ -20,6 +20,8 @@ class RunContext:
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     run_ts: datetime = field(default_factory=lambda: datetime.now(UTC))
     dry_run: bool = False
+    #: Summaries of the run's nodes so far; written when the run ends.
+    nodes: list = field(default_factory=list, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         if self.context not in CONTEXTS:

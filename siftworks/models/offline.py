@@ -95,7 +95,7 @@ class NumberParser:
 
 class AppendRewriter:
     def rewrite(self, profile: str, feedback: DataFrame) -> str:
-        counts = feedback.select(F.explode("tags").alias("t"), "sentiment").groupBy("t", "sentiment").count().orderBy("t", "sentiment").limit(1000).collect()
+        counts = feedback.select(F.explode("tags").alias("t"), "sentiment").groupBy("t", "sentiment").count().orderBy("t", "sentiment").collect()  # a row a tag and sentiment
         return profile.rstrip() + "".join(f"\n# {r.t}: {r.sentiment} x{r['count']}" for r in counts) + "\n"
 
 

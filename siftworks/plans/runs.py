@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.context import RunContext
@@ -12,31 +13,66 @@ from siftworks.functions.rules import cost_embedding, is_roundup, nudge_delta
 from siftworks.functions.dates import iso_week
 from siftworks.functions.text import embedding_text, proposal_id
 from siftworks.models import offline
+from siftworks.models.interfaces import Board, Classifier, Embedder, Matcher, Notifier, Prioritizer, ReplyParser, Rewriter, Scorer, Sentiment
+from siftworks.operators.cut import cut
 from siftworks.operators import dedup, enrich, folds, history, routing, similarity
 from siftworks.plans import render
+from siftworks.schemas import COST, STORE
 from siftworks.sources.store import TableStore
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A stage's rows, made once: models are asked once, and retries read what they said."""
-    return similarity._cut(df)
+def _ask(what: Callable[[], DataFrame], other: Callable[[], DataFrame], tries: int = 1) -> tuple[DataFrame, str | None]:
+    """What a model says, asked up to so many times; after that the fallback, and the last failure's message."""
+    error = None
+    for _ in range(tries):
+        try:
+            return cut(what()), None
+        except Exception as e:  # the service's failure, or an answer that does not parse, is data here
+            error = str(e)[:500]
+    return cut(other()), error
+
 
+def _noted(ctx: RunContext, node: str, n_in: int, n_out: int, since: float, cost: float = 0.0, error: str | None = None) -> None:
+    """Keeps a node's summary until the run's end."""
+    ctx.nodes.append(folds.node_summary(ctx.run_id, node, n_in, n_out, cost, round(time.perf_counter() - since, 3), error))
 
-def topic_vectors(store: TableStore, topics: DataFrame, embedder=None, ctx: RunContext | None = None) -> None:  # noqa: ANN001
-    """Writes a vector for each (tag, text) of topics; noise and course have none."""
-    ctx = ctx or RunContext()
-    got = (embedder or offline.HashEmbedder()).embed(topics.where(~F.col("tag").isin("noise", "course")), "text")
-    store.upsert("topic_vectors", got.withColumn("updated_at", F.lit(ctx.now_iso())))
 
+def topic_vectors(store: TableStore, topics: DataFrame, embedder: Embedder | None = None, ctx: RunContext | None = None) -> None:
+    """Writes a vector for each (tag, text) of topics, and a cost row for each tag.
 
-def discover(items: DataFrame, store: TableStore, ctx: RunContext, embedder=None, verbatim: float = similarity.VERBATIM, overlap: float = similarity.OVERLAP, least: float = similarity.TOPIC) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    noise and course, and tags without a text, have no vector, which their row says. A tag whose embedding fails keeps
+    the vector that it had, and the others get theirs. topics is a configuration of some ten rows.
+    """
+    ctx, spark = ctx or RunContext(), store.spark
+    asked = embedder or offline.HashEmbedder()
+    told, costs = [], []
+    for tag, text in topics.select("tag", "text").orderBy("tag").collect():
+        cost = {"node_name": "recompute_topic_vectors", "input_tokens": 0, "output_tokens": 0, "latency_ms": 0.0, "cost_usd": 0.0, "error": None, "provider": "nvidia", "run_id": ctx.run_id}
+        if text is None or tag in ("noise", "course"):
+            costs.append(cost | {"error": f"tag {tag} has no text, no vector computed", "provider": None})
+            continue
+        try:
+            got = asked.embed(spark.createDataFrame([(tag, text)], "tag string, text string"), "text").withColumn("cost_usd", cost_embedding(F.col("n_tokens"))).first()
+        except Exception as e:  # one tag's failure leaves the others
+            costs.append(cost | {"error": f"tag {tag} failed: {e}"[:500]})
+            continue
+        told.append((tag, list(got.embedding_vector), ctx.now_iso()))
+        costs.append(cost | {"input_tokens": got.n_tokens, "cost_usd": float(got.cost_usd)})
+    if told:
+        store.upsert("topic_vectors", spark.createDataFrame(told, "tag string, embedding_vector array<double>, updated_at string"))
+    if costs:
+        store.append("costs", spark.createDataFrame(costs, COST + ", run_id string"))
+
+
+def discover(items: DataFrame, store: TableStore, ctx: RunContext, embedder: Embedder | None = None, verbatim: float = similarity.VERBATIM, overlap: float = similarity.OVERLAP, least: float = similarity.TOPIC) -> tuple[DataFrame, DataFrame]:
     """New items on a topic, and items without one (L10-L12, P7): URL groups, seen before, ad-hoc bypass, same in meaning, topics.
 
     items has the columns of an item and pos. If embedding fails as a whole, items pass the dedup, and all of them are without a topic.
     """
-    spark = items.sparkSession
+    spark, since = items.sparkSession, time.perf_counter()
     grouped = dedup.cluster_by_url(items)
-    new = _cut(dedup.unseen(grouped, dedup.alive(store.read("seen_items"), ctx.now())))
+    new = cut(dedup.unseen(grouped, dedup.alive(store.read("seen_items"), ctx.now())))
+    _noted(ctx, "discover", items.count(), new.count(), since)
     adhoc = new.where(F.col("source") == "adhoc")
     rest = new.where(F.col("source") != "adhoc")
     none = rest.limit(0).select("*", F.lit("").alias("best_tag"), F.lit(0.0).alias("similarity_score"))
@@ -44,14 +80,14 @@ def discover(items: DataFrame, store: TableStore, ctx: RunContext, embedder=None
         return adhoc, none
     try:
         told = rest.withColumn("__text", embedding_text(F.col("title"), F.col("text")))
-        embedded = _cut((embedder or offline.HashEmbedder()).embed(told, "__text").withColumn("is_roundup", is_roundup(F.col("source"), F.col("title"))))
+        embedded = cut((embedder or offline.HashEmbedder()).embed(told, "__text").withColumn("is_roundup", is_roundup(F.col("source"), F.col("title"))))
     except Exception as e:  # the service's failure is data here
         store.append("embedding_failures", spark.createDataFrame([("discover", ctx.run_id, rest.count(), str(e)[:500], ctx.now_iso())], "module string, run_id string, item_count long, error string, occurred_at string"))
         return adhoc, rest.select("*", F.lit("embed_failed").alias("best_tag"), F.lit(0.0).alias("similarity_score"))
     window = history.recent(store.read("recent_item_embeddings"), "scored_at", ctx.now())
-    hits = _cut(similarity.window_match(embedded, window, verbatim, overlap)) if not window.isEmpty() else None
+    hits = cut(similarity.window_match(embedded, window, verbatim, overlap)) if not window.isEmpty() else None
     left = embedded if hits is None else embedded.join(hits.select("url"), "url", "left_anti")
-    judged = _cut(similarity.greedy_dedup(left, verbatim, overlap))
+    judged = cut(similarity.greedy_dedup(left, verbatim, overlap))
     drop = judged.where("NOT kept").select(F.col("url").alias("item_id"), "filter_type", F.col("sim").alias("similarity_score"), F.col("matched").alias("compared_against_item_id"))
     if hits is not None:
         drop = drop.unionByName(hits.select(F.col("url").alias("item_id"), "filter_type", F.col("sim").alias("similarity_score"), F.col("matched").alias("compared_against_item_id")))
@@ -64,7 +100,7 @@ def discover(items: DataFrame, store: TableStore, ctx: RunContext, embedder=None
     if topics.isEmpty():
         return kept.select(*cols).unionByName(adhoc), none
     near = kept.join(similarity.nearest_topic(kept, topics), "url")
-    off = _cut(near.where(F.col("similarity_score") < least))
+    off = cut(near.where(F.col("similarity_score") < least))
     store.append("prefilter_drops", off.select(F.col("url").alias("item_id"), F.lit("taste").alias("filter_type"), "similarity_score", F.col("best_tag").alias("compared_against_tag"), F.lit(ctx.run_id).alias("run_id")))
     if not ctx.dry_run:
         store.upsert("seen_items", dedup.marks(off, dedup.alive(store.read("seen_items"), ctx.now()), ctx.now_iso()))
@@ -72,15 +108,17 @@ def discover(items: DataFrame, store: TableStore, ctx: RunContext, embedder=None
     return on.unionByName(adhoc), off.select(*cols, "best_tag", F.round("similarity_score", 3).alias("similarity_score"))
 
 
-def score(items: DataFrame, store: TableStore, ctx: RunContext, scorer=None) -> DataFrame:  # noqa: ANN001
+def score(items: DataFrame, store: TableStore, ctx: RunContext, scorer: Scorer | None = None) -> DataFrame:
     """Items with keep, reasoning and valid tags; marked as seen and logged (L3, K1, K6, K7)."""
-    lots = _cut(enrich.batched(items))
-    said = _cut((scorer or offline.KeywordScorer()).score(lots))
-    scored = _cut(enrich.join_scores(lots, said))
+    since = time.perf_counter()
+    lots = cut(enrich.batched(items))
+    said = cut((scorer or offline.KeywordScorer()).score(lots))
+    scored = cut(enrich.join_scores(lots, said))
     store.append("dropped_tags", enrich.rejected_tags(lots, said).withColumn("run_id", F.lit(ctx.run_id)))
     store.append("scored_items_log", scored.withColumns({"run_id": F.lit(ctx.run_id), "logged_at": F.lit(ctx.now_iso())}))
     if not ctx.dry_run:
         store.upsert("seen_items", dedup.marks(items, dedup.alive(store.read("seen_items"), ctx.now()), ctx.now_iso()))
+    _noted(ctx, "score", lots.count(), scored.where("keep").count(), since)
     return scored
 
 
@@ -88,29 +126,33 @@ def _started(store: TableStore, ctx: RunContext, path: str) -> None:
     store.upsert("run_history", store.spark.createDataFrame([(ctx.run_id, path, "in_progress", ctx.now_iso())], "run_id string, path string, status string, started_at string"))
 
 
-def _finished(store: TableStore, ctx: RunContext, path: str, status: str, n_in: int, n_out: int, error: str | None = None) -> None:
+def _finished(store: TableStore, ctx: RunContext, path: str, status: str, n_in: int, n_out: int, since: float, error: str | None = None) -> None:
+    if ctx.nodes:
+        store.upsert("node_summary", store.spark.createDataFrame(ctx.nodes, STORE["node_summary"][0]))
     total = store.read("costs").where(F.col("run_id") == ctx.run_id).agg(F.sum("cost_usd")).first()[0] or 0.0
-    row = (ctx.run_id, path, status, ctx.now_iso(), ctx.now_iso(), total, n_in, n_out, 0.0, error)
-    store.upsert("run_history", store.spark.createDataFrame([row], "run_id string, path string, status string, started_at string, finished_at string, total_cost_usd double, items_in long, items_out long, duration_seconds double, error_summary string"))
+    row = (ctx.run_id, path, status, ctx.now_iso(), ctx.now_iso(), total, n_in, n_out, round(time.perf_counter() - since, 3), error)
+    store.upsert("run_history", store.spark.createDataFrame([row], STORE["run_history"][0]))
 
 
 def _tracked(run: Callable) -> Callable:
-    """Marks a run as begun and, however it ends, as ended (K9, T8s)."""
+    """Marks a run as begun and, however it ends, as ended, with its nodes' summaries (K9, T8s)."""
+
     def wrapped(items: DataFrame, store: TableStore, ctx: RunContext, *args, **more):  # noqa: ANN002, ANN003, ANN202
-        path = run.__name__.removesuffix("_run")
+        path, since = run.__name__.removesuffix("_run"), time.perf_counter()
+        ctx.nodes.clear()
         _started(store, ctx, path)
         try:
             text, shown, status, n_in = run(items, store, ctx, *args, **more)
         except Exception as e:
-            _finished(store, ctx, path, "failed", 0, 0, str(e)[:500])
+            _finished(store, ctx, path, "failed", 0, 0, since, str(e)[:500])
             raise
-        _finished(store, ctx, path, status, n_in, len(shown))
+        _finished(store, ctx, path, status, n_in, len(shown), since)
         return text, shown
 
     return wrapped
 
 
-def _deliver(store: TableStore, ctx: RunContext, name: str, text: str, shown: list[dict], notifier) -> None:  # noqa: ANN001
+def _deliver(store: TableStore, ctx: RunContext, name: str, text: str, shown: list[dict], notifier: Notifier) -> None:
     """Sends a text, keeps its map by message and the text as the latest document."""
     message = notifier.send(text)
     spark = store.spark
@@ -126,7 +168,7 @@ def _costs(store: TableStore, ctx: RunContext) -> dict[str, float]:
 
 
 @_tracked
-def daily_run(items: DataFrame, store: TableStore, ctx: RunContext, embedder=None, scorer=None, notifier=None) -> tuple:  # noqa: ANN001
+def daily_run(items: DataFrame, store: TableStore, ctx: RunContext, embedder: Embedder | None = None, scorer: Scorer | None = None, notifier: Notifier | None = None) -> tuple:
     """Discovery, scores, digest, delivery. Gives the text and the item map."""
     new, off = discover(items, store, ctx, embedder)
     scored = score(new, store, ctx, scorer)
@@ -136,10 +178,12 @@ def daily_run(items: DataFrame, store: TableStore, ctx: RunContext, embedder=Non
 
 
 @_tracked
-def weekly_run(items: DataFrame, store: TableStore, ctx: RunContext, cards: DataFrame, snapshot: DataFrame, lists: DataFrame, completions: DataFrame, embedder=None, scorer=None, matcher=None, classifier=None, prioritizer=None, notifier=None) -> tuple:  # noqa: ANN001
+def weekly_run(items: DataFrame, store: TableStore, ctx: RunContext, cards: DataFrame, snapshot: DataFrame, lists: DataFrame, completions: DataFrame, embedder: Embedder | None = None, scorer: Scorer | None = None, matcher: Matcher | None = None, classifier: Classifier | None = None, prioritizer: Prioritizer | None = None, notifier: Notifier | None = None) -> tuple:
     """Discovery, scores, cards, classes, proposals, project work, carried items, plan, delivery, and the profile's update (3.2, T9s, T18).
 
     Proposals wait in pending_resume; the run does not wait for them, and its status is paused while there are any.
+    A matcher that fails leaves all items without a card (L4), a classifier all as plan items (L5), and a prioritiser
+    that fails twice the first five candidates in their order (L6).
     """
     spark = items.sparkSession
     notifier = notifier or offline.Outbox()
@@ -148,19 +192,30 @@ def weekly_run(items: DataFrame, store: TableStore, ctx: RunContext, cards: Data
     scored = score(new, store, ctx, scorer)
     store.remove("adhoc_queue", store.read("adhoc_queue").where("trim(coalesce(text, '')) <> ''"))
     prior = history.latest_prior(store.read("plan_history"), "generated_at", ctx.run_id).select(F.explode("cards").alias("c")).select("c.*")
-    moves = _cut(history.movement(prior, snapshot, lists))
+    moves = cut(history.movement(prior, snapshot, lists))
     kept = scored.where("keep")
-    matched = _cut(enrich.with_matches(kept, (matcher or offline.NameMatcher()).match(kept, cards)))
-    classed = _cut(enrich.with_classes(matched, (classifier or offline.RuleClassifier()).classify(matched)))
+    since = time.perf_counter()
+    said, error = _ask(lambda: (matcher or offline.NameMatcher()).match(kept, cards), lambda: spark.createDataFrame([], "item_id string, matched_card_id string, pos long"))
+    matched = cut(enrich.with_matches(kept, said))
+    _noted(ctx, "match", kept.count(), matched.where("matched_card_id IS NOT NULL").count(), since, error=error)
+    since = time.perf_counter()
+    plain = matched.select(F.col("url").alias("item_id"), F.lit("plan_item").alias("classification"), F.lit(None).cast("string").alias("proposal_type"), F.lit("fallback: the classifier failed").alias("classification_reasoning"), "pos")
+    said, error = _ask(lambda: (classifier or offline.RuleClassifier()).classify(matched), lambda: plain)
+    classed = cut(enrich.with_classes(matched, said))
+    _noted(ctx, "classify", matched.count(), classed.where("classification = 'project_proposal'").count(), since, error=error)
     store.append("classification_log", classed.select(F.col("url").alias("item_id"), F.col("classification").alias("decision"), "proposal_type", F.lit(ctx.run_id).alias("run_id")))
     proposals = classed.where("classification = 'project_proposal'").select(proposal_id(F.col("url")).alias("proposal_id"), "title", "url", "reasoning").orderBy("proposal_id").collect()
     if proposals:
         rows = [(notifier.send(f"Proposal: {p.title}\n{p.url}\n{p.reasoning}", None), p.proposal_id, p.proposal_id, ctx.run_id) for p in proposals]
         store.upsert("pending_resume", spark.createDataFrame(rows, "message_id string, thread_id string, proposal_id string, run_id string"))
     candidates = enrich.matched_candidates(classed)
-    chosen = (prioritizer or offline.FirstPrioritizer()).select(candidates, cards, moves) if not candidates.isEmpty() else spark.createDataFrame([], "matched_card_id string, source string, item_url string, priority_reasoning string, movement_note string, pos long")
-    picked = _cut(enrich.valid_selection(chosen, cards, candidates))
-    carried = _cut(history.carry_forward(store.read("run_history"), store.read("item_map"), completions, store.read("carry_forward_log"), ctx.run_id))
+    since = time.perf_counter()
+    none = spark.createDataFrame([], "matched_card_id string, source string, item_url string, priority_reasoning string, movement_note string, pos long")
+    first = candidates.orderBy("pos").limit(5).select("matched_card_id", F.lit("new_item").alias("source"), F.col("url").alias("item_url"), F.lit("fallback: JSON parse failed, unprioritized").alias("priority_reasoning"), F.lit(None).cast("string").alias("movement_note"), "pos")
+    chosen, error = _ask(lambda: (prioritizer or offline.FirstPrioritizer()).select(candidates, cards, moves), lambda: first, tries=2) if not candidates.isEmpty() else (none, None)
+    picked = cut(enrich.valid_selection(chosen, cards, candidates))
+    _noted(ctx, "prioritize", candidates.count(), picked.count(), since, error=error)
+    carried = cut(history.carry_forward(store.read("run_history"), store.read("item_map"), completions, store.read("carry_forward_log"), ctx.run_id))
     store.upsert("carry_forward_log", carried.select("url", F.lit(ctx.run_id).alias("carried_in_run_id"), F.lit(ctx.now_iso()).alias("carried_at")))
     plan_items = classed.unionByName(carried.withColumn("pos", F.col("pos") + F.lit(1 << 60)), allowMissingColumns=True)
     entries = enrich.project_entries(picked, cards, classed)
@@ -172,7 +227,7 @@ def weekly_run(items: DataFrame, store: TableStore, ctx: RunContext, cards: Data
     return text, shown, "paused" if proposals else "success", items.count()
 
 
-def update_profile(store: TableStore, ctx: RunContext, rewriter=None) -> None:  # noqa: ANN001
+def update_profile(store: TableStore, ctx: RunContext, rewriter: Rewriter | None = None) -> None:
     """Rewrites the profile by the week's feedback and clears the nudges (L9, T9s, K17, P15). Run again by the same run it changes nothing."""
     spark = store.spark
     old = store.read("profile").where("name = 'current'").first()
@@ -182,29 +237,41 @@ def update_profile(store: TableStore, ctx: RunContext, rewriter=None) -> None:
     if not week.isEmpty():
         text = (rewriter or offline.AppendRewriter()).rewrite(old.content if old else "", week)
         store.upsert("profile", spark.createDataFrame([("current", text, ctx.now_iso())], "name string, content string, updated_at string"))
+    store.upsert("polling_state", spark.createDataFrame([("nudges_cleared", int(ctx.run_ts.timestamp() * 1e6))], "name string, value long"))
     store.replace("same_day_adjustments", store.read("same_day_adjustments").limit(0))
 
 
-def poll(updates: DataFrame, store: TableStore, ctx: RunContext, parser=None, sentiment=None, notifier=None, board=None) -> dict[str, int]:  # noqa: ANN001
-    """Routes a batch of updates and acts on them (3.3, L8, L15, L16, C5, T4s, T6s). The offset is stored last; a batch that runs again changes nothing that was done.
+def _events(rows: DataFrame, batch: int) -> DataFrame:
+    """rows with event_id, the same when the batch that begins at this offset runs again; repeats within it are told apart."""
+    what = F.to_json(F.struct(F.lit(batch).alias("batch"), "item_id", "feedback_text", "sentiment", "run_id"))
+    again = F.row_number().over(Window.partitionBy("__what").orderBy("replied_at"))
+    return rows.withColumn("__what", what).withColumn("event_id", F.sha2(F.concat_ws("#", "__what", again), 256)).drop("__what")
+
 
+def poll(updates: DataFrame, store: TableStore, ctx: RunContext, parser: ReplyParser | None = None, sentiment: Sentiment | None = None, notifier: Notifier | None = None, board: Board | None = None) -> dict[str, int]:
+    """Routes a batch of updates and acts on them (3.3, L8, L15, L16, C5, T4s, T6s).
+
+    The offset is stored last. A batch that runs again changes nothing in the tables that was done: queued texts go by
+    update, feedback and nudges by event, and a decided proposal waits no more. What was sent or created outside is
+    done again if the run broke off before its proposal was taken out. A parser that fails twice gives no feedback.
     updates: update_id, message_id, text, reply_to. Gives the number of updates by route.
     """
     spark = store.spark
     offset = store.read("polling_state").where("name = 'update_offset'").first()
-    new = updates.where(F.col("update_id") >= (offset.value if offset else 0))
-    routed = _cut(routing.route(new, store.read("pending_resume")))
+    start = offset.value if offset else 0
+    new = updates.where(F.col("update_id") >= start)
+    routed = cut(routing.route(new, store.read("pending_resume")))
     counts = {r.route: r["count"] for r in routed.groupBy("route").count().collect()}
     if not counts:
         return {}
     store.upsert("adhoc_queue", routing.queue_rows(routed, ctx.now_iso()))
     replies = routed.where("route = 'feedback'").select(F.col("reply_to").alias("message_id"), "text")
-    parsed = (parser or offline.NumberParser()).parse(replies, store.read("item_map"))
-    entries = _cut(routing.feedback_entries(parsed, store.read("item_map")))
+    none = spark.createDataFrame([], "message_id string, item_number int, feedback_text string, sentiment string")
+    parsed, _ = _ask(lambda: (parser or offline.NumberParser()).parse(replies, store.read("item_map")), lambda: none, tries=2)
+    entries = cut(routing.feedback_entries(parsed, store.read("item_map")))
     rows = routing.feedback_rows(entries, ctx.now_iso())
     decided = routed.where("route = 'approval'").select("reply_to", "proposal_id", "run_id", "decision").collect()
-    items = {}
-    if decided:
+    if decided:  # at most the proposals of some runs
         log = store.read("scored_items_log").withColumn("proposal_id", proposal_id(F.col("url")))
         items = {r.proposal_id: r for r in log.where(F.col("proposal_id").isin([d.proposal_id for d in decided])).collect()}
         actor = board or offline.MemoryBoard()
@@ -216,28 +283,35 @@ def poll(updates: DataFrame, store: TableStore, ctx: RunContext, parser=None, se
         no = [(items[d.proposal_id].url, "rejected proposal", ctx.now_iso(), d.run_id, items[d.proposal_id].tags, items[d.proposal_id].title, items[d.proposal_id].text[:300], "negative") for d in decided if d.decision == "reject" and d.proposal_id in items]
         if no:
             rows = rows.unionByName(spark.createDataFrame(no, rows.schema))
+    rows = cut(_events(rows, start).join(store.read("feedback_events").select("event_id"), "event_id", "left_anti"))
+    store.append("feedback_events", rows)
+    if decided:
         out = [(items[d.proposal_id].url if d.proposal_id in items else d.proposal_id, d.decision + ("d" if d.decision == "approve" else "ed"), d.run_id) for d in decided]
-        store.append("approval_log", spark.createDataFrame(out, "item_id string, outcome string, run_id string"))
+        logged = store.read("approval_log").select("item_id", "outcome", "run_id")
+        store.append("approval_log", cut(spark.createDataFrame(out, "item_id string, outcome string, run_id string").join(logged, ["item_id", "outcome", "run_id"], "left_anti")))
         store.remove("pending_resume", spark.createDataFrame([(d.reply_to,) for d in decided], "message_id string"))
-    rows = _cut(rows)
-    store.append("feedback_events", rows)
-    nudge(rows, store, ctx, sentiment)
+    # events of an earlier try that were not yet nudged are among the week's
+    nudge(history.recent(store.read("feedback_events"), "replied_at", ctx.now()), store, ctx, sentiment)
     last = routed.agg(F.max("update_id")).first()[0]
     store.upsert("polling_state", spark.createDataFrame([("update_offset", last + 1)], "name string, value long"))
     return counts
 
 
-def nudge(feedback: DataFrame, store: TableStore, ctx: RunContext, sentiment=None) -> None:  # noqa: ANN001
-    """Adds feedback to the week's adjustments by tag, held within the cap after each one."""
-    told = (sentiment or offline.WordSentiment()).classify(feedback)
-    each = told.withColumn("delta", nudge_delta(F.col("direction"), F.col("magnitude"))).where("delta IS NOT NULL").select(iso_week(ctx.now()).alias("week_of"), F.explode("tags").alias("tag"), "item_id", "replied_at", "delta")
-    each = each.select("week_of", "tag", "item_id", "delta", F.lit(1).alias("turn"), F.struct("replied_at", "item_id", "delta").alias("o"))
-    old = store.read("same_day_adjustments").select("week_of", "tag", F.col("cumulative_adjustment").alias("delta"), "item_ids_contributing")
-    start = old.select("week_of", "tag", F.lit(None).cast("string").alias("item_id"), "delta", F.lit(0).alias("turn"), F.lit(None).cast(each.schema["o"].dataType).alias("o"))
-    now = folds.saturating_fold(each.unionByName(start), ["week_of", "tag"], ["turn", "o"], "delta", "item_id")
-    j = now.join(old.withColumnsRenamed({"item_ids_contributing": "before"}).drop("delta"), ["week_of", "tag"], "left")
-    ids = F.concat(F.coalesce("before", F.array().cast("array<string>")), F.filter("item_ids_contributing", lambda x: x.isNotNull()))
-    store.upsert("same_day_adjustments", _cut(j.select("week_of", "tag", "cumulative_adjustment", ids.alias("item_ids_contributing"))))
+def nudge(feedback: DataFrame, store: TableStore, ctx: RunContext, sentiment: Sentiment | None = None) -> None:
+    """Adds feedback events to the week's adjustments by tag, held within the cap after each one.
+
+    Events that nudge_events has are not asked about again. The adjustments are folded anew from the week's events since
+    they were last cleared, in the order of time, item and event, so that a repeat changes nothing.
+    """
+    fresh = cut(feedback.join(store.read("nudge_events").select("event_id"), "event_id", "left_anti"))
+    told = (sentiment or offline.WordSentiment()).classify(fresh)
+    delta = nudge_delta(F.col("direction"), F.col("magnitude"))
+    store.append("nudge_events", cut(told.select("event_id", iso_week(ctx.now()).alias("week_of"), "item_id", "replied_at", "tags", delta.alias("delta"), F.lit(int(ctx.run_ts.timestamp() * 1e6)).alias("at"))))
+    cleared = store.read("polling_state").where("name = 'nudges_cleared'").first()
+    week = store.read("nudge_events").where((F.col("week_of") == iso_week(ctx.now())) & (F.col("at") > (cleared.value if cleared else -1)) & F.col("delta").isNotNull())
+    each = week.select("week_of", F.explode("tags").alias("tag"), "item_id", "delta", F.struct("at", "replied_at", "item_id", "event_id").alias("o"))
+    now = folds.saturating_fold(each, ["week_of", "tag"], ["o"], "delta", "item_id")
+    store.upsert("same_day_adjustments", cut(now.select("week_of", "tag", "cumulative_adjustment", "item_ids_contributing")))
 
 
 def trace(store: TableStore, run_id: str, order: tuple[str, ...] = ("scrape", "discover", "score", "match", "classify", "prioritize")) -> DataFrame:

@@ -14,7 +14,8 @@ STORE = {
     "dropped_tags": ("run_id string, item_id string, tag string", None),
     "classification_log": ("item_id string, decision string, proposal_type string, run_id string", None),
     "approval_log": ("item_id string, outcome string, run_id string", None),
-    "feedback_events": ("item_id string, feedback_text string, replied_at string, run_id string, tags array<string>, title string, content_summary string, sentiment string", None),
+    "feedback_events": ("event_id string, item_id string, feedback_text string, replied_at string, run_id string, tags array<string>, title string, content_summary string, sentiment string", None),
+    "nudge_events": ("event_id string, week_of string, item_id string, replied_at string, tags array<string>, delta double, at long", None),
     "same_day_adjustments": ("week_of string, tag string, cumulative_adjustment double, item_ids_contributing array<string>", "week_of, tag"),
     "node_summary": ("run_id string, node_name string, items_in long, items_out long, dropped long, cost_usd double, duration_seconds double, error_summary string", "run_id, node_name"),
     "run_history": ("run_id string, path string, status string, started_at string, finished_at string, total_cost_usd double, items_in long, items_out long, duration_seconds double, error_summary string", "run_id"),

@@ -145,15 +145,99 @@ def test_weekly_run_poll_and_feedback(spark, store):
     assert {r.url for r in store.read("carry_forward_log").collect()} == {"http://w/2"}
 
 
+EVENT = "event_id string, item_id string, feedback_text string, replied_at string, run_id string, tags array<string>, title string, content_summary string, sentiment string"
+
+
 def test_nudges_hold_at_the_cap(spark, store):
-    f = spark.createDataFrame([("u", "love it!", "t", "r", ["evals"], "", "", "positive")], "item_id string, feedback_text string, replied_at string, run_id string, tags array<string>, title string, content_summary string, sentiment string")
-    for _ in range(2):
-        runs.nudge(f, store, ctx(0))
-    runs.nudge(f.withColumn("feedback_text", F.lit("boring")), store, ctx(0))
+    for i, words in enumerate(["love it!", "love it!", "boring"]):
+        f = spark.createDataFrame([(f"e{i}", "u", words, "r", "run", ["evals"], "", "", "positive")], EVENT)
+        for _ in range(2):  # an event that comes again counts once
+            runs.nudge(f, store, ctx(0))
     r = store.read("same_day_adjustments").first()
     assert (r.cumulative_adjustment, r.item_ids_contributing, r.week_of) == (0.2, ["u", "u", "u"], "2026-W30")
 
 
+def weekly(spark, store, out, **models):
+    cards = spark.createDataFrame([("c1", "evals board", "", "l1", "Dump", "http://card/1", [], None)], CARD)
+    snapshot = spark.createDataFrame([("c1", False, "l2")], "card_id string, closed boolean, list_id string")
+    lists = spark.createDataFrame([("l1", "Dump"), ("l2", "In Progress")], "list_id string, list_name string")
+    done = spark.createDataFrame([], "url string, checked boolean")
+    words = ["alpha beta", "gamma delta", "epsilon zeta", "eta theta", "iota kappa", "lambda mu", "nu xi"]
+    rows = items(spark, *[item(f"http://w/{i}", f"evals board {w}", f"{w} {w}") for i, w in enumerate(words)], item("http://w/9", "new launch of llm", "sigma tau"))
+    return runs.weekly_run(rows, store, ctx(3, "weekly"), cards, snapshot, lists, done, notifier=out, **models)
+
+
+class Failing:
+    def __init__(self):
+        self.asked = 0
+
+    def match(self, *a):
+        raise RuntimeError("no matches")
+
+    def classify(self, *a):
+        raise RuntimeError("no classes")
+
+    def select(self, *a):
+        self.asked += 1
+        raise ValueError("no JSON")
+
+
+def test_models_that_fail_leave_their_fallbacks(spark, store):
+    model = Failing()
+    text, shown = weekly(spark, store, Outbox(), classifier=model, prioritizer=model)
+    assert model.asked == 2  # one retry
+    assert {r.decision for r in store.read("classification_log").collect()} == {"plan_item"} and store.read("pending_resume").count() == 0
+    work = [s for s in shown if s["section"] == "existing_project_work"]
+    assert [s["url"] for s in work] == [f"http://w/{i}" for i in range(5)] and all("unprioritized" in s["reasoning"] for s in work)
+    nodes = {r.node_name: r for r in store.read("node_summary").collect()}
+    assert set(nodes) == {"discover", "score", "match", "classify", "prioritize"}
+    assert nodes["classify"].error_summary == "no classes" and nodes["prioritize"].error_summary == "no JSON" and nodes["match"].error_summary is None
+    assert nodes["prioritize"].items_out == 5 and nodes["prioritize"].dropped == nodes["prioritize"].items_in - 5 and nodes["score"].duration_seconds > 0
+    got = runs.trace(store, "run3").where("part = 'node'").orderBy("name").collect()
+    assert [r.name.split(" ")[1] for r in got] == ["discover", "score", "match", "classify", "prioritize"]
+
+
+def test_a_matcher_that_fails_leaves_items_without_cards(spark, store):
+    text, shown = weekly(spark, store, Outbox(), matcher=Failing())
+    assert {s["section"] for s in shown} == {"reading"}
+    assert store.read("node_summary").where("node_name = 'match'").first().error_summary == "no matches"
+    assert store.read("run_history").first().duration_seconds > 0
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, store):
+    out = Outbox()
+    text, shown = weekly(spark, store, out)
+    message, n = next(k for k, v in out.sent.items() if v == text), shown[0]["item_number"]
+    batch = spark.createDataFrame([(1, "11", f"{n} very good!", message), (2, "12", f"{n} very good!", message)], updates.SCHEMA)
+    runs.poll(batch, store, ctx(4))
+    once = sorted(map(str, store.read("same_day_adjustments").collect()))
+    store.replace("polling_state", store.read("polling_state").limit(0))  # the run broke off before the offset was stored
+    runs.poll(batch, store, ctx(4))
+    assert store.read("feedback_events").count() == 2
+    assert sorted(map(str, store.read("same_day_adjustments").collect())) == once
+
+    class Mute:
+        def parse(self, *a):
+            raise ValueError("no JSON")
+
+    assert runs.poll(spark.createDataFrame([(9, "13", "1 good", message)], updates.SCHEMA), store, ctx(4), parser=Mute()) == {"feedback": 1}
+    assert store.read("feedback_events").count() == 2
+
+
+def test_topic_vectors_fail_by_tag(spark, store):
+    class Half(HashEmbedder):
+        def embed(self, rows, text, out="embedding_vector"):
+            if rows.first().tag == "evals":
+                raise RuntimeError("down")
+            return super().embed(rows, text, out)
+
+    topics = spark.createDataFrame([("evals", "e"), ("llm-tooling", "tools"), ("learning-resource", None), ("noise", "x")], "tag string, text string")
+    runs.topic_vectors(store, topics, Half(), ctx(0))
+    assert [r.tag for r in store.read("topic_vectors").collect()] == ["llm-tooling"]
+    costs = [r.error for r in store.read("costs").orderBy("error").collect()]
+    assert len(costs) == 4 and sum(c is not None for c in costs) == 3 and any("down" in (c or "") for c in costs)
+
+
 def test_hash_embedder(spark):
     df = HashEmbedder(8).embed(spark.createDataFrame([("a b a",), (None,)], "t string"), "t")
     got = df.collect()
