@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions import rules, text, url, vector
-from siftworks.functions.dates import iso_week
+from siftworks.functions.dates import fresh, iso_timestamp, iso_week
 from siftworks.operators import dedup, enrich, folds, history, routing, similarity
 from siftworks.plans import render
+from siftworks.sources import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,13 +60,14 @@ def url_cluster_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("host", "url", "duplicate_count", "pos")
 
 
-@query(f"WITH {_NORMAL} SELECT normal, min(url) AS url, CAST(count(*) AS INTEGER) AS duplicate_count FROM n WHERE page_id NOT IN (SELECT doc_id FROM labels) GROUP BY normal")
+@query(
+    f"WITH {_NORMAL}, h AS (SELECT *, row_number() OVER (PARTITION BY normal ORDER BY length(html) DESC, page_id) AS rn FROM n WHERE page_id NOT IN (SELECT doc_id FROM labels)) "
+    "SELECT max(CASE WHEN rn = 1 THEN url END) AS url, CAST(count(*) AS INTEGER) AS duplicate_count, min(page_id) AS pos FROM h GROUP BY normal"
+)
 def url_dedup_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first stages of a run, pages against those marked as seen"""
-    items = _page_items(spark, sf_dir)
     seen = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"))
-    new = dedup.unseen(items, seen, "pos").withColumn("normal", url.normalize_url(F.col("url")))
-    return new.groupBy("normal").agg(F.min("url").alias("url"), F.count("*").cast("int").alias("duplicate_count"))
+    return dedup.cluster_by_url(dedup.unseen(_page_items(spark, sf_dir), seen, "pos")).select("url", "duplicate_count", "pos")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -80,19 +82,27 @@ def seen_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.seen_again(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-25' - INTERVAL 7 DAY GROUP BY user_id")
 def seen_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2, T1s, T2s, P15"""
+    """P15, T2s"""
     e = _t(spark, sf_dir, "events")
-    last = e.agg(F.max("ts").alias("last"))
-    return e.join(F.broadcast(last)).where("ts >= last - INTERVAL 7 DAYS").groupBy("user_id").agg(F.count("*").alias("n"))
+    now = F.lit("2024-01-25 00:00:00").cast(e.schema["ts"].dataType)
+    return history.recent(e, "ts", now).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW' OR CAST(o_orderdate AS TIMESTAMP) >= TIMESTAMP '1998-01-01' - INTERVAL 35 DAY")
+def seen_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, T1s: rows without a time never expire"""
+    o = _t(spark, sf_dir, "orders")
+    at = F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.to_date("o_orderdate").cast("string"), F.lit("T00:00:00+00:00")))
+    return dedup.alive(o.select("o_orderkey", at.alias("seen_at")), F.to_timestamp(F.lit("1998-01-01T00:00:00+00:00"))).select("o_orderkey")
 
 
 @query("SELECT min(doc_id) AS doc_id, CAST(count(*) AS INTEGER) AS duplicate_count FROM documents GROUP BY text")
 def exact_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, U5"""
-    d = _t(spark, sf_dir, "documents")
-    return d.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").cast("int").alias("duplicate_count")).drop("k")
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("fetched_at"), F.col("doc_id").alias("pos"))
+    return dedup.cluster(d, F.sha2(F.col("text").cast("binary"), 256)).select("doc_id", "duplicate_count")
 
 
 def _topics(e: DataFrame) -> DataFrame:
@@ -121,7 +131,7 @@ def topic_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CENTRE} SELECT vec_id, best_tag, round(sim, 3) AS similarity_score FROM t WHERE sim < 0.30")
 def uncategorized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4, P1, T9"""
+    """J4, T9"""
     return _nearest(spark, sf_dir).where("similarity_score < 0.30").withColumn("similarity_score", F.round("similarity_score", 3))
 
 
@@ -191,8 +201,7 @@ def asof_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, event_type AS current FROM events")
 def previous_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6"""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _t(spark, sf_dir, "events").select("event_id", F.lag("event_type").over(w).alias("previous"), F.col("event_type").alias("current"))
+    return history.previous(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "previous", F.col("event_type").alias("current"))
 
 
 @query(
@@ -334,7 +343,7 @@ _ARTICLE = "regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's')"
 
 @query(f"SELECT page_id, trim(regexp_replace(regexp_replace({_ARTICLE}, '<!--.*?-->|<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')) AS body, regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's') AS title FROM pages")
 def html_extract_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S8, F4"""
+    """F4"""
     art = F.regexp_extract("html", r"(?s)<article[^>]*>(.*?)</article>", 1)
     return _t(spark, sf_dir, "pages").select("page_id", text.html_text(art).alias("body"), F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("title"))
 
@@ -440,3 +449,165 @@ def plan_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = o.select(F.col("c_custkey").cast("string").alias("card_id"), F.col("o_orderpriority").alias("list_name"), F.struct("o_orderdate", "o_orderkey").alias("pos"))
     return enrich.first_by(rows, "card_id").select("card_id", "list_name")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' OR ts >= TIMESTAMP '2024-01-25' - INTERVAL 48 HOUR")
+def fresh_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a real date pass"""
+    e = _t(spark, sf_dir, "events")
+    now = F.lit("2024-01-25 00:00:00").cast(e.schema["ts"].dataType)
+    return e.where(fresh(F.col("ts"), F.col("event_type") != "error", now, 48)).select("event_id")
+
+
+_CASES = " OR ".join(f"strpos(lower(t || ' ' || text), '{m}') > 0" for m in rules.CASE_STUDY)
+
+
+@query(f"WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'A Customer Story' WHEN 'fr' THEN 'case by case study' ELSE source END AS t, text FROM documents) SELECT doc_id, {_CASES} AS is_case FROM d")
+def case_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4"""
+    title = F.when(F.col("lang") == "en", "A Customer Story").when(F.col("lang") == "fr", "case by case study").otherwise(F.col("source"))
+    return _t(spark, sf_dir, "documents").select("doc_id", rules.is_case_study(title, F.col("text")).alias("is_case"))
+
+
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    tag = F.when(F.col("lang") == "fr", "course").otherwise("evals")
+    return j.select("doc_id", F.when(F.col("lang") == "de", "project_proposal").otherwise("plan_item").alias("classification"), F.array(tag).alias("tags"), F.col("quality").alias("matched_card_id"), (F.col("toxic") == 1).alias("selected"))
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE lang NOT IN ('de', 'fr')")
+def plan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8"""
+    return enrich.matched_candidates(_classed(spark, sf_dir)).select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'fr' THEN 'courses' WHEN quality IS NULL THEN 'reading' WHEN toxic = 1 THEN 'existing_project_work' END AS section FROM documents LEFT JOIN labels USING (doc_id)")
+def section_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9"""
+    return _classed(spark, sf_dir).select("doc_id", rules.section(F.col("tags"), F.col("matched_card_id"), F.col("selected")).alias("section"))
+
+
+@query(
+    "SELECT event_id, CAST(o_orderkey AS VARCHAR) AS url, CASE event_type WHEN 'signup' THEN 'positive' ELSE 'negative' END AS sentiment FROM events JOIN orders ON o_custkey = user_id AND o_orderkey % 5 = event_id % 7 "
+    "WHERE event_type IN ('signup', 'error') AND event_id % 7 <> 6"
+)
+def feedback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without a real sentiment or number go, the others meet their items"""
+    e, o = _t(spark, sf_dir, "events"), _t(spark, sf_dir, "orders")
+    number = F.pmod("event_id", F.lit(7))
+    mood = F.when(F.col("event_type") == "signup", "positive").when(F.col("event_type") == "error", "negative").otherwise("mixed")
+    parsed = e.select("event_id", F.col("user_id").cast("string").alias("message_id"), F.when(number != 6, number).cast("int").alias("item_number"), mood.alias("sentiment"))
+    items = o.select(F.col("o_custkey").cast("string").alias("message_id"), F.pmod("o_orderkey", F.lit(5)).cast("int").alias("item_number"), F.col("o_orderkey").cast("string").alias("url"))
+    return routing.feedback_entries(parsed, items).select("event_id", "url", "sentiment")
+
+
+_SUBJECT = "CASE turn % 3 WHEN 0 THEN 'Welcome, ' || role WHEN 1 THEN 'THANKS for subscribing to it' ELSE 'Unwelcome ' || role END"
+
+
+@query(f"SELECT conv_id, turn, regexp_matches({_SUBJECT}, '(?i)^welcome\\b|^thanks for subscribing\\b') AS welcome FROM conversations")
+def welcome_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P18"""
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", rules.is_welcome(F.expr(_SUBJECT)).alias("welcome"))
+
+
+_INLINE = "'<b>' || source || '</b> &lt;' || lang || '&gt; &amp;amp; &#39;' || doc_id || '&#39; <i class=\"x\">end</i> '"
+
+
+@query("SELECT doc_id, source || ' <' || lang || '> &amp; ' || chr(39) || doc_id || chr(39) || ' end' AS clean FROM documents")
+def inline_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6"""
+    return _t(spark, sf_dir, "documents").select("doc_id", text.clean_inline(F.expr(_INLINE)).alias("clean"))
+
+
+@query(
+    "SELECT page_id, md5(replace(replace(regexp_replace(regexp_replace(html, '[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '&(amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);', chr(1) || '\\1;', 'g'), '&', '&amp;'), chr(1), '&')) AS repaired FROM pages"
+)
+def ampersand_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9"""
+    return _t(spark, sf_dir, "pages").select("page_id", F.md5(text.repair_ampersands(text.strip_illegal_xml(F.col("html"))).cast("binary")).alias("repaired"))
+
+
+@query("SELECT page_id, 'https://n.example/p/' || page_id AS target, CASE WHEN page_id % 2 = 0 THEN 'https://m.example/p/' || page_id ELSE 'https://n.example/p/' || page_id END AS article FROM pages")
+def redirect_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a link as written goes before one that decodes"""
+    told = F.to_json(F.struct(F.concat(F.lit("https://n.example/p/"), "page_id").alias("e")))
+    far = F.concat(F.lit("https://substack.com/redirect/2/"), F.rtrim(F.translate(F.base64(told.cast("binary")), "+/", "-_"), F.lit("=")))
+    near = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<a href="https://m.example/p/'), "page_id", F.lit('">b</a>'))).otherwise("")
+    p = _t(spark, sf_dir, "pages").select("page_id", far.alias("far"), F.concat(F.lit('<a href="'), far, F.lit('">a</a>'), near).alias("body"))
+    return p.select("page_id", url.redirect_target(F.col("far")).alias("target"), url.article_url(F.col("body")).alias("article"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) - CASE WHEN o_orderstatus = 'F' THEN 7200 ELSE 0 END END AS at FROM orders")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """with Z or an offset; what is none is null"""
+    o = _t(spark, sf_dir, "orders")
+    said = F.when(F.col("o_orderpriority") == "5-LOW", "soon").otherwise(F.concat(F.to_date("o_orderdate").cast("string"), F.lit("T00:00:00"), F.when(F.col("o_orderstatus") == "F", "+02:00").otherwise("Z")))
+    return o.select("o_orderkey", F.unix_seconds(iso_timestamp(said)).alias("at"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS file FROM pages")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F25"""
+    return _t(spark, sf_dir, "pages").select("page_id", text.file_name(F.col("url")).alias("file"))
+
+
+@query(
+    "WITH s AS (SELECT doc_id, CAST(doc_id % 3000 AS VARCHAR) AS card, CASE lang WHEN 'en' THEN 'new_item' ELSE 'stale_nudge' END AS source, CAST(doc_id AS VARCHAR) AS item, CASE lang WHEN 'de' THEN 'card moved' END AS note FROM documents), "
+    "i AS (SELECT CAST(doc_id AS VARCHAR) AS u, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source || ' title' END AS title, lang AS text FROM documents WHERE doc_id % 3 <> 0), "
+    "j AS (SELECT s.*, i.u, i.title, i.text, c_name, c_mktsegment FROM s LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = card LEFT JOIN i ON i.u = s.item AND s.source = 'new_item') "
+    "SELECT doc_id AS rank, CASE WHEN u IS NULL THEN coalesce(c_name, card) WHEN title = '' THEN text ELSE title END AS title, CASE WHEN u IS NULL THEN coalesce(c_mktsegment, '') ELSE u END AS url, CASE WHEN u IS NULL THEN '' ELSE text END AS text, "
+    "CASE WHEN note IS NULL THEN 'why' ELSE 'why — ' || note END AS reasoning, coalesce(c_name, card) AS card_name, source FROM j"
+)
+def project_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8"""
+    d, c = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "customer")
+    key = F.col("doc_id").cast("string")
+    chosen = d.select(F.col("doc_id").alias("rank"), F.pmod("doc_id", F.lit(3000)).cast("string").alias("matched_card_id"), F.when(F.col("lang") == "en", "new_item").otherwise("stale_nudge").alias("source"), key.alias("item_url"), F.lit("why").alias("priority_reasoning"), F.when(F.col("lang") == "de", "card moved").alias("movement_note"))
+    cards = c.select(F.col("c_custkey").cast("string").alias("card_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("url"))
+    items = d.where("doc_id % 3 <> 0").select(key.alias("url"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat("source", F.lit(" title"))).alias("title"), F.col("lang").alias("text"), F.array().cast("array<string>").alias("tags"))
+    return enrich.project_entries(chosen, cards, items).select("rank", "title", "url", "text", "reasoning", "card_name", "source")
+
+
+@query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS card_id, coalesce(c_mktsegment, 'Unknown') AS list_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0")
+def surfaced_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards that the board has not are Unknown"""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("matched_card_id"), F.col("o_orderkey").alias("rank"))
+    cards = _t(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("card_id"), F.col("c_mktsegment").alias("list_name"))
+    return enrich.surfaced_cards(o, cards)
+
+
+@query("SELECT c_custkey, n_name AS name FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 40")
+def sender_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J16"""
+    header = F.concat("c_name", F.lit(" <N."), F.pmod("c_custkey", F.lit(40)), F.lit("@Mail.Example>"))
+    senders = _t(spark, sf_dir, "nation").select(F.concat(F.lit("n."), "n_nationkey", F.lit("@mail.example")).alias("address"), F.col("n_name").alias("name"))
+    return _t(spark, sf_dir, "customer").withColumn("address", rules.sender_address(header)).join(F.broadcast(senders), "address", "left").select("c_custkey", "name")
+
+
+@query(
+    "SELECT CAST(c_custkey AS VARCHAR) AS card_id, CASE n_regionkey WHEN 0 THEN 'Dump' ELSE 'In Progress' END AS list_name, CAST(CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END AS INTEGER) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IN (0, 1)"
+)
+def board_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of the wanted lists, checklist items flattened"""
+    n, c = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "customer")
+    lists = n.select(F.col("n_nationkey").cast("string").alias("id"), F.when(F.col("n_regionkey") == 0, "Dump").when(F.col("n_regionkey") == 1, "In Progress").otherwise("Done").alias("name"))
+    each = F.expr("CASE WHEN c_custkey % 2 = 0 THEN array(named_struct('checkItems', array(named_struct('name', 'a'), named_struct('name', 'b'))), named_struct('checkItems', array(named_struct('name', 'c')))) END")
+    cards = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.lit("").alias("desc"), F.col("c_nationkey").cast("string").alias("idList"), F.lit("u").alias("shortUrl"), each.alias("checklists"), F.lit(None).cast("string").alias("dateLastActivity"))
+    return enrich.board_cards(lists, cards).select("card_id", "list_name", F.size("checklist_items").alias("n"))
+
+
+@query("SELECT 'https://s.example/' || doc_id || '?a=1&amp;b=2' AS url, source || ' & ' || doc_id AS title, lang || ' more' AS text FROM documents WHERE lang <> 'de'")
+def roundup_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A roundup page for each document"""
+    body = F.expr(
+        "'<main><article class=\"m\"><a class=\"l\" href=\"https://s.example/' || doc_id || '?a=1&amp;b=2\"> <h3>' || source || ' &amp; <b>' || doc_id || '</b>' || CASE lang WHEN 'de' THEN ' (Sponsor)' WHEN 'fr' THEN ' (4 minute read)' ELSE '' END || '</h3></a>"
+        "<div class=\"x newsletter-html\"><i>' || lang || '</i> more</div></article><article>no story</article></main>'"
+    )
+    return feeds.parse_roundups(_t(spark, sf_dir, "documents").select(F.lit("r").alias("name"), F.lit("t").alias("fetched_at"), body.alias("body"))).select("url", "title", "text")
+
+
+@query("SELECT o_orderpriority AS node_name, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') / sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 6) AS cost_ratio FROM orders GROUP BY o_orderpriority HAVING count(*) FILTER (WHERE o_orderstatus = 'F') > 0 AND count(*) FILTER (WHERE o_orderstatus = 'O') > 0")
+def model_cost_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10, L22"""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("node_name"), F.col("o_totalprice").cast("double").alias("cost_usd"), F.lit(1.0).alias("latency_ms"), "o_orderstatus")
+    return folds.cost_comparison(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'")).select("node_name", F.round("cost_ratio", 6).alias("cost_ratio"))
