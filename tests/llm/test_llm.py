@@ -508,7 +508,7 @@ def test_bands_reject_odd_fertility_and_keep_the_rest(spark):
 def test_kept_equals_brute_force(spark):
     """Bands and verdicts from medians and quartiles of the rows, where groups are large enough for the first level."""
     r = _R(21)
-    rows = [(i, sentence(r, int(r.r.integers(70, 100))), "ab"[i % 2], "a", 0) for i in range(240)] + [(1000 + i, " ".join("Q" + r.choice(WORDS).upper() + "##" for _ in range(80)), "a", "a", 0) for i in range(12)]
+    rows = [(i, sentence(r, int(r.r.integers(70, 100))), "ab"[i % 2], "a", 0) for i in range(240)] + [(1000 + i, " ".join("Q" + r.choice(WORDS).upper() + "##" for _ in range(int(r.r.integers(28, 44)))), "a", "a", 0) for i in range(12)]
     got = fertility.judge(spark.createDataFrame(rows, DOC), carry=("doc_id", "lang")).collect()
     groups = {}
     for x in got:
