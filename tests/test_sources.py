@@ -169,6 +169,29 @@ def test_board(spark):
     assert got == {"c1": ["x", "y", "z"], "c3": []}
 
 
+def test_store_writes_only_the_buckets_it_touches(spark, tmp_path, monkeypatch):
+    from siftworks.sources import store
+
+    monkeypatch.setattr(store, "MANY", 4)
+    s = TableStore(spark, f"file://{tmp_path}/store")
+    want = {f"u{i}": "0" for i in range(300)}
+    s.upsert("seen_items", spark.createDataFrame(list(want.items()), "url string, seen_at string"))
+    for turn in range(1, 7):
+        few = {f"u{turn}": str(turn), f"n{turn}": str(turn)}
+        s.upsert("seen_items", spark.createDataFrame(list(few.items()), "url string, seen_at string"))
+        want |= few
+        s.remove("seen_items", spark.createDataFrame([(f"u{100 + turn}",)], "url string"))
+        del want[f"u{100 + turn}"]
+        assert {r.url: r.seen_at for r in s.read("seen_items").collect()} == want
+        versions = s._versions("seen_items")
+        assert len(versions) <= 8 and (turn == 6 or min(map(len, versions.values())) <= 2 or len(versions) <= 4)
+    assert max(versions) == 13
+    (tmp_path / "store" / "seen_items" / "v99").mkdir()  # a write that broke off does not count
+    assert s.read("seen_items").count() == len(want)
+    s.replace("seen_items", s.read("seen_items").limit(0))
+    assert s.read("seen_items").count() == 0
+
+
 def test_store(spark, tmp_path):
     s = TableStore(spark, f"file://{tmp_path}/store")
     assert s.read("seen_items").count() == 0 and s.read("costs").count() == 0
