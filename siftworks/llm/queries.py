@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, table
 from .decontam import hit_digest
 from .fertility import judge
+from .fim import fim_digest
 from .linededup import removal_digest
 from .mixing import mix_digest
 from .pii import pii_digest
@@ -59,6 +60,10 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_token_records": op2_token_records,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ownership": op8_secret_ownership,
     "op9_tokenizer_fertility": op9_tokenizer_fertility,
     "op10_sainte_lague_mix": op10_sainte_lague_mix,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -94,4 +100,12 @@ c AS (SELECT doc_id, k, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size,
 s AS (SELECT c.*, n.s, -ln((CAST('0x' || substr(md5(k || '#' || n.s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS score FROM c CROSS JOIN range(9) n(s)),
 m AS (SELECT doc_id, size, text_crc32, CAST(arg_min(s, score) FILTER (WHERE s < 8) AS INTEGER) AS shard, CAST(arg_min(s, score) AS INTEGER) AS grown_shard FROM s GROUP BY doc_id, size, text_crc32)
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS BIGINT) AS slot, grown_shard FROM m""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+k AS (SELECT doc_id, text, w, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:n], '') AS suffix FROM k),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars, sha256(output) AS output_sha256, sha256(CASE WHEN form = 'plain' THEN output ELSE prefix || middle || suffix END) AS restored_sha256 FROM o""",
 }
