@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, table
 from .decontam import hit_digest
+from .exactdedup import exact_digest
 from .fertility import judge
 from .fim import fim_digest
 from .linededup import removal_digest
+from .merkle import manifest_digest
 from .mixing import mix_digest
 from .pii import pii_digest
 from .records import token_records
@@ -64,6 +66,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_digest(documents(spark, sf_dir))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_digest(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_token_records": op2_token_records,
@@ -76,10 +86,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tokenizer_fertility": op9_tokenizer_fertility,
     "op10_sainte_lague_mix": op10_sainte_lague_mix,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_SIBLINGS = "coalesce(string_agg(u.d, '' ORDER BY u.i) FILTER (WHERE u.i {0} w.i), '')"
+_STEP = f"w.proof || {_SIBLINGS.format('<>')}, sha256({_SIBLINGS.format('<')} || w.h || {_SIBLINGS.format('>')})"
+
 #: Only what SQL has: no XXH64, no tokenisers, no fits; those queries are held against brute force in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": f"""
@@ -108,4 +125,22 @@ k AS (SELECT doc_id, text, w, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w)
 p AS (SELECT doc_id, text, n, form, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:n], '') AS suffix FROM k),
 o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p)
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars, sha256(output) AS output_sha256, sha256(CASE WHEN form = 'plain' THEN output ELSE prefix || middle || suffix END) AS restored_sha256 FROM o""",
+    "op12_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+g AS (SELECT doc_id, t, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w AS r FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, r = 1 AS kept, sha256(t) AS text_sha256 FROM g""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+c AS (SELECT d.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x))), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8))) % 2 = 0 AS tampered FROM documents d, t),
+k AS (SELECT doc_id, source, {_LEAF.format("text")} AS leaf, CASE WHEN tampered THEN {_LEAF.format("replace(text, chr(10), '')")} END AS told FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM k),
+up AS (SELECT source, 0 AS lv, i, leaf AS d, n FROM b UNION ALL SELECT source, lv + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY source, lv, i // 3, n),
+subs AS (SELECT source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS lv, i, d, n FROM subs UNION ALL SELECT lv + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lv, i // 3, n),
+one AS (SELECT source, i AS leaf_at, 0 AS lv, i, n, '' AS proof, coalesce(told, leaf) AS h FROM b UNION ALL
+ SELECT w.source, w.leaf_at, w.lv + 1, w.i // 3, (w.n + 2) // 3, {_STEP} FROM one w JOIN up u ON u.source IS NOT DISTINCT FROM w.source AND u.lv = w.lv AND u.i // 3 = w.i // 3 WHERE w.n > 1 GROUP BY w.source, w.leaf_at, w.lv, w.i, w.n, w.proof, w.h),
+two AS (SELECT o.source, leaf_at, 0 AS lv, s.i, s.n, proof, h FROM one o JOIN subs s ON s.source IS NOT DISTINCT FROM o.source WHERE o.n = 1 UNION ALL
+ SELECT w.source, w.leaf_at, w.lv + 1, w.i // 3, (w.n + 2) // 3, {_STEP} FROM two w JOIN top u ON u.lv = w.lv AND u.i // 3 = w.i // 3 WHERE w.n > 1 GROUP BY w.source, w.leaf_at, w.lv, w.i, w.n, w.proof, w.h)
+SELECT doc_id, leaf, s.d AS subroot, r.d AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = r.d AS verified
+FROM b JOIN two ON two.source IS NOT DISTINCT FROM b.source AND two.leaf_at = b.i AND two.n = 1 JOIN subs s ON s.source IS NOT DISTINCT FROM b.source, (SELECT d FROM top WHERE n = 1) r""",
 }
