@@ -26,30 +26,38 @@ def normalised(text: Column) -> Column:
     return reduce(lambda c, b: F.replace(c, F.lit(b), F.lit("")), BLANKS, F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _slot(h: Column, depth: int) -> Column:
+def _slot(h: str, depth: str) -> Column:
     """The first bits of a hash, as a number."""
-    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
+    return F.expr(f"CASE WHEN {depth} = 0 THEN 0L ELSE shiftrightunsigned({h}, 64 - {depth}) END")
 
 
-def directory(hashes: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
-    """(slot, bucket) of each slot of the directory of hashes (h, each once), and its depth in bits; a bucket is its first slot.
+def directory(hashes: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, str, list[int]]:
+    """(depth, prefix) of each bucket that a hash of hashes (h, each once) falls into, the path of that table, and the depths that occur.
 
     It begins at the depth that the number of hashes asks for at least. A round counts the buckets of its depth, and
-    those over capacity go into the next one by a bit more; slots of a bucket that was not split lie side by side.
+    those over capacity go into the next one by a bit more. The slots of a directory of the greatest depth that are one
+    bucket are kept as that bucket, so hashes of a long common prefix make no more rows than they have buckets.
     """
     depth = max(0, (hashes.count() // capacity).bit_length() - 1)
-    left, full = hashes, []
+    left, full, depths = hashes, [], []
     while True:
-        counted, path = written(left.groupBy(_slot(F.col("h"), depth).alias("prefix")).agg(F.count("*").alias("n")), "buckets")
-        full.append((counted.where(F.col("n") <= capacity), depth))
+        slot = _slot("h", str(depth))
+        counted, path = written(left.groupBy(slot.alias("prefix")).agg(F.count("*").alias("n")), "buckets")
+        full.append(counted.where(F.col("n") <= capacity).select(F.lit(depth).alias("depth"), "prefix"))
+        depths.append(depth)
         over = counted.where(F.col("n") > capacity).select("prefix")
         if depth == 64 or over.isEmpty():
             break
-        left = hashes.join(small(over, path), _slot(F.col("h"), depth) == F.col("prefix"), "left_semi")
+        left = hashes.join(small(over, path), slot == F.col("prefix"), "left_semi")
         depth += 1
-    first = lambda d: F.shiftleft("prefix", depth - d)
-    slots = [c.select(F.explode(F.sequence(first(d), first(d) + (1 << (depth - d)) - 1)).alias("slot"), first(d).alias("bucket")) for c, d in full]
-    return reduce(DataFrame.union, slots), depth
+    return *written(reduce(DataFrame.union, full), "directory"), depths
+
+
+def in_buckets(rows: DataFrame, buckets: DataFrame, path: str, depths: list[int]) -> DataFrame:
+    """rows (h, ...) with bucket, the first hash of the bucket that h belongs to, by a directory: the one of its prefixes that is there."""
+    tried = rows.withColumn("__d", F.explode(F.array(*map(F.lit, depths))))
+    told = tried.join(small(buckets, path), (F.col("__d") == F.col("depth")) & (_slot("h", "__d") == F.col("prefix")))
+    return told.withColumn("bucket", F.expr("CASE WHEN depth = 0 THEN 0L ELSE shiftleft(prefix, 64 - depth) END")).drop("__d", "depth", "prefix")
 
 
 def build_index(rows: DataFrame, heads: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -58,9 +66,8 @@ def build_index(rows: DataFrame, heads: DataFrame, capacity: int = CAPACITY) ->
     Members are counted before anything moves by key, and hashes of many rows stay where they are, so an owner gets
     each distinct text once, however often it occurs. link numbers the distinct texts of a hash from 0.
     """
-    slots, depth = directory(heads.select("h"), capacity)
-    slots, path = written(slots, "directory")
-    twice, _ = written(heads.where("times > 1").join(small(slots, path), _slot(F.col("h"), depth) == F.col("slot")).select("h", "bucket", "times"), "twice")
+    placed = in_buckets(heads.where("times > 1"), *directory(heads.select("h"), capacity))
+    twice, _ = written(placed.select("h", "bucket", "times"), "twice")
     texts = split_join(rows, twice, ["h"], "times").groupBy("bucket", "h", "norm").agg(F.count("*").alias("members"))
     owned = texts.repartitionByRange("bucket", "h")
     chained = owned.withColumn("link", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("norm")) - 1)
@@ -79,7 +86,7 @@ def with_keeper(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     row = F.struct((-F.coalesce(F.length(text.cast("string")), F.lit(0))).alias("n"), ident.isNull().alias("none"), ident.alias("id"), F.monotonically_increasing_id().alias("row"))
-    mask = F.lit(-1 << (64 - hash_bits))
+    mask = F.lit(-1 << (64 - hash_bits) if hash_bits else 0)
     marked = docs.withColumns({"__sw_norm": once(normalised(text)), "__sw_o": row})
     marked = marked.withColumns({"__sw_h": F.xxhash64("__sw_norm").bitwiseAND(mask), "__sw_sha": F.sha2(F.col("__sw_norm").cast("binary"), 256)}).drop("__sw_norm")
     marked, _ = written(marked, "marked")
