@@ -20,6 +20,9 @@ class RunContext:
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     run_ts: datetime = field(default_factory=lambda: datetime.now(UTC))
     dry_run: bool = False
+    #: Stages that a run may have.
+    max_steps: int = 50
+    steps: list = field(default_factory=list, compare=False, repr=False)
     #: Summaries of the run's nodes so far; written when the run ends.
     nodes: list = field(default_factory=list, compare=False, repr=False)
 

@@ -14,7 +14,7 @@ class Embedder(Protocol):
 
 class Scorer(Protocol):
     def score(self, batches: DataFrame) -> DataFrame:
-        """batch, index, keep, reasoning and tags for batched items."""
+        """batch, index, keep, reasoning and tags for batched items; a batch that failed may have a row with its error instead."""
 
 
 class Matcher(Protocol):
@@ -48,11 +48,17 @@ class Rewriter(Protocol):
 
 
 class Notifier(Protocol):
-    def send(self, text: str, markup: str | None = "HTML") -> str:
+    """key, where it is given, names what is sent or made once for all: find tells what has it, or None."""
+
+    def send(self, text: str, markup: str | None = "HTML", key: str | None = None) -> str:
         """Sends a message and gives its id."""
 
+    def find(self, key: str) -> str | None: ...
+
 
 class Board(Protocol):
-    def create(self, title: str, list_id: str, description: str) -> dict: ...
+    def create(self, title: str, list_id: str, description: str, key: str | None = None) -> dict: ...
 
     def update(self, card_id: str, description: str) -> dict: ...
+
+    def find(self, key: str) -> dict | None: ...

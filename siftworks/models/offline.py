@@ -100,23 +100,29 @@ class AppendRewriter:
 
 
 class Outbox:
-    """Keeps what would be sent. A text has one id, so a resend is seen as such."""
+    """Keeps what would be sent. A key, or else a text, has one id, so a resend is seen as such."""
 
     def __init__(self) -> None:
         self.sent: dict[str, str] = {}
+        self.calls = 0
 
-    def send(self, text: str, markup: str | None = "HTML") -> str:
-        key = hashlib.sha256(text.encode()).hexdigest()[:12]
-        self.sent[key] = text
-        return key
+    def send(self, text: str, markup: str | None = "HTML", key: str | None = None) -> str:
+        ident = hashlib.sha256((key or text).encode()).hexdigest()[:12]
+        self.sent[ident] = text
+        self.calls += 1
+        return ident
+
+    def find(self, key: str) -> str | None:
+        ident = hashlib.sha256(key.encode()).hexdigest()[:12]
+        return ident if ident in self.sent else None
 
 
 class MemoryBoard:
     def __init__(self) -> None:
         self.cards: dict[str, dict] = {}
 
-    def create(self, title: str, list_id: str, description: str) -> dict:
-        card = {"id": f"card{len(self.cards) + 1}", "name": title, "url": f"https://board.invalid/{len(self.cards) + 1}", "idList": list_id, "desc": description}
+    def create(self, title: str, list_id: str, description: str, key: str | None = None) -> dict:
+        card = {"id": f"card{len(self.cards) + 1}", "name": title, "url": f"https://board.invalid/{len(self.cards) + 1}", "idList": list_id, "desc": description, "key": key}
         self.cards[card["id"]] = card
         return card
 
@@ -124,3 +130,6 @@ class MemoryBoard:
         card = self.cards.setdefault(card_id, {"id": card_id, "name": card_id, "url": "", "idList": ""})
         card["desc"] = description
         return card
+
+    def find(self, key: str) -> dict | None:
+        return next((c for c in self.cards.values() if c.get("key") == key), None)

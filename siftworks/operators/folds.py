@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftworks.operators import scan
+
 CAP = 0.3
 
 
+#: Whole steps in one: the fold counts in millionths. _FAR is beyond all sums.
+_UNIT, _FAR = 1_000_000, 1 << 60
+
+
 def saturating_fold(events: DataFrame, keys: list[str], order: list[str], delta: str, item: str | None = None, cap: float = CAP) -> DataFrame:
-    """keys, cumulative_adjustment and item_ids_contributing: deltas added in order, the sum held within the cap after each one, to six places.
+    """keys, cumulative_adjustment and item_ids_contributing: deltas added in order, the sum held within the cap after each one, in whole millionths.
 
-    A key's events are one array, as the fold depends on their order; a key is a tag in a week.
+    To add d and then hold the sum is a function x -> max(low, min(high, x + shift)), and so is one such after another.
+    So ranges of the order, of which a key of many events has several, are each folded into such a triple and the
+    items' list, and a key's triples, one for each range, are put together in their order. A null delta adds nothing.
+    Events alike in all of the order go by their delta and item.
     """
-    what = F.struct(*order, F.col(delta).cast("double").alias("__d"), (F.col(item) if item else F.lit(None)).cast("string").alias("__i"))
-    sorted_ = F.array_sort(F.collect_list(what))
-    step = lambda a, x: F.round(F.greatest(F.lit(-cap), F.least(F.lit(cap), a + x["__d"])), 6)
-    got = events.groupBy(*keys).agg(sorted_.alias("e"))
-    return got.select(*keys, F.aggregate("e", F.lit(0.0), step).alias("cumulative_adjustment"), F.transform("e", lambda x: x["__i"]).alias("item_ids_contributing"))
+    held = F.lit(round(cap * _UNIT))
+    d = F.coalesce(F.round(F.col(delta).cast("double") * _UNIT).cast("long"), F.lit(0)).alias("__d")
+    names = [f"__o{i}" for i in range(len(order))]
+    few = events.select(*keys, *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)], d, (F.col(item) if item else F.lit(None)).cast("string").alias("__i"))
+    ranged = few.repartitionByRange(*keys, *names, "__d", "__i").withColumn("__part", F.spark_partition_id())
+    parts = ranged.groupBy(*keys, "__part").agg(F.array_sort(F.collect_list(F.struct(*names, "__d", "__i"))).alias("e"))  # of one range
+    hold = lambda x: F.greatest(-held, F.least(held, x))
+    one = F.aggregate("e", F.struct(F.lit(-_FAR).alias("low"), F.lit(_FAR).alias("high"), F.lit(0).cast("long").alias("shift")), lambda a, x: F.struct(hold(a["low"] + x["__d"]).alias("low"), hold(a["high"] + x["__d"]).alias("high"), (a["shift"] + x["__d"]).alias("shift")))
+    folded = parts.select(*keys, F.struct("__part", one.alias("f"), F.transform("e", lambda x: x["__i"]).alias("ids")).alias("p"))
+    whole = folded.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("p"))  # one triple a range
+    total = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: F.greatest(x["f"]["low"], F.least(x["f"]["high"], a + x["f"]["shift"])))
+    return whole.select(*keys, (total / F.lit(float(_UNIT))).alias("cumulative_adjustment"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("item_ids_contributing"))
 
 
 def cost_by_provider(costs: DataFrame) -> DataFrame:
@@ -38,12 +54,28 @@ def allocate(rows: DataFrame, total: Column, length: Column, group: list[str] |
     return j.withColumn("share", F.when(F.col("__n") == 1, total.cast("long")).otherwise(part)).drop("__all", "__n")
 
 
-def cadence(posts: DataFrame, key: str, ts: str, least: int = 3, daily_hours: float = 48.0) -> DataFrame:
-    """(key, n, median_gap_hours, cadence): daily or sporadic by the median gap between posts, null with fewer posts than least."""
-    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(Window.partitionBy(key).orderBy(ts)).cast("timestamp"))) / 3.6e9
-    got = posts.withColumn("g", gap).groupBy(key).agg(F.count("*").alias("n"), F.median("g").alias("m"))
+def median(rows: DataFrame, key: str, value: str, size: int | None = None) -> DataFrame:
+    """(key, n, median): the rows of each key, and the median of its values that aren't null. A key of many rows is ranked in segments, and its middle values taken by rank."""
+    segs, any_cut = scan.segmented(rows.select(key, F.col(value).alias("__x")), [key], ["__x"], size)
+    plain = lambda df: df.groupBy(key).agg(F.count("*").alias("n"), F.median("__x").alias("median"))
+    if not any_cut:
+        return plain(segs)
+    long = segs.where("__cut").select(key, "__x")
+    counts = long.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n"), F.count("__x").alias("m"))  # some keys
+    ranks = scan.row_numbers(long.where("__x IS NOT NULL"), [key], ["__x"], "__r", size)
+    middle = (F.col("__r") == F.floor((F.col("m") + 1) / 2)) | (F.col("__r") == F.floor((F.col("m") + 2) / 2))
+    mids = ranks.join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("__key"))).where(middle).groupBy("__key").agg((F.min("__x") * 0.5 + F.max("__x") * 0.5).alias("median"))
+    far = counts.join(mids.withColumnRenamed("__key", "__mid"), F.col("__key").eqNullSafe(F.col("__mid")), "left").select(F.col("__key").alias(key), "n", "median")
+    return plain(segs.where("NOT __cut")).unionByName(far)
+
+
+def cadence(posts: DataFrame, key: str, ts: str, least: int = 3, daily_hours: float = 48.0, size: int | None = None) -> DataFrame:
+    """(key, n, median_gap_hours, cadence): daily or sporadic by the median gap between posts, null with fewer posts than least (A5, W2, L21). A key of many posts is cut into segments of about size posts."""
+    told = scan.previous_value(posts.select(key, F.col(ts).alias("__ts")), [key], ["__ts"], "__ts", "__before", size)
+    gap = (F.unix_micros(F.col("__ts").cast("timestamp")) - F.unix_micros(F.col("__before").cast("timestamp"))) / 3.6e9
+    got = median(told.select(key, gap.alias("g")), key, "g", size)
     enough = F.col("n") >= least
-    return got.select(key, "n", F.when(enough, F.col("m")).alias("median_gap_hours"), F.when(enough, F.when(F.col("m") <= daily_hours, "daily").otherwise("sporadic")).alias("cadence"))
+    return got.select(key, "n", F.when(enough, F.col("median")).alias("median_gap_hours"), F.when(enough, F.when(F.col("median") <= daily_hours, "daily").otherwise("sporadic")).alias("cadence"))
 
 
 def drop_counts(drops: DataFrame) -> DataFrame:

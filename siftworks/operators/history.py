@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftworks.operators import scan
+
 
 def latest_prior(entries: DataFrame, order: str, current: str | None = None, key: str = "run_id") -> DataFrame:
     """The one entry with the greatest order whose key is not the current one; of equal ones the greatest key (J11, O4). One row or none."""
@@ -12,22 +14,22 @@ def latest_prior(entries: DataFrame, order: str, current: str | None = None, key
     return rest.agg(F.max_by(F.struct(*entries.columns), F.struct(F.coalesce(order, F.lit("")), key)).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str]) -> DataFrame:
-    """left with values of the last row of right, by key, at or before its time (J11 in general, W6).
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], size: int | None = None) -> DataFrame:
+    """left with values of the last row of right, by key, at or before its time; of rows of one time the one of the greatest values (J11 in general, W6).
 
-    Both tables go through one sort by key and time, so there is no range join; a key's rows must fit a task's sort, which spills.
+    Both tables go through one sort by key and time, so there is no range join; a key of many rows goes through it in
+    segments of about size rows (operators.scan).
     """
     a = left.withColumn("__side", F.lit(1)).withColumn("__row", F.struct(*left.columns))
-    b = right.select(key, ts, F.struct(*values).alias("__v")).withColumn("__side", F.lit(0))
-    both = a.select(key, ts, "__side", "__row", F.lit(None).cast(b.schema["__v"].dataType).alias("__v")).unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    told = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
-    return told.select("__row.*", *[F.col("__v")[v].alias(f"prior_{v}") for v in values])
+    b = right.select(key, ts, F.struct(*values).alias("__v0")).withColumn("__side", F.lit(0))
+    both = a.select(key, ts, "__side", "__row", F.lit(None).cast(b.schema["__v0"].dataType).alias("__v0")).unionByName(b, allowMissingColumns=True)
+    told = scan.last_value(both, [key], [ts, "__side", "__v0"], "__v0", "__told", size).where("__side = 1")
+    return told.select("__row.*", *[F.col("__told")[v].alias(f"prior_{v}") for v in values])
 
 
-def previous(rows: DataFrame, key: str, order: list[str], value: str, out: str = "previous") -> DataFrame:
-    """rows with the value of the key's row before, by order, or null for its first (W6). A key's rows must fit a task's sort, which spills."""
-    return rows.withColumn(out, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
+def previous(rows: DataFrame, key: str, order: list[str], value: str, out: str = "previous", size: int | None = None) -> DataFrame:
+    """rows with the value of the key's row before, by order, or null for its first (W6). A key of many rows is cut into segments of about size rows."""
+    return scan.previous_value(rows, [key], order, value, out, size)
 
 
 def movement(prior: DataFrame, snapshot: DataFrame, lists: DataFrame, done: str = "Done") -> DataFrame:

@@ -22,7 +22,9 @@ STORE = {
     "plan_history": ("run_id string, cards array<struct<card_id:string,list_name:string>>, generated_at string", "run_id"),
     "carry_forward_log": ("url string, carried_in_run_id string, carried_at string", "url"),
     "item_map": ("message_id string, run_id string, item_number int, url string, title string, text string, tags array<string>, reasoning string, section string", "message_id, item_number"),
-    "pending_resume": ("message_id string, thread_id string, proposal_id string, run_id string", "message_id"),
+    "pending_resume": ("message_id string, thread_id string, proposal_id string, run_id string, url string, title string, text string, reasoning string, tags array<string>, proposal_type string, matched_card_id string", "message_id"),
+    "outbox": ("effect_id string, run_id string, node string, target string, kind string, payload string, after string, follow string, seq long, status string, tries int, result string, error string, created_at string, changed_at string", "effect_id"),
+    "model_answers": ("model string, digest string, answers string, run_id string, answered_at string", "digest"),
     "adhoc_queue": ("key string, text string, queued_at string", "key"),
     "polling_state": ("name string, value long", "name"),
     "profile": ("name string, content string, updated_at string", "name"),

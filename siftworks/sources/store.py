@@ -8,6 +8,10 @@ fails leaves the table as it was. One writer a table is assumed. Logs are append
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +49,9 @@ class TableStore:
     def _empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], STORE[name][0])
 
+    def columns(self, name: str) -> list[str]:
+        return self._empty(name).columns
+
     def _keys(self, name: str) -> list[str]:
         return [k.strip() for k in STORE[name][1].split(",")]
 
@@ -56,7 +63,7 @@ class TableStore:
         schema, key = STORE[name]
         if key:
             return self._read_buckets(name, list(range(BUCKETS)))
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if self._fs().exists(self._path(name)) else self._empty(name)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").select(*self.columns(name)) if self._fs().exists(self._path(name)) else self._empty(name)
 
     def _read_buckets(self, name: str, buckets: list[int]) -> DataFrame:
         fs, now = self._fs(), self._current(name)
@@ -68,11 +75,22 @@ class TableStore:
         have = set(df.columns)
         return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._empty(name).schema])
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """Adds rows to a log."""
+    def append(self, name: str, df: DataFrame, once: str | None = None) -> None:
+        """Adds rows to a log, as a part of its own. A part of the same once takes the place of an earlier one, so that a step that runs again adds nothing."""
         if STORE[name][1]:
             raise ValueError(f"{name} is keyed; use upsert")
-        self._shaped(name, df).write.mode("append").parquet(f"{self.root}/{name}")
+        part = hashlib.sha256(once.encode()).hexdigest()[:32] if once else uuid.uuid4().hex
+        self._shaped(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/__part=p{part}")
+
+    def stage(self, run_id: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The rows of a run's stage, which make gives if they have not been written as a whole."""
+        where = ("_stages", run_id, name)
+        if not self._fs().exists(self._path(*where, "_SUCCESS")):
+            make().write.mode("overwrite").parquet("/".join((self.root, *where)))
+        return self.spark.read.parquet("/".join((self.root, *where)))
+
+    def drop_stages(self, run_id: str) -> None:
+        self._fs().delete(self._path("_stages", run_id), True)
 
     def _write(self, name: str, df: DataFrame, buckets: list[int]) -> None:
         """Writes df as all that these buckets hold, and deletes versions that neither the table as it is now nor as it was before needs; for readers of that may still be at work."""
