@@ -1,7 +1,10 @@
 """Similarity joins: best match in a window, nearest topic, and the greedy dedup of a run.
 
 Two vector tables are packed into blocks, and each pair of blocks is one matrix product in an Arrow batch; only pairs
-over the threshold come out. Work is spread over the pairs of blocks, and no task holds more than two blocks.
+over the threshold come out. Work is spread over the pairs of blocks, and no task holds more than two blocks. Blocks have
+vectors that are near each other, and know the least and the greatest angle of theirs to each of some pivots. Angles
+obey the triangle inequality, so where two blocks' angles to a pivot lie further apart than the threshold's angle, no
+pair of theirs can reach it: such blocks never meet, and only their angles are compared.
 """
 
 from __future__ import annotations
@@ -14,9 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftworks.operators import scan
 from siftworks.operators.cut import cut
 
 BLOCK = 1024
+#: Vectors to which angles are taken; what rounding may add to an angle; pairs of blocks up to which all are multiplied.
+PIVOTS, SLACK, PLAIN = 64, 1e-6, 16
 FOLDED = pa.schema([("url", pa.string()), ("slot", pa.int64()), ("kept", pa.bool_()), ("matched", pa.string()), ("sim", pa.float64()), ("filter_type", pa.string())])
 VERBATIM, OVERLAP, TOPIC = 0.90, 0.60, 0.30
 
@@ -28,24 +34,29 @@ def _blocks(df: DataFrame, key: str, vector: str, side: str, block: int) -> tupl
     return one.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias(side)).drop("b"), n
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str = "embedding_vector", block: int = BLOCK, best: bool = False) -> DataFrame:
-    """(a, b, sim) of the pairs of left and right whose cosine is threshold at least; with best, for each a only the one of a block of right that has the greatest, of equal ones the least b. Zero vectors and vectors of other sizes have cosine 0."""
-    (a, na), (b, nb) = _blocks(left, key_l, vector, "l", block), _blocks(right, key_r, vector, "r", block)
-    kind_a, kind_b = left.schema[key_l].dataType.simpleString(), right.schema[key_r].dataType.simpleString()
+def _unit(keys_and_vectors: pa.ListScalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A block's keys, its vectors as rows of length 1 or 0, filled up with zeros, and their sizes."""
+    keys, vectors = keys_and_vectors.values.flatten()
+    m, size = _matrix(vectors)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return keys, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), size
+
+
+def _matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    m = np.zeros((len(vectors), max(1, size.max(initial=1))))
+    m[np.arange(m.shape[1])[None, :] < size[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    return m, size
+
 
-    def unit(cell: pa.ListScalar) -> tuple[list, np.ndarray, np.ndarray]:
-        keys, vectors = cell.values.flatten()
-        size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
-        m = np.zeros((len(keys), max(1, size.max(initial=1))))
-        m[np.arange(m.shape[1])[None, :] < size[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
-        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return keys, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), size
+def _products(pairs: DataFrame, threshold: float, kinds: tuple[str, str], best: bool = False) -> DataFrame:
+    """(a, b, sim) of the pairs of blocks l and r."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left_cell, right_cell in zip(batch.column("l"), batch.column("r"), strict=True):
-                ka, ma, sa = unit(left_cell)
-                kb, mb, sb = unit(right_cell)
+                ka, ma, sa = _unit(left_cell)
+                kb, mb, sb = _unit(right_cell)
                 width = max(ma.shape[1], mb.shape[1])
                 ma, mb = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (ma, mb))
                 sim = np.where(sa[:, None] == sb[None, :], ma @ mb.T, 0.0)
@@ -57,8 +68,81 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: st
                     i, j = np.nonzero(sim >= threshold)
                 yield pa.RecordBatch.from_arrays([ka.take(pa.array(i)), kb.take(pa.array(j)), pa.array(sim[i, j])], names=["a", "b", "sim"])
 
-    pairs = a.crossJoin(b)  # of blocks, not of rows
-    return pairs.repartition(min(2000, na * nb)).mapInArrow(run, f"a {kind_a}, b {kind_b}, sim double")
+    return pairs.mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}, sim double")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str = "embedding_vector", block: int = BLOCK, best: bool = False) -> DataFrame:
+    """(a, b, sim) of the pairs of left and right whose cosine is threshold at least; with best, for each a only the one of a block of right that has the greatest, of equal ones the least b. Zero vectors and vectors of other sizes have cosine 0.
+
+    Above zero and with more than a few blocks, blocks that can't reach the threshold are left out (near_blocks); the
+    pairs are the same.
+    """
+    (a, na), (b, nb) = _blocks(left, key_l, vector, "l", block), _blocks(right, key_r, vector, "r", block)
+    kinds = left.schema[key_l].dataType.simpleString(), right.schema[key_r].dataType.simpleString()
+    if best or threshold <= 0 or na * nb <= PLAIN:
+        return _products(a.crossJoin(b).repartition(min(2000, na * nb)), threshold, kinds, best)  # of blocks, not of rows
+    one, two, met = near_blocks(left, right, threshold, key_l, key_r, vector, block)
+    pairs = met.join(one.select(F.col("id").alias("ia"), F.col("vs").alias("l")), "ia").join(two.select(F.col("id").alias("ib"), F.col("vs").alias("r")), "ib")
+    return _products(pairs.select("l", "r").repartition(min(2000, na * nb)), threshold, kinds)
+
+
+def near_blocks(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str = "embedding_vector", block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The blocks of left and of right (id, vs, low and high: their angles to the pivots), and the pairs (ia, ib) of them that may reach a threshold above zero.
+
+    A block has vectors of one size whose nearest pivot is the same, in the order of their angle to it, at most block of
+    them. Zero vectors are in none. Pivots are the PIVOTS vectors of the least hashes of their keys.
+    """
+    some = lambda df, key: df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0))
+    both = some(left, key_l).select(F.xxhash64("k").alias("h"), "v").union(some(right, key_r).select(F.xxhash64("k").alias("h"), "v"))
+    chosen: dict[int, np.ndarray] = {}
+    for r in both.orderBy("h").limit(PIVOTS).collect():
+        v = np.array(r.v) / np.linalg.norm(r.v)
+        chosen[len(v)] = np.vstack([chosen[len(v)], v]) if len(v) in chosen else v[None, :]
+
+    def angles(m: np.ndarray) -> np.ndarray:
+        """Of vectors of one size to the pivots of that size; none, where there is no such pivot."""
+        p = chosen.get(m.shape[1])
+        if p is None:
+            return np.zeros((len(m), 0))
+        return np.arccos(np.clip(m / np.linalg.norm(m, axis=1, keepdims=True) @ p.T, -1.0, 1.0))
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, size = _matrix(batch.column("v"))
+            cell, at = np.full(len(m), -1, dtype=np.int32), np.zeros(len(m))
+            for w in np.unique(size):
+                mine = np.flatnonzero(size == w)
+                x = angles(m[mine, :w])
+                if x.shape[1]:
+                    cell[mine], at[mine] = x.argmin(axis=1), x.min(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), pa.array(size, pa.int32()), pa.array(cell), pa.array(at)], names=["k", "v", "w", "cell", "at"])
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = []
+            for cell in batch.column("vs"):
+                x = angles(_matrix(cell.values.flatten()[1])[0])
+                ends.append((x.min(axis=0).tolist(), x.max(axis=0).tolist()))
+            low, high = ([e[i] for e in ends] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("w"), batch.column("vs"), pa.array(low, pa.list_(pa.float64())), pa.array(high, pa.list_(pa.float64()))], names=["id", "w", "vs", "low", "high"])
+
+    def packed(df: DataFrame, key: str) -> DataFrame:
+        kind = df.schema[key].dataType.simpleString()
+        near = some(df, key).mapInArrow(celled, f"k {kind}, v array<double>, w int, cell int, at double")
+        numbered = scan.row_numbers(cut(near), ["w", "cell"], ["at", "k"], "__n")
+        one = numbered.groupBy("w", "cell", F.floor((F.col("__n") - 1) / block).alias("c")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("vs"))
+        one = one.select(F.concat_ws("/", "w", "cell", "c").alias("id"), "w", "vs")
+        return cut(one.mapInArrow(ranged, f"id string, w int, vs array<struct<k:{kind},v:array<double>>>, low array<double>, high array<double>"))
+
+    a = packed(left, key_l)
+    b = a if left is right and key_l == key_r else packed(right, key_r)
+    far = float(np.arccos(min(1.0, threshold))) + SLACK
+    salts = max(1, a.count() // 256)
+    ma = a.select(F.col("id").alias("ia"), "w", F.col("low").alias("la"), F.col("high").alias("ha"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    mb = b.select(F.col("id").alias("ib"), F.col("w").alias("w2"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt2"))
+    apart = F.exists(F.arrays_zip("la", "ha", "lb", "hb"), lambda z: (z["la"] - z["hb"] > far) | (z["lb"] - z["ha"] > far))
+    met = ma.join(mb, (F.col("salt") == F.col("salt2")) & (F.col("w") == F.col("w2")) & ~apart)  # angles, not vectors
+    return a, b, cut(met.select("ia", "ib"))
 
 
 def _tiers(pairs: DataFrame, left: DataFrame, right: DataFrame, verbatim: float, overlap: float) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,37 @@ def test_feedback_entries(spark):
     m = spark.createDataFrame([("m", 1, "r", "u1", "T", "y" * 400, ["evals"])], "message_id string, item_number int, run_id string, url string, title string, text string, tags array<string>")
     got = routing.feedback_rows(routing.feedback_entries(parsed, m), "now").collect()
     assert [(g.item_id, g.sentiment, len(g.content_summary)) for g in got] == [("u1", "positive", 300)]
+
+
+def clustered(spark, seed, groups, each, width):
+    """Vectors of groups far from each other, with zero, null and shorter ones among them."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(groups, width))
+    rows = [(f"{g}/{i}", [float(x) for x in centres[g] + r.normal(size=width) * 0.05]) for g in range(groups) for i in range(each)]
+    rows += [("zero", [0.0] * width), ("null", None), ("empty", []), ("short", [1.0, 2.0]), ("short2", [2.0, 4.0])]
+    return spark.createDataFrame(rows, "url string, embedding_vector array<double>"), rows
+
+
+def pairs_of(rows, threshold):
+    vectors = {k: np.array(v) for k, v in rows if v and any(v)}
+    return {(a, b) for a, x in vectors.items() for b, y in vectors.items() if len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= threshold}
+
+
+def test_blocks_that_cannot_reach_the_threshold_never_meet(spark):
+    df, rows_ = clustered(spark, 1, 24, 20, 32)
+    one, two, met = similarity.near_blocks(df, df, 0.8, "url", "url", block=10)
+    total = one.count() * two.count()
+    assert two is one and max(len(r.vs) for r in one.select("vs").collect()) <= 10
+    assert met.count() < 0.1 * total  # over 90 % of the products are left out
+    got = similarity.similar_pairs(df, df, 0.8, "url", "url", block=10)
+    assert {(r.a, r.b) for r in got.collect()} == pairs_of(rows_, 0.8)
+    assert ("short", "short2") in pairs_of(rows_, 0.8) and len(pairs_of(rows_, 0.8)) == 24 * 400 + 4
+
+
+def test_pruned_pairs_of_scattered_vectors_are_all_there(spark):
+    r = np.random.default_rng(2)
+    rows_ = [(i, [float(x) for x in r.normal(size=4)]) for i in range(150)]
+    df = spark.createDataFrame(rows_, "id long, embedding_vector array<double>")
+    for threshold in (0.3, 0.9, 1.0 - 1e-12):
+        got = similarity.similar_pairs(df, df.where("id % 2 = 0"), threshold, "id", "id", block=8)
+        assert {(x.a, x.b) for x in got.collect()} == {(a, b) for a, b in pairs_of(rows_, threshold) if b % 2 == 0}
