@@ -30,5 +30,7 @@ class Stages:
         self.ctx.steps.append(name)
         if len(self.ctx.steps) > self.ctx.max_steps:
             raise StepLimit(f"more than {self.ctx.max_steps} steps, the last of them {name}")
-        self.last = hashlib.sha256(f"{self.last}/{name}/{parameters}".encode()).hexdigest()
-        return self.store.stage(self.ctx.run_id, f"{name}-{self.last[:16]}", make)
+        now = hashlib.sha256(f"{self.last}/{name}/{parameters}".encode()).hexdigest()
+        rows = self.store.stage(self.ctx.run_id, f"{name}-{now[:16]}", make)
+        self.last = now  # a stage that failed and is left out is no part of what follows
+        return rows
