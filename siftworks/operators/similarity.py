@@ -181,41 +181,109 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def greedy_dedup(items: DataFrame, verbatim: float = VERBATIM, overlap: float = OVERLAP) -> DataFrame:
+#: Rows of a component up to which one task folds it, and rounds before the fold in any case.
+MOST, ROUNDS = 20_000, 64
+
+
+def _fold(group: pa.Table) -> pa.Table:
+    """The sequential pass over the rows of a component that have no state yet, by pos; gives them, and holders that they take over. Those with a state are holders (H) up to their death, or never were (N)."""
+    holders: dict[str, dict] = {}
+    out = []
+    for r in sorted(group.to_pylist(), key=lambda r: r["pos"]):
+        if r["state"] == "N":
+            continue
+        if r["state"] == "H":
+            holders[r["url"]] = r
+            continue
+        alive = [(-n["sim"], holders[n["b"]]["slot"], n["b"], n) for n in r["near"] if n["b"] in holders and (holders[n["b"]]["death"] is None or holders[n["b"]]["death"] > r["pos"])]
+        if not alive:
+            holders[r["url"]] = r | {"slot": r["pos"]}
+            continue
+        _, slot, b, n = min(alive, key=lambda h: h[:2])
+        takes = r["fetched_at"] < holders[b]["fetched_at"]
+        gone, stays = (b, r["url"]) if takes else (r["url"], b)
+        if takes:
+            del holders[b]
+            holders[r["url"]] = r | {"slot": slot}
+        out.append({"url": gone, "kept": False, "matched": stays, "sim": n["sim"], "filter_type": n["filter_type"]})
+    out += [{"url": u, "slot": h["slot"], "kept": True} for u, h in holders.items() if h["state"] is None]
+    return pa.Table.from_pylist(out, schema=FOLDED)
+
+
+def _folded(rows: DataFrame, own: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (url, pos, fetched_at, state, slot, death) after the pass, by component."""
+    near = own.groupBy("a").agg(F.collect_list(F.struct("b", "sim", "filter_type")).alias("near"))
+    j = rows.join(near, F.col("url") == F.col("a")).drop("a").join(roots, F.col("url") == F.col("node")).drop("node")
+    return j.groupBy("root").applyInArrow(_fold, "url string, slot long, kept boolean, matched string, sim double, filter_type string")
+
+
+def _rounds(rows: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """rows (url, pos, fetched_at) with state (H, N, or null where the rounds end before), slot, death, matched, sim and filter_type.
+
+    A round decides, at once, every item of which what came before it says enough: all its earlier neighbours are gone,
+    or the best of those that may still hold a slot is known to, and none that is not decided and stands between the two
+    could take that slot over. The first item without a state always is such a one. A holder's death is the pos of the
+    item that took its slot, so items before that still meet it.
+    """
+    place = rows.select("url", "pos", "fetched_at")
+    earlier = own.join(place.select(F.col("url").alias("a"), F.col("pos").alias("pa"), F.col("fetched_at").alias("fa")), "a").join(place.select(F.col("url").alias("b"), F.col("pos").alias("pb"), F.col("fetched_at").alias("fb")), "b")
+    earlier = cut(earlier.where("pb < pa").withColumn("takes", F.coalesce(F.col("fa") < F.col("fb"), F.lit(False))))
+    none = F.lit(None)
+    now = cut(place.select("*", none.cast("string").alias("state"), none.cast("long").alias("slot"), none.cast("long").alias("death"), none.cast("string").alias("matched"), none.cast("double").alias("sim"), none.cast("string").alias("filter_type")))
+    for _ in range(ROUNDS):
+        left = now.where("state IS NULL").select(F.col("url").alias("a"))
+        if left.limit(most + 1).count() <= most:
+            break
+        asked = earlier.join(left, "a", "left_semi")
+        taker = asked.where("takes").groupBy("b").agg(F.min("pa").alias("taker"))
+        known = now.select(F.col("url").alias("b"), F.col("state").alias("sb"), F.col("slot").alias("slot_b"), F.col("death").alias("db"))
+        alive = asked.join(known, "b").join(taker, "b", "left").where("sb IS NULL OR (sb = 'H' AND (db IS NULL OR db > pa))")
+        best = alive.groupBy("a").agg(F.min_by(F.struct("b", "sb", "slot_b", "taker", "takes", "sim", "filter_type", "pa"), F.struct(-F.col("sim"), F.col("sb").isNotNull(), F.col("slot_b"))).alias("m"))
+        told = left.join(best, "a", "left")
+        sure = F.col("m.sb").isNotNull() & (F.col("m.taker").isNull() | (F.col("m.taker") >= F.col("m.pa")))
+        told = cut(told.where(F.col("m").isNull() | sure))
+        born = told.select(F.col("a").alias("u"), F.when(F.col("m").isNull() | F.col("m.takes"), "H").otherwise("N").alias("s"), F.col("m.takes").alias("t"), "m")
+        dead = told.where("m.takes").select(F.col("m.b").alias("d"), F.struct("a", "m.pa", "m.sim", "m.filter_type").alias("by"))
+        j = now.join(born, F.col("url") == F.col("u"), "left").join(dead, F.col("url") == F.col("d"), "left")
+        new, lost, by = F.col("u").isNotNull(), F.col("s") == "N", F.col("by")
+        pick = lambda name, mine: F.when(by.isNotNull(), by[mine]).when(lost, F.col("m")[name]).otherwise(F.col(name if name != "b" else "matched"))
+        now = cut(j.select(
+            "url", "pos", "fetched_at", F.when(new, F.col("s")).otherwise(F.col("state")).alias("state"),
+            F.when(new, F.when(F.col("s") == "H", F.coalesce(F.when(F.col("t"), F.col("m.slot_b")), F.col("pos")))).otherwise(F.col("slot")).alias("slot"),
+            F.when(by.isNotNull(), by["pa"]).otherwise(F.col("death")).alias("death"), pick("b", "a").alias("matched"), pick("sim", "sim").alias("sim"), pick("filter_type", "filter_type").alias("filter_type"),
+        ))
+    return now
+
+
+def greedy_dedup(items: DataFrame, verbatim: float = VERBATIM, overlap: float = OVERLAP, most: int = MOST) -> DataFrame:
     """The items of a run with slot, kept, matched, sim and filter_type, as a sequential greedy pass over pos gives them.
 
     Each item in turn is compared with the survivors; the best match keeps its slot, but for an earlier fetched_at, when
     the item takes the slot over. Only items that some pair joins can act on each other, so the pass runs by component
-    of the pair graph, in parallel; all other items survive as they are. items has url, pos, fetched_at, is_roundup and
-    embedding_vector.
+    of the pair graph, in parallel; all other items survive as they are. A component of more than most rows is first
+    decided in parallel rounds, until most of its rows at most are left, or for ROUNDS rounds, which only long chains of
+    items that wait for each other outlast. items has url, pos, fetched_at, is_roundup and embedding_vector.
     """
     own = cut(_tiers(similar_pairs(items, items, min(verbatim, overlap), "url", "url"), items, items, verbatim, overlap).where("a <> b"))
     roots = components(own)
-    near = own.groupBy("a").agg(F.collect_list(F.struct("b", "sim", "filter_type")).alias("near"))
-    rows = items.select("url", "pos", "fetched_at").join(near, F.col("url") == F.col("a")).drop("a").join(roots, F.col("url") == F.col("node")).drop("node")
-
-    def fold(group: pa.Table) -> pa.Table:
-        slots: list[dict] = []
-        out = []
-        for r in sorted(group.to_pylist(), key=lambda r: r["pos"]):
-            links = {n["b"]: n for n in r["near"]}
-            hit = None
-            for s in slots:
-                n = links.get(s["url"])
-                if n is not None and (hit is None or n["sim"] > hit[1]["sim"]):
-                    hit = (s, n)
-            if hit is None:
-                slots.append({"url": r["url"], "fetched_at": r["fetched_at"], "slot": r["pos"]})
-                continue
-            s, n = hit
-            gone, stays = (s["url"], r["url"]) if r["fetched_at"] < s["fetched_at"] else (r["url"], s["url"])
-            if gone == s["url"]:
-                s.update(url=r["url"], fetched_at=r["fetched_at"])
-            out.append({"url": gone, "kept": False, "matched": stays, "sim": n["sim"], "filter_type": n["filter_type"]})
-        out += [{"url": s["url"], "slot": s["slot"], "kept": True} for s in slots]
-        return pa.Table.from_pylist(out, schema=FOLDED)
-
-    told = rows.groupBy("root").applyInArrow(fold, "url string, slot long, kept boolean, matched string, sim double, filter_type string")
+    bare = items.select("url", "pos", "fetched_at", F.lit(None).cast("string").alias("state"), F.lit(None).cast("long").alias("slot"), F.lit(None).cast("long").alias("death"))
+    large = cut(roots.groupBy("root").count().where(F.col("count") > most).select("root"))
+    if large.isEmpty():
+        told = _folded(bare, own, roots)
+    else:
+        far = roots.join(large, "root", "left_semi")
+        in_far = cut(own.join(far.select(F.col("node").alias("a")), "a", "left_semi").select(*own.columns))
+        done = _rounds(items.join(far.select(F.col("node").alias("url")), "url", "left_semi"), in_far, most)
+        open_ = done.where("state IS NULL").select(F.col("url").alias("a"))
+        told = _folded(bare, own, roots.join(large, "root", "left_anti").select("node", "root"))
+        final = done.where("state IS NOT NULL").select("url", F.when((F.col("state") == "H") & F.col("death").isNull(), F.col("slot")).alias("slot"), ((F.col("state") == "H") & F.col("death").isNull()).alias("kept"), "matched", "sim", "filter_type")
+        if not open_.isEmpty():
+            # what is left meets its decided neighbours once more; a holder that it takes over is one of theirs
+            touched = cut(in_far.join(open_, "a", "left_semi").select("a", "b", "sim", "filter_type"))
+            both = touched.union(touched.join(open_.withColumnRenamed("a", "b"), "b", "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "filter_type"))
+            rest = cut(_folded(done.select("url", "pos", "fetched_at", "state", "slot", "death"), both, components(touched)))
+            final = rest.unionByName(final.join(rest.select("url"), "url", "left_anti"))
+        told = told.unionByName(final)
     told = told.withColumnRenamed("url", "u")
     joined = items.join(told, F.col("url") == F.col("u"), "left").drop("u")
     return joined.withColumns({"kept": F.coalesce("kept", F.lit(True)), "slot": F.when(F.coalesce("kept", F.lit(True)), F.coalesce("slot", F.col("pos")))})

@@ -86,6 +86,19 @@ def test_greedy_dedup_equals_the_sequential_pass(spark, seed):
     assert got.count() == 60
 
 
+@pytest.mark.parametrize(("seed", "width", "most", "rounds"), [(4, 2, 0, 64), (5, 2, 0, 2), (6, 4, 5, 64)])
+def test_greedy_rounds_equal_the_sequential_pass(spark, monkeypatch, seed, width, most, rounds):
+    """In rounds to the end, in two rounds and a fold, and with components on both sides of the bound; two dimensions make one component of all rows."""
+    monkeypatch.setattr(similarity, "ROUNDS", rounds)
+    r = random.Random(seed)
+    items = [(f"u{i:03d}", f"{r.randint(0, 40):03d}", r.random() < 0.2, [r.gauss(0, 1) for _ in range(width)]) for i in range(32)]
+    df = spark.createDataFrame([(u, f, p, v, i) for i, (u, f, p, v) in enumerate(items)], "url string, fetched_at string, is_roundup boolean, embedding_vector array<double>, pos long")
+    got = similarity.greedy_dedup(df, 0.95, 0.8, most).collect()
+    assert [x.url for x in sorted((x for x in got if x.kept), key=lambda x: x.slot)] == greedy(items, 0.95, 0.8)
+    plain = {x.url: x for x in similarity.greedy_dedup(df, 0.95, 0.8).collect()}
+    assert len(got) == 32 and all((x.slot, x.kept, x.matched, x.filter_type) == (plain[x.url].slot, plain[x.url].kept, plain[x.url].matched, plain[x.url].filter_type) for x in got)
+
+
 def test_greedy_dedup_without_pairs(spark):
     df = spark.createDataFrame([("a", "1", False, [1.0, 0.0], 0), ("b", "1", False, [0.0, 1.0], 1)], "url string, fetched_at string, is_roundup boolean, embedding_vector array<double>, pos long")
     assert rows(similarity.greedy_dedup(df).orderBy("pos"), "kept", "slot") == [(True, 0), (True, 1)]
