@@ -48,7 +48,12 @@ def test_directory_splits_what_is_over_capacity(spark):
     h = [int(x) for x in np.random.default_rng(3).integers(-(1 << 63), 1 << 63 - 1, 500)] + [x << 48 for x in range(40)]  # many of a long common prefix
     rows = spark.createDataFrame([(x,) for x in h], "h long")
     buckets, path, depths = exactdedup.directory(rows, 16)
-    assert depths == list(range(5, 13)) and buckets.count() < 200
+    want, left, depth = [], [x % (1 << 64) for x in h], 5  # splitting one bit at a time
+    while left:
+        counts = Counter(x >> (64 - depth) for x in left)
+        want += [(depth, p) for p, n in counts.items() if n <= 16]
+        left, depth = [x for x in left if counts[x >> (64 - depth)] > 16], depth + 1
+    assert sorted(map(tuple, buckets.select("depth", "prefix").collect())) == sorted(want) and depths == list(range(5, depth))
     got = exactdedup.in_buckets(rows, buckets, path, depths).collect()
     sizes = Counter(r.bucket for r in got)
     assert sorted(r.h for r in got) == sorted(h) and max(sizes.values()) <= 16
