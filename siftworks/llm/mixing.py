@@ -10,7 +10,7 @@ import hashlib
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,15 @@ def plan(totals: Sequence[tuple[str | None, int]], weights: Sequence[float] = (5
 PLAN = T.StructType([T.StructField("__sw_src", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__sw_start", T.LongType()), T.StructField("__sw_ends", T.ArrayType(T.LongType()))])
 
 
+#: What tells one part of one source.
+RING = ["__sw_null", "__sw_name", "__sw_part"]
+
+
+def _named(source: str) -> list[Column]:
+    """A source as two columns without nulls, which a plain join can take."""
+    return [F.col(source).isNull().alias("__sw_null"), F.coalesce(source, F.lit("")).alias("__sw_name")]
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, shards: int, seed: int) -> DataFrame:
     """docs with size, source_size, target, the word of the source's ring at which the row begins, and the ends of the shards' runs of words."""
     text = F.col(text_col).cast("string")
@@ -113,10 +122,11 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
         rows.append((p["source"], p["source_size"], p["target"], p["start"], ends))
     small = F.broadcast(docs.sparkSession.createDataFrame(rows, PLAN).withColumnRenamed("__sw_src", "__sw_a"))
     before = Window.partitionBy("__sw_src").orderBy("__sw_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("__sw_src").alias("__sw_b"), F.col("__sw_part").alias("__sw_p"), F.coalesce(F.sum("__sw_n").over(before), F.lit(0)).alias("__sw_from"))
-    inside = Window.partitionBy("__sw_src", "__sw_part").orderBy("__sw_spot", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    at = sized.withColumn("__sw_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    at = at.join(offsets, F.col("__sw_src").eqNullSafe(F.col("__sw_b")) & (F.col("__sw_part") == F.col("__sw_p")))
+    offsets = sums.select(*_named("__sw_src"), "__sw_part", F.coalesce(F.sum("__sw_n").over(before), F.lit(0)).alias("__sw_from"))
+    # the window and the join have the same keys, so that rows with their texts are shuffled once
+    inside = Window.partitionBy(*RING).orderBy("__sw_spot", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    at = sized.select("*", *_named("__sw_src")).withColumn("__sw_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    at = at.join(offsets, RING).drop(*RING)
     at = at.join(small, F.col("__sw_src").eqNullSafe(F.col("__sw_a")))
     return at.withColumn("__sw_at", F.col("__sw_from") + F.col("__sw_in") - F.col("__sw_start"))
 
