@@ -4,7 +4,9 @@ What the base patterns match seeds the search. Each token with a digit or @ has
 words before it; the word before it and the one after; the word before it and the token's shape; and the two words
 after it. A word with a digit or @ is a placeholder in them. Patterns and tokens form a graph. A pattern's score is the share of
 its distinct tokens that are known, a token's that of its best pattern; a few rounds of both let patterns with high
-scores find identifiers that no base pattern has. All is DataFrame operations; texts are read once and not shuffled.
+scores find identifiers that no base pattern has. A token that has the form of a card, ip or phone and fails its check
+is no identifier: it counts against its patterns and is never known nor found. All is DataFrame operations; texts are
+read once and not shuffled.
 """
 
 from __future__ import annotations
@@ -44,6 +46,12 @@ def _holds(kind: str, m: str) -> str:
     return "true"
 
 
+def _rejected(kind: str, m: str) -> str:
+    """SQL: whether a match of a base kind has the kind's form and fails its check. A run of digits has the form of a card only with a card's number of them."""
+    card = f"length(regexp_replace({m}, '[^0-9]', '')) BETWEEN 13 AND 19 AND " if kind == "card" else ""
+    return f"{card}NOT coalesce({_holds(kind, m)}, false)"
+
+
 def _clean(word: str) -> str:
     """SQL: a word in lower case, without what is no letter or digit at its ends."""
     return f"regexp_replace(lower({word}), r'^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"
@@ -77,12 +85,15 @@ def _rows(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
     out = out.withColumn("__sw_gaps", once(F.expr(f"transform(concat(__sw_r_t.found.p, array(__sw_r_t.rest)), p -> {ends})")))
     spans = F.array_sort(F.concat(*[F.expr(f"transform(__sw_{k}, x -> struct(x.s as s, x.e as e))") for k in BASE]))
     out = out.withColumn("__sw_spans", once(spans))
+    out = out.withColumn("__sw_bad", once(F.array_sort(F.concat(*[F.expr(f"transform(filter(__sw_f_{k}, x -> {_rejected(k, 'x.m')}), x -> struct(x.s as s, x.e as e))") for k in ("card", "ip", "phone")]))))
     out = out.withColumns({
         "__sw_begun": once(F.expr(before("__sw_f_t.s", "__sw_spans.s", False))),
         "__sw_met": once(F.expr(before("__sw_f_t.e", "__sw_spans.s", False))),
         "__sw_past": once(F.expr(before("__sw_f_t.s", "array_sort(__sw_spans.e)", True))),
+        "__sw_bad_met": once(F.expr(before("__sw_f_t.e", "__sw_bad.s", False))),
+        "__sw_bad_past": once(F.expr(before("__sw_f_t.s", "array_sort(__sw_bad.e)", True))),
     })
-    each = f"transform(__sw_f_t, (y, i) -> struct(y.s AS s, y.e AS e, {_clean('y.m')} AS token, {_patterns('i', 'y.m')} AS patterns, __sw_met[i] > __sw_begun[i] AS known, __sw_met[i] > __sw_past[i] AS taken))"
+    each = f"transform(__sw_f_t, (y, i) -> struct(y.s AS s, y.e AS e, {_clean('y.m')} AS token, {_patterns('i', 'y.m')} AS patterns, __sw_met[i] > __sw_begun[i] AS known, __sw_met[i] > __sw_past[i] AS taken, __sw_bad_met[i] > __sw_bad_past[i] AND __sw_met[i] <= __sw_begun[i] AS bad))"
     tokens = F.expr(f"filter({each}, x -> size(x.patterns) > 0 AND (x.known OR NOT x.taken AND length(x.token) >= 5 AND rlike(x.token, '[0-9].*[0-9].*[0-9]')))")
     return out.select(*[F.col(f"`{c}`") for c in carry], *[f"__sw_{k}" for k in BASE], tokens.alias("__sw_t"))
 
@@ -90,8 +101,8 @@ def _rows(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
 def discovered(edges: DataFrame) -> DataFrame:
     """(pattern, token, times) of what patterns of high score find, tokens that are base matches elsewhere included.
 
-    edges has pattern, token, seed (1 if the token is a base match in that pattern, else 0) and times, one row for each
-    pair; it should be a written table. Every join is of edges with a table of one row a key, so that no two edges of
+    edges has pattern, token, seed (1 if the token is a base match in that pattern, null if a base kind's check rejects
+    it, else 0) and times, one row for each pair; it should be a written table. Every join is of edges with a table of one row a key, so that no two edges of
     a pattern or token meet, and keys with many edges are split from the others.
     """
     tokens, _ = written(edges.groupBy("token").agg(F.max("seed").alias("score"), F.count("*").alias("of")), "tokens")
@@ -101,10 +112,10 @@ def discovered(edges: DataFrame) -> DataFrame:
         held, _ = written(by_pattern.where(f"held >= {LEAST_KNOWN}"), "patterns")
         if turn < ROUNDS:
             good = held.where("seeds >= 1").select("pattern", (F.col("held") / F.col("of")).alias("score"), "of")
-            told = split_join(edges, good, ["pattern"], "of").select("token", "score", F.lit(0).cast("long").alias("of"))
+            told = split_join(edges, good, ["pattern"], "of").where("seed IS NOT NULL").select("token", "score", F.lit(0).cast("long").alias("of"))
             known, _ = written(tokens.unionByName(told).groupBy("token").agg(F.max("score").alias("score"), F.max("of").alias("of")), "tokens")
     strong = held.where(f"held / of >= {LEAST_SCORE}").select("pattern", "of")
-    return split_join(edges, strong, ["pattern"], "of").select("pattern", "token", "times")
+    return split_join(edges, strong, ["pattern"], "of").where("seed IS NOT NULL").select("pattern", "token", "times")
 
 
 def find_pii(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -117,10 +128,10 @@ def find_pii(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataF
     held = [c for c in carry if c not in (*BASE, "found")]
     named = docs.select(*[F.col(f"`{c}`").alias(f"__sw_c{i}") for i, c in enumerate(held)], F.col(f"`{text_col}`").alias("__sw_in"))
     rows, _ = written(_rows(named, named.columns[:-1], "__sw_in").withColumn("__sw_row", F.monotonically_increasing_id()), "pii")
-    each = rows.select("__sw_row", F.explode("__sw_t").alias("x")).select("__sw_row", "x.s", "x.e", "x.token", "x.known", F.explode("x.patterns").alias("pattern"))
-    edges, _ = written(each.groupBy("pattern", "token").agg(F.max(F.col("known").cast("double")).alias("seed"), F.count("*").alias("times")), "edges")
+    each = rows.select("__sw_row", F.explode("__sw_t").alias("x")).select("__sw_row", "x.s", "x.e", "x.token", "x.known", "x.bad", F.explode("x.patterns").alias("pattern"))
+    edges, _ = written(each.groupBy("pattern", "token").agg(F.max(F.when(~F.col("bad"), F.col("known").cast("double"))).alias("seed"), F.count("*").alias("times")), "edges")
     found, _ = written(discovered(edges), "found")
-    hits = split_join(each, found, ["pattern", "token"], "times").where("NOT known")
+    hits = split_join(each, found, ["pattern", "token"], "times").where("NOT known AND NOT bad")
     by_row = hits.groupBy("__sw_row").agg(F.array_sort(F.collect_set(F.struct("s", "e", F.col("token").alias("m")))).alias("found"))
     out = rows.join(by_row, "__sw_row", "left")
     return out.select(*[F.col(f"__sw_c{i}").alias(c) for i, c in enumerate(held)], *[F.col(f"__sw_{k}").alias(k) for k in BASE], F.coalesce("found", F.expr(NONE)).alias("found"))
