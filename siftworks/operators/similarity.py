@@ -1,7 +1,8 @@
 """Similarity joins: best match in a window, nearest topic, and the greedy dedup of a run.
 
 Two vector tables are packed into blocks, and each pair of blocks is one matrix product in an Arrow batch; only pairs
-over the threshold come out. Work is spread over the pairs of blocks, and no task holds more than two blocks. Blocks have
+over the threshold come out. Blocks are written once and read where they meet, so that no vector is shuffled for each
+pair of blocks; a task has the pairs of one part of either side, of which there are SIDE at most. Blocks have
 vectors that are near each other, and know the least and the greatest angle of theirs to each of some pivots. Angles
 obey the triangle inequality, so where two blocks' angles to a pivot lie further apart than the threshold's angle, no
 pair of theirs can reach it: such blocks never meet, and only their angles are compared.
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftworks.operators import scan
@@ -23,15 +24,27 @@ from siftworks.operators.cut import cut
 BLOCK = 1024
 #: Vectors to which angles are taken; what rounding may add to an angle; pairs of blocks up to which all are multiplied.
 PIVOTS, SLACK, PLAIN = 64, 1e-6, 16
+#: Parts of either side, and by how much products may differ that are the same number but for rounding.
+SIDE, ROUNDING = 44, 1e-9
 FOLDED = pa.schema([("url", pa.string()), ("slot", pa.int64()), ("kept", pa.bool_()), ("matched", pa.string()), ("sim", pa.float64()), ("filter_type", pa.string())])
 VERBATIM, OVERLAP, TOPIC = 0.90, 0.60, 0.30
 
 
 def _blocks(df: DataFrame, key: str, vector: str, side: str, block: int) -> tuple[DataFrame, int]:
-    """df as rows of about block vectors, in the order of their keys, and how many such rows there are at most."""
-    n = max(1, -(-df.count() // block))
+    """df as rows of about block vectors, in the order of their keys, written in SIDE parts at most, and how many such rows there are at most."""
+    n = _count(df, block)
     one = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("b"))
-    return one.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias(side)).drop("b"), n
+    return cut(one.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias(side)).drop("b").repartition(min(SIDE, n))), n
+
+
+def _count(df: DataFrame, block: int) -> int:
+    return max(1, -(-df.count() // block))
+
+
+def _met(a: DataFrame, b: DataFrame, on: Column | None = None) -> DataFrame:
+    """Each row of a with each of b, both written, of which on holds: parts are read for each part of the other side, and nothing is shuffled."""
+    b = b.hint("shuffle_replicate_nl")
+    return a.crossJoin(b) if on is None else a.join(b, on)
 
 
 def _unit(keys_and_vectors: pa.ListScalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -77,13 +90,22 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: st
     Above zero and with more than a few blocks, blocks that can't reach the threshold are left out (near_blocks); the
     pairs are the same.
     """
-    (a, na), (b, nb) = _blocks(left, key_l, vector, "l", block), _blocks(right, key_r, vector, "r", block)
     kinds = left.schema[key_l].dataType.simpleString(), right.schema[key_r].dataType.simpleString()
-    if best or threshold <= 0 or na * nb <= PLAIN:
-        return _products(a.crossJoin(b).repartition(min(2000, na * nb)), threshold, kinds, best)  # of blocks, not of rows
-    one, two, met = near_blocks(left, right, threshold, key_l, key_r, vector, block)
-    pairs = met.join(one.select(F.col("id").alias("ia"), F.col("vs").alias("l")), "ia").join(two.select(F.col("id").alias("ib"), F.col("vs").alias("r")), "ib")
-    return _products(pairs.select("l", "r").repartition(min(2000, na * nb)), threshold, kinds)
+    return _products(_pairs(left, right, threshold, key_l, key_r, vector, block, best=best), threshold, kinds, best)
+
+
+def _pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str, block: int, plain: int = PLAIN, best: bool = False) -> DataFrame:
+    """(l, r): the pairs of blocks that may reach the threshold; all of them where they are no more than plain."""
+    if best or threshold <= 0 or _count(left, block) * _count(right, block) <= plain:
+        return _met(_blocks(left, key_l, vector, "l", block)[0], _blocks(right, key_r, vector, "r", block)[0])
+    one, two, far = _near(left, right, threshold, key_l, key_r, vector, block)
+    name = lambda df, x, side: df.select(F.col("w").alias(f"w{x}"), F.col("vs").alias(side), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}"))
+    return _met(name(one, "a", "l"), name(two, "b", "r"), (F.col("wa") == F.col("wb")) & ~_apart(far)).select("l", "r")
+
+
+def _apart(far: float) -> Column:
+    """Whether blocks' angles (la, ha) and (lb, hb) to some pivot are too far apart."""
+    return F.exists(F.arrays_zip("la", "ha", "lb", "hb"), lambda z: (z["la"] - z["hb"] > far) | (z["lb"] - z["ha"] > far))
 
 
 def near_blocks(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str = "embedding_vector", block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -92,6 +114,14 @@ def near_blocks(left: DataFrame, right: DataFrame, threshold: float, key_l: str,
     A block has vectors of one size whose nearest pivot is the same, in the order of their angle to it, at most block of
     them. Zero vectors are in none. Pivots are the PIVOTS vectors of the least hashes of their keys.
     """
+    a, b, far = _near(left, right, threshold, key_l, key_r, vector, block)
+    side = lambda df, x: df.select(F.col("id").alias(f"i{x}"), F.col("w").alias(f"w{x}"), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}"))
+    met = _met(side(a, "a"), side(b, "b"), (F.col("wa") == F.col("wb")) & ~_apart(far))  # angles, not vectors
+    return a, b, cut(met.select("ia", "ib"))
+
+
+def _near(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str, block: int) -> tuple[DataFrame, DataFrame, float]:
+    """The blocks of left and right as near_blocks has them, and the angle beyond which they can't reach the threshold."""
     some = lambda df, key: df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0))
     both = some(left, key_l).select(F.xxhash64("k").alias("h"), "v").union(some(right, key_r).select(F.xxhash64("k").alias("h"), "v"))
     chosen: dict[int, np.ndarray] = {}
@@ -131,31 +161,81 @@ def near_blocks(left: DataFrame, right: DataFrame, threshold: float, key_l: str,
         near = some(df, key).mapInArrow(celled, f"k {kind}, v array<double>, w int, cell int, at double")
         numbered = scan.row_numbers(cut(near), ["w", "cell"], ["at", "k"], "__n")
         one = numbered.groupBy("w", "cell", F.floor((F.col("__n") - 1) / block).alias("c")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("vs"))
-        one = one.select(F.concat_ws("/", "w", "cell", "c").alias("id"), "w", "vs")
+        one = one.select(F.concat_ws("/", "w", "cell", "c").alias("id"), "w", "vs").repartition(min(SIDE, _count(df, block)))
         return cut(one.mapInArrow(ranged, f"id string, w int, vs array<struct<k:{kind},v:array<double>>>, low array<double>, high array<double>"))
 
     a = packed(left, key_l)
     b = a if left is right and key_l == key_r else packed(right, key_r)
-    far = float(np.arccos(min(1.0, threshold))) + SLACK
-    salts = max(1, a.count() // 256)
-    ma = a.select(F.col("id").alias("ia"), "w", F.col("low").alias("la"), F.col("high").alias("ha"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    mb = b.select(F.col("id").alias("ib"), F.col("w").alias("w2"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt2"))
-    apart = F.exists(F.arrays_zip("la", "ha", "lb", "hb"), lambda z: (z["la"] - z["hb"] > far) | (z["lb"] - z["ha"] > far))
-    met = ma.join(mb, (F.col("salt") == F.col("salt2")) & (F.col("w") == F.col("w2")) & ~apart)  # angles, not vectors
-    return a, b, cut(met.select("ia", "ib"))
+    return a, b, float(np.arccos(min(1.0, threshold))) + SLACK
 
 
-def _tiers(pairs: DataFrame, left: DataFrame, right: DataFrame, verbatim: float, overlap: float) -> DataFrame:
-    """pairs with filter_type: dedup, or content_overlap where neither side is a roundup; others go."""
-    out = pairs.join(left.select(F.col("url").alias("a"), F.col("is_roundup").alias("ra")), "a").join(right.select(F.col("url").alias("b"), F.col("is_roundup").alias("rb")), "b")
-    kind = F.when(F.col("sim") >= verbatim, F.lit("dedup")).when((F.col("sim") >= overlap) & ~F.coalesce("ra", F.lit(False)) & ~F.coalesce("rb", F.lit(False)), F.lit("content_overlap"))
-    return out.select("a", "b", "sim", kind.alias("filter_type")).where("filter_type IS NOT NULL")
+def _tiers(left: DataFrame, right: DataFrame, verbatim: float, overlap: float, best: bool, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim, filter_type) of the pairs of unlike urls whose cosine reaches verbatim (dedup), or overlap where neither side is a roundup (content_overlap).
+
+    With best, for each a only its greatest in a part of right, of equal ones the least b; else only those b whose pos is
+    not above a's. Both rules hold where the products are made, so that of vectors of which each has a share of all near
+    it, no more than that comes out.
+    """
+    kind = left.schema["url"].dataType.simpleString()
+    place = F.lit(0) if best else F.coalesce(F.col("pos").cast("long"), F.lit(-(1 << 62)))
+    keyed = lambda df: df.where("url IS NOT NULL").select(F.struct(F.col("url").alias("u"), F.coalesce("is_roundup", F.lit(False)).alias("f"), place.cast("long").alias("p")).alias("key"), "embedding_vector")
+    pairs = _pairs(keyed(left), keyed(right), min(verbatim, overlap), "key", "key", "embedding_vector", block, 1024)
+
+    def told(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+        kinds = pa.DictionaryArray.from_arrays(pa.array((sim < verbatim).astype(np.int32)), ["dedup", "content_overlap"]).cast(pa.string())
+        return pa.RecordBatch.from_arrays([a[0].take(pa.array(i)), b[0].take(pa.array(j)), pa.array(sim), kinds], names=["a", "b", "sim", "filter_type"])
+
+    def opened(cell: pa.ListScalar) -> tuple:
+        keys, m, size = _unit(cell)
+        u, f, p = keys.flatten()
+        return u, m, size, f.to_numpy(zero_copy_only=False), p.to_numpy(zero_copy_only=False)
+
+    def reached(a: tuple, b: tuple) -> np.ndarray:
+        """The products of a's and b's rows, -inf where no rule takes the pair."""
+        (_, ma, sa, fa, pa_), (_, mb, sb, fb, pb) = a, b
+        width = max(ma.shape[1], mb.shape[1])
+        sim = np.pad(ma, ((0, 0), (0, width - ma.shape[1]))) @ np.pad(mb, ((0, 0), (0, width - mb.shape[1]))).T
+        if sa.min() != sb.max() or sa.max() != sb.min():
+            sim = np.where(sa[:, None] == sb[None, :], sim, 0.0)
+        least = np.where(fa[:, None] | fb[None, :], verbatim, min(verbatim, overlap)) if fa.any() or fb.any() else min(verbatim, overlap)
+        sim[sim < least] = -np.inf
+        if not best:
+            sim[pb[None, :] > pa_[:, None]] = -np.inf
+        return sim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, ()
+        for batch in batches:
+            for left_cell, right_cell in zip(batch.column("l"), batch.column("r"), strict=True):
+                first = left_cell.values[0]["k"]["u"].as_py()
+                if first != last:
+                    last, a = first, opened(left_cell)
+                b = opened(right_cell)
+                sim = reached(a, b)
+                if not best:
+                    i, j = np.nonzero(sim > -np.inf)
+                    if len(i):
+                        unlike = pc.not_equal(a[0].take(pa.array(i)), b[0].take(pa.array(j))).to_numpy(zero_copy_only=False)
+                        yield told(a, b, i[unlike], j[unlike], sim[i, j][unlike])
+                    continue
+                top = sim.max(axis=1)
+                some = np.flatnonzero(top > -np.inf)
+                if len(some):
+                    # like vectors have like products only when each is summed by itself
+                    i, j = np.nonzero(sim[some] >= (top[some] - ROUNDING)[:, None])
+                    i = some[i]
+                    width = min(a[1].shape[1], b[1].shape[1])
+                    x = np.where(a[2][i] == b[2][j], (a[1][i, :width] * b[1][j, :width]).sum(axis=1), 0.0)
+                    at = np.lexsort((j, -x, i))  # a block's rows are in the order of their keys
+                    at = at[np.unique(i[at], return_index=True)[1]]
+                    yield told(a, b, i[at], j[at], x[at])
+
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}, sim double, filter_type string")
 
 
 def window_match(items: DataFrame, window: DataFrame, verbatim: float = VERBATIM, overlap: float = OVERLAP) -> DataFrame:
-    """(url, matched, sim, filter_type): for each item with a match, its best in the window (J2, O4). Of equal ones the least url, which is this engine's rule."""
-    pairs = _tiers(similar_pairs(items, window, min(verbatim, overlap), "url", "url"), items, window, verbatim, overlap)
-    best = pairs.groupBy("a").agg(F.min_by(F.struct("b", "sim", "filter_type"), F.struct(-F.col("sim"), F.col("b"))).alias("m"))
+    """(url, matched, sim, filter_type): for each item with a match, its best in the window (J2, O4). Of equal ones the least url, which is this engine's rule. A row an item and pair of blocks leaves the products at most."""
+    best = _tiers(items, window, verbatim, overlap, True).groupBy("a").agg(F.min_by(F.struct("b", "sim", "filter_type"), F.struct(-F.col("sim"), F.col("b"))).alias("m"))
     return best.select(F.col("a").alias("url"), F.col("m.b").alias("matched"), "m.sim", "m.filter_type")
 
 
@@ -183,6 +263,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 #: Rows of a component up to which one task folds it, and rounds before the fold in any case.
 MOST, ROUNDS = 20_000, 64
+#: Rows of a slice of a run, and pairs up to which the next part of the run has twice as many slices.
+SLICE, FEW = 8192, 250_000
 
 
 def _fold(group: pa.Table) -> pa.Table:
@@ -195,7 +277,7 @@ def _fold(group: pa.Table) -> pa.Table:
         if r["state"] == "H":
             holders[r["url"]] = r
             continue
-        alive = [(-n["sim"], holders[n["b"]]["slot"], n["b"], n) for n in r["near"] if n["b"] in holders and (holders[n["b"]]["death"] is None or holders[n["b"]]["death"] > r["pos"])]
+        alive = [(-n["sim"], holders[n["b"]]["slot"], n["b"], n) for n in r["near"] or () if n["b"] in holders and (holders[n["b"]]["death"] is None or holders[n["b"]]["death"] > r["pos"])]
         if not alive:
             holders[r["url"]] = r | {"slot": r["pos"]}
             continue
@@ -213,12 +295,12 @@ def _fold(group: pa.Table) -> pa.Table:
 def _folded(rows: DataFrame, own: DataFrame, roots: DataFrame) -> DataFrame:
     """rows (url, pos, fetched_at, state, slot, death) after the pass, by component."""
     near = own.groupBy("a").agg(F.collect_list(F.struct("b", "sim", "filter_type")).alias("near"))
-    j = rows.join(near, F.col("url") == F.col("a")).drop("a").join(roots, F.col("url") == F.col("node")).drop("node")
+    j = rows.join(roots, F.col("url") == F.col("node")).drop("node").join(near, F.col("url") == F.col("a"), "left").drop("a")
     return j.groupBy("root").applyInArrow(_fold, "url string, slot long, kept boolean, matched string, sim double, filter_type string")
 
 
 def _rounds(rows: DataFrame, own: DataFrame, most: int) -> DataFrame:
-    """rows (url, pos, fetched_at) with state (H, N, or null where the rounds end before), slot, death, matched, sim and filter_type.
+    """rows (url, pos, fetched_at, state, slot, death) with state (H, N, or null where the rounds end before), slot, death, matched, sim and filter_type.
 
     A round decides, at once, every item of which what came before it says enough: all its earlier neighbours are gone,
     or the best of those that may still hold a slot is known to, and none that is not decided and stands between the two
@@ -229,7 +311,7 @@ def _rounds(rows: DataFrame, own: DataFrame, most: int) -> DataFrame:
     earlier = own.join(place.select(F.col("url").alias("a"), F.col("pos").alias("pa"), F.col("fetched_at").alias("fa")), "a").join(place.select(F.col("url").alias("b"), F.col("pos").alias("pb"), F.col("fetched_at").alias("fb")), "b")
     earlier = cut(earlier.where("pb < pa").withColumn("takes", F.coalesce(F.col("fa") < F.col("fb"), F.lit(False))))
     none = F.lit(None)
-    now = cut(place.select("*", none.cast("string").alias("state"), none.cast("long").alias("slot"), none.cast("long").alias("death"), none.cast("string").alias("matched"), none.cast("double").alias("sim"), none.cast("string").alias("filter_type")))
+    now = cut(rows.select("url", "pos", "fetched_at", "state", "slot", "death", none.cast("string").alias("matched"), none.cast("double").alias("sim"), none.cast("string").alias("filter_type")))
     for _ in range(ROUNDS):
         left = now.where("state IS NULL").select(F.col("url").alias("a"))
         if left.limit(most + 1).count() <= most:
@@ -255,35 +337,67 @@ def _rounds(rows: DataFrame, own: DataFrame, most: int) -> DataFrame:
     return now
 
 
-def greedy_dedup(items: DataFrame, verbatim: float = VERBATIM, overlap: float = OVERLAP, most: int = MOST) -> DataFrame:
+def _passed(bare: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """(url, slot, kept, matched, sim, filter_type) of the rows of bare (url, pos, fetched_at, state, slot, death) that the pass over those without a state decides or takes over. own: their pairs with those before them."""
+    nodes = own.select(F.col("a").alias("node")).union(own.select(F.col("b").alias("node"))).distinct()
+    if nodes.limit(most + 1).count() <= most:
+        return _folded(bare, own, nodes.withColumn("root", F.lit(0)))
+    roots = components(own)
+    large = cut(roots.groupBy("root").count().where(F.col("count") > most).select("root"))
+    if large.isEmpty():
+        return _folded(bare, own, roots)
+    far = roots.join(large, "root", "left_semi")
+    in_far = cut(own.join(far.select(F.col("node").alias("a")), "a", "left_semi").select(*own.columns))
+    done = _rounds(bare.join(far.select(F.col("node").alias("url")), "url", "left_semi"), in_far, most)
+    open_ = done.where("state IS NULL").select(F.col("url").alias("a"))
+    told = _folded(bare, own, roots.join(large, "root", "left_anti").select("node", "root"))
+    final = done.where("state IS NOT NULL").select("url", F.when((F.col("state") == "H") & F.col("death").isNull(), F.col("slot")).alias("slot"), ((F.col("state") == "H") & F.col("death").isNull()).alias("kept"), "matched", "sim", "filter_type")
+    if not open_.isEmpty():
+        # what is left meets its decided neighbours once more; a holder that it takes over is one of theirs
+        touched = cut(in_far.join(open_, "a", "left_semi").select("a", "b", "sim", "filter_type"))
+        rest = cut(_folded(done.select("url", "pos", "fetched_at", "state", "slot", "death"), touched, components(touched)))
+        final = rest.unionByName(final.join(rest.select("url"), "url", "left_anti"))
+    return told.unionByName(final)
+
+
+def greedy_dedup(items: DataFrame, verbatim: float = VERBATIM, overlap: float = OVERLAP, most: int = MOST, size: int = SLICE) -> DataFrame:
     """The items of a run with slot, kept, matched, sim and filter_type, as a sequential greedy pass over pos gives them.
 
     Each item in turn is compared with the survivors; the best match keeps its slot, but for an earlier fetched_at, when
-    the item takes the slot over. Only items that some pair joins can act on each other, so the pass runs by component
-    of the pair graph, in parallel; all other items survive as they are. A component of more than most rows is first
-    decided in parallel rounds, until most of its rows at most are left, or for ROUNDS rounds, which only long chains of
-    items that wait for each other outlast. items has url, pos, fetched_at, is_roundup and embedding_vector.
+    the item takes the slot over. A run of more than size items is taken in parts, in the order of pos, and a part's
+    items meet each other and those that hold a slot when it begins, and not those that are gone by then: so the pairs
+    grow with the items and not with their square, where each item is near to a share of all. A part has size items, or
+    twice as many as the last one where that had few pairs. Only items that some pair joins can act on each other, so a
+    part of over most such rows goes by connected component, in parallel; all other items survive as they are. A
+    component of more than most rows is first decided in parallel rounds, until most of its rows at most are left, or
+    for ROUNDS rounds, which only long chains of items that wait for each other outlast. items has url, pos,
+    fetched_at, is_roundup and embedding_vector.
     """
-    own = cut(_tiers(similar_pairs(items, items, min(verbatim, overlap), "url", "url"), items, items, verbatim, overlap).where("a <> b"))
-    roots = components(own)
-    bare = items.select("url", "pos", "fetched_at", F.lit(None).cast("string").alias("state"), F.lit(None).cast("long").alias("slot"), F.lit(None).cast("long").alias("death"))
-    large = cut(roots.groupBy("root").count().where(F.col("count") > most).select("root"))
-    if large.isEmpty():
-        told = _folded(bare, own, roots)
-    else:
-        far = roots.join(large, "root", "left_semi")
-        in_far = cut(own.join(far.select(F.col("node").alias("a")), "a", "left_semi").select(*own.columns))
-        done = _rounds(items.join(far.select(F.col("node").alias("url")), "url", "left_semi"), in_far, most)
-        open_ = done.where("state IS NULL").select(F.col("url").alias("a"))
-        told = _folded(bare, own, roots.join(large, "root", "left_anti").select("node", "root"))
-        final = done.where("state IS NOT NULL").select("url", F.when((F.col("state") == "H") & F.col("death").isNull(), F.col("slot")).alias("slot"), ((F.col("state") == "H") & F.col("death").isNull()).alias("kept"), "matched", "sim", "filter_type")
-        if not open_.isEmpty():
-            # what is left meets its decided neighbours once more; a holder that it takes over is one of theirs
-            touched = cut(in_far.join(open_, "a", "left_semi").select("a", "b", "sim", "filter_type"))
-            both = touched.union(touched.join(open_.withColumnRenamed("a", "b"), "b", "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "filter_type"))
-            rest = cut(_folded(done.select("url", "pos", "fetched_at", "state", "slot", "death"), both, components(touched)))
-            final = rest.unionByName(final.join(rest.select("url"), "url", "left_anti"))
-        told = told.unionByName(final)
-    told = told.withColumnRenamed("url", "u")
-    joined = items.join(told, F.col("url") == F.col("u"), "left").drop("u")
+    slices = -(-items.count() // size)
+    ends = sorted(set(items.stat.approxQuantile("pos", [i / slices for i in range(1, slices)], 0.1 / slices))) if slices > 1 else []
+    light = items.select("url", "pos", "fetched_at", "is_roundup", "embedding_vector")
+    none = F.lit(None)
+    open_ = light.withColumns({"state": none.cast("string"), "slot": none.cast("long")})
+    held, told, at, step = open_.limit(0), [], 0, 1
+    while at <= len(ends):
+        then = min(at + step, len(ends) + 1)
+        part = open_
+        if at:
+            part = part.where(F.col("pos") > ends[at - 1])
+        if then <= len(ends):
+            part = part.where((F.col("pos") <= ends[then - 1]) | (F.col("pos").isNull() if not at else F.lit(False)))
+        whole = part.unionByName(held) if at else part
+        own = cut(_tiers(part, whole, verbatim, overlap, False))
+        told.append(cut(_passed(whole.select("url", "pos", "fetched_at", "state", "slot", none.cast("long").alias("death")), own, most).withColumn("at", F.lit(at))))
+        if then <= len(ends):
+            new = told[-1].select(F.col("url").alias("u"), F.col("kept").alias("k"), F.col("slot").alias("s"))
+            held = cut(whole.join(new, F.col("url") == F.col("u"), "left").where("k IS NULL OR k").select(*light.columns, F.lit("H").alias("state"), F.coalesce("s", "slot", F.col("pos").cast("long")).alias("slot")))
+            step = 2 * step if own.count() <= FEW else max(1, step // 2)
+        at = then
+    last = told[0]
+    for x in told[1:]:
+        last = last.unionByName(x)
+    fields = ["slot", "kept", "matched", "sim", "filter_type"]
+    last = last.groupBy(F.col("url").alias("u")).agg(F.max_by(F.struct(*fields), "at").alias("m")).select("u", *[F.col("m")[c].alias(c) for c in fields])
+    joined = items.join(last, F.col("url") == F.col("u"), "left").drop("u")
     return joined.withColumns({"kept": F.coalesce("kept", F.lit(True)), "slot": F.when(F.coalesce("kept", F.lit(True)), F.coalesce("slot", F.col("pos")))})

@@ -265,3 +265,29 @@ def test_pruned_pairs_of_scattered_vectors_are_all_there(spark):
     for threshold in (0.3, 0.9, 1.0 - 1e-12):
         got = similarity.similar_pairs(df, df.where("id % 2 = 0"), threshold, "id", "id", block=8)
         assert {(x.a, x.b) for x in got.collect()} == {(a, b) for a, b in pairs_of(rows_, threshold) if b % 2 == 0}
+
+
+@pytest.mark.parametrize(("seed", "width", "few"), [(7, 3, 0), (8, 2, 0), (9, 4, 1000)])
+def test_greedy_dedup_in_parts_equals_the_sequential_pass(spark, monkeypatch, seed, width, few):
+    """Of one slice each, and of twice as many slices each time."""
+    monkeypatch.setattr(similarity, "FEW", few)
+    r = random.Random(seed)
+    items = [(f"u{r.randint(0, 10**6):07d}", f"{r.randint(0, 40):03d}", r.random() < 0.2, [r.gauss(0, 1) for _ in range(width)]) for i in range(80)]
+    df = spark.createDataFrame([(u, f, p, v, i) for i, (u, f, p, v) in enumerate(items)], "url string, fetched_at string, is_roundup boolean, embedding_vector array<double>, pos long")
+    got = similarity.greedy_dedup(df, 0.95, 0.8, size=25).collect()
+    assert [x.url for x in sorted((x for x in got if x.kept), key=lambda x: x.slot)] == greedy(items, 0.95, 0.8)
+    whole = {x.url: x for x in similarity.greedy_dedup(df, 0.95, 0.8).collect()}
+    assert len(got) == 80 and all((x.slot, x.kept, x.matched, x.filter_type) == (whole[x.url].slot, whole[x.url].kept, whole[x.url].matched, whole[x.url].filter_type) for x in got)
+
+
+def test_greedy_pass_makes_pairs_of_a_part_only(spark, monkeypatch):
+    """Items near to each other by half: pairs of all of them would grow with the square of the run."""
+    made = []
+    cut = similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df: made.append(cut(df)) or made[-1])
+    monkeypatch.setattr(similarity, "FEW", 0)
+    r = random.Random(10)
+    df = spark.createDataFrame([(f"u{i:03d}", "0", False, [r.random() - 0.2 for _ in range(3)], i) for i in range(200)], "url string, fetched_at string, is_roundup boolean, embedding_vector array<double>, pos long")
+    similarity.greedy_dedup(df, 0.9, 0.6, size=20).count()
+    pairs = [x.count() for x in made if x.columns == ["a", "b", "sim", "filter_type"]]
+    assert len(pairs) == 10 and max(pairs) < 600 and sum(pairs) < 4000  # of 19,900
