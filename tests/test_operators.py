@@ -291,3 +291,26 @@ def test_greedy_pass_makes_pairs_of_a_part_only(spark, monkeypatch):
     similarity.greedy_dedup(df, 0.9, 0.6, size=20).count()
     pairs = [x.count() for x in made if x.columns == ["a", "b", "sim", "filter_type"]]
     assert len(pairs) == 10 and max(pairs) < 600 and sum(pairs) < 4000  # of 19,900
+
+
+def _shuffled(df):
+    """Whether df's plan shuffles arrays."""
+    return any("Exchange" in x and "RoundRobin" in x for x in df._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
+def test_blocks_meet_without_a_shuffle_and_leave_a_row_an_item(spark):
+    r = random.Random(11)
+    df = spark.createDataFrame([(f"{i:03d}", i % 7 == 0, [r.random() - 0.2 for _ in range(3)], i) for i in range(90)], "url string, is_roundup boolean, embedding_vector array<double>, pos long")
+    pairs = similarity._pairs(df, df, 0.5, "url", "url", "embedding_vector", 10)
+    assert not _shuffled(pairs) and not _shuffled(similarity.similar_pairs(df, df, -1.0, "url", "url", block=10))
+    met = similarity._tiers(df, df.where("pos < 40"), 0.9, 0.5, True, block=10)
+    assert met.count() <= 4 * 90 + 90 and met.groupBy("a").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_window_match_gives_like_vectors_the_least_url(spark):
+    r = random.Random(12)
+    vectors = [[r.gauss(0, 1) for _ in range(37)] for _ in range(20)]
+    items = spark.createDataFrame([(f"i{i:04d}", False, [x + 0.01 * r.random() for x in vectors[i % 20]]) for i in range(300)], "url string, is_roundup boolean, embedding_vector array<double>")
+    window = spark.createDataFrame([(f"w{i:04d}", False, vectors[i % 20]) for i in range(2900)], "url string, is_roundup boolean, embedding_vector array<double>")
+    got = similarity.window_match(items, window).collect()
+    assert len(got) == 300 and all(x.matched == f"w{int(x.url[1:]) % 20:04d}" for x in got)
