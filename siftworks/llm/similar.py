@@ -1,6 +1,8 @@
-"""Near-dedup by the Jaccard similarity of word shingles, verified on whole shingle sets.
+"""Near-dedup by SimHash with pigeonring filtering and by MinHash keys, verified on whole shingle sets.
 
-Candidates come from MinHash keys: 32 keys of four minima each. Two sets of similarity s meet on some key with
+The first candidates are what op1's method (simhash.py) links, each against one of its component. Of texts whose sets of
+five-word shingles have a Jaccard similarity of 0.8, few have fingerprints within its four bits; the others meet on
+MinHash keys: 32 keys of four minima each. Two sets of similarity s meet on some key with
 probability 1 - (1 - s^4)^32, so a pair at 0.8 is missed with 5e-8. What meets, and is not united otherwise, has its
 similarity estimated where it meets, from the least hash of each of 255 classes of hashes, of which four bits are kept,
 and then from 255 classes of another hash besides. Only what is not far below comes out of the join, once a pair at the
@@ -19,9 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, ascii_lower, small, split_join, written
+from .common import PATHS, SPACE_RUN, ascii_lower, drop_written, small, split_join, written
 from .components import stars
-from .simhash import _hashes
+from .simhash import _hashes, fingerprints, links
 
 KEYS, MINIMA = 32, 4
 WORDS, LEAST = 5, 0.8
@@ -67,16 +69,27 @@ def _lists(x: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(texts: DataFrame, k: int = WORDS) -> DataFrame:
-    """node, n (the size of its shingle set) and keys for each row of texts (text, node)."""
+    """node, n (the size of its shingle set), keys and fp, op1's fingerprint, for each row of texts (text, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                sets = [shingles(t, k) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([len(s) for s in sets], pa.int64()), _lists([keys(s) for s in sets])], names=["node", "n", "keys"])
+                found = part.column(0).to_pylist()
+                sets = [shingles(t, k) for t in found]
+                fps = np.concatenate([fingerprints(found[j : j + 128]) for j in range(0, len(found), 128)])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([len(s) for s in sets], pa.int64()), _lists([keys(s) for s in sets]), pa.array(fps.view("<i8"))], names=["node", "n", "keys", "fp"])
 
-    return texts.mapInArrow(run, "node long, n long, keys array<long>")
+    return texts.mapInArrow(run, "node long, n long, keys array<long>, fp long")
+
+
+def ringed(prints: DataFrame) -> DataFrame:
+    """(a, n, b, n2): each node of prints (node, n, fp), a written table, whose fingerprint op1's method links with others', and the least node of its component."""
+    fps, _ = written(prints.select("fp").distinct(), "fps")
+    linked, path = written(links(fps), "linked")
+    ring, _ = written(prints.join(small(linked, path), "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("ring")), "ring")
+    heads, _ = written(ring.groupBy("ring").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("times")).where("times > 1").select("ring", F.col("c.node").alias("b"), F.col("c.n").alias("n2"), "times"), "heads")
+    return split_join(ring, heads, ["ring"], "times").where("node <> b").select(F.col("node").alias("a"), "n", "b", "n2")
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -119,22 +132,25 @@ def _verified(pairs: DataFrame, of: DataFrame, least: float) -> DataFrame:
 def roots(texts: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     """(node, root) of the nodes of texts (text, node) that link with others, roots left out. Nodes link at a Jaccard similarity of least or more.
 
-    First each key's nodes are tried against the one of them that meets most others, then the pairs that this has not
+    First what op1's method links is tried against one of its component, and each key's nodes against the one of them that meets most others, then the pairs that this has not
     united and that their sketches don't rule out, so that a dense group makes no pairs of its members, and a group of
     less similar texts next to none. texts is read twice and should be a written table.
     """
     marked, _ = written(sketches(texts.select("text", "node"), k), "sketches")
+    near = F.expr(f"least(n, n2) >= {least} * greatest(n, n2)")
+    prints, _ = written(marked.groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp")), "prints")
+    chained, _ = written(ringed(prints).where(near).select("a", "b"), "chained")
     keyed, _ = written(marked.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key")), "keyed")
     shared, _ = written(keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"), "shared")
     multi, _ = written(split_join(keyed, shared.withColumn("times", F.col("met")), ["key"], "times"), "multi")
-    score, path = written(multi.groupBy("node").agg(F.sum("met").alias("score"), F.count("*").alias("of")), "score")
-    some = texts.select("text", "node").join(small(score.select("node"), path), "node", "left_semi")
+    score, _ = written(multi.groupBy("node").agg(F.sum("met").alias("score"), F.count("*").alias("of")), "score")
+    wanted, path = written(score.select("node").union(chained.select("a")).union(chained.select("b")).distinct(), "wanted")
+    some = texts.select("text", "node").join(small(wanted, path), "node", "left_semi")
     of, _ = written(sets(some.groupBy("node").agg(F.min("text").alias("text")).select("text", "node"), k), "sets")
 
-    near = F.expr(f"least(n, n2) >= {least} * greatest(n, n2)")
     best = split_join(multi, score, ["node"], "of").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("score", "node")).alias("c"), F.count("*").alias("times"))
     centre, _ = written(best.select("key", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), "times"), "centre")
-    first = split_join(multi, centre, ["key"], "times").where("node <> node2").where(near).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    first = split_join(multi, centre, ["key"], "times").where("node <> node2").where(near).select(F.col("node").alias("a"), F.col("node2").alias("b")).union(chained).distinct()
     united, path = written(stars(_verified(first, of, least)), "united")
     known, _ = written(multi.join(small(united.withColumnRenamed("root", "g"), path), "node", "left").select("node", "n", "key", F.coalesce("g", "node").alias("g")), "known")
     # keys whose nodes are all united have nothing more to tell
@@ -146,7 +162,8 @@ def roots(texts: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     like = (F.least("n", "n2") <= FEW) | (estimated("sk", "sk2", least - BELOW) & estimated("concat(sk, sl)", "concat(sk2, sl2)", least - BELOW_BOTH))
     rest, _ = written(left.join(other, "key").where(F.col("g") < F.col("g2")).where(near).where(like).where("array_min(array_intersect(ks, ks2)) = key").select(F.col("node").alias("a"), F.col("node2").alias("b"), "g", "g2"), "rest")
     over, path = written(stars(_verified(rest, of, least).select(F.col("g").alias("a"), F.col("g2").alias("b"))).withColumnsRenamed({"node": "g", "root": "r"}), "over")
-    return known.select("node", "g").distinct().join(small(over, path), "g", "left").select("node", F.coalesce("r", "g").alias("root")).where("node <> root")
+    all_ = known.select("node", "g").union(united.select("node", F.col("root").alias("g"))).distinct()
+    return all_.join(small(over, path), "g", "left").select("node", F.coalesce("r", "g").alias("root")).where("node <> root")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -156,13 +173,17 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and of rows alike in all that the one read first. Rows are told apart by their texts, never by id: rows that repeat
     an id or have none are each in the component of their text. Null, empty and blank texts are copies of each other.
     All columns stay; an empty table gives an empty one. docs is written once; rows are chosen without their texts, by
-    aggregates of one row a component, and those that go are taken out, by a broadcast while they are few.
+    aggregates of one row a component, and those that go are taken out, by a broadcast while they are few. Of what is
+    written on the way only docs and the rows that go stay, which the result reads.
     """
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.length(text.cast("string")).alias("n"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
     marked, _ = written(docs.withColumns({"__sw_node": node(text), "__sw_order": order}), "marked")
+    since = len(PATHS)
     linked, path = written(roots(marked.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col("__sw_node").alias("node")), k, least), "roots")
+    drop_written(docs.sparkSession, since, keep=(path,))
     light = marked.select("__sw_node", "__sw_order").join(small(linked, path), F.col("__sw_node") == F.col("node"), "left").select(F.coalesce("root", "__sw_node").alias("group"), F.col("__sw_order").alias("o"))
     first, _ = written(light.groupBy("group").agg(F.min("o").alias("f"), F.count("*").alias("times")).where("times > 1"), "groups")
     gone, path = written(split_join(light, first, ["group"], "times").where("o.row <> f.row").select(F.col("o.row").alias("__sw_gone")), "gone")
+    drop_written(docs.sparkSession, since, keep=(path,))
     return marked.join(small(gone, path), F.col("__sw_order.row") == F.col("__sw_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -82,3 +82,26 @@ def test_both_estimates_keep_pairs_that_link(spark):
     assert len(linked) > 100 and all(x.one and x.two for x in linked)
     apart = [x for x in got if x.s < 0.6]
     assert sum(x.one and x.two for x in apart) < 0.001 * len(apart)
+
+
+def test_near_dedup_goes_through_fingerprints(spark, tmp_path, monkeypatch):
+    """Where no MinHash key is shared, what op1's method links is still found, and held against the exact similarity."""
+    texts = corpus(3)
+    fps = [int(x) for x in similar.fingerprints(texts)]
+    sets = [shingled(t) for t in texts]
+    met = {(i, j) for j in range(len(texts)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 4 and alike(sets[i], sets[j]) and texts[i].lower().split() != texts[j].lower().split()}
+    assert met
+    plain = similar.sketches
+    monkeypatch.setattr(similar, "sketches", lambda t, k: plain(t, k).withColumn("keys", similar.F.expr("CAST(array() AS array<bigint>)")))
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    got = {x.doc_id for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOC), str(tmp_path)).select("doc_id").collect()}
+    gone = set(range(len(texts))) - got
+    assert {j for _, j in met} & gone
+    assert all(any(alike(sets[i], sets[j]) for i in range(j)) for j in gone)
+
+
+def test_near_dedup_leaves_only_what_its_result_reads(spark, tmp_path):
+    since = len(similar.PATHS)
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(corpus(4))]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOC), str(tmp_path))
+    assert len(similar.PATHS) - since == 2 and 0 < got.count() < len(rows)
