@@ -99,9 +99,14 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, whose joins are by a shuffle. Spark takes the compressed bytes of a written table for the size of all that is made of its rows, be it 37 rows of each by explode, and would send that through the driver as a broadcast."""
+    return df.hint("merge")
+
+
 def small(df: DataFrame, path: str, most: int = 200_000, most_bytes: int = 16 << 20) -> DataFrame:
-    """df, which reads the table written at path, with a broadcast hint if that table's rows and its bytes, compressed, are at most so many; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if path_bytes(df.sparkSession, path) <= most_bytes and df.limit(most + 1).count() <= most else df
+    """df, which reads the table written at path, with a broadcast hint if that table's rows and its bytes, compressed, are at most so many; else for a shuffled join."""
+    return F.broadcast(df) if path_bytes(df.sparkSession, path) <= most_bytes and df.limit(most + 1).count() <= most else shuffled(df)
 
 
 def split_join(left: DataFrame, right: DataFrame, on: list[str], times: str, least: int = 100) -> DataFrame:
@@ -115,6 +120,6 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], times: str, lea
     hot = F.col(times) > max(least, total // 50_000)
     often = right.where(hot).drop(times)
     if often.isEmpty():
-        return left.join(right.drop(times), on)
-    rare = left.join(F.broadcast(often.select(*on)), on, "left_anti").join(right.where(~hot).drop(times), on)
+        return shuffled(left).join(right.drop(times), on)
+    rare = shuffled(left.join(F.broadcast(often.select(*on)), on, "left_anti")).join(right.where(~hot).drop(times), on)
     return left.join(F.broadcast(often), on).unionByName(rare)

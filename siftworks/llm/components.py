@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, written
+from .common import drop_path, shuffled, written
+
+
+#: Edges up to which Spark may broadcast what is made of them; beyond, joins are by a shuffle, however small their files.
+FEW = 200_000
 
 
 def stars(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -19,11 +23,12 @@ def stars(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
+        joined = shuffled if state is None or state[0] > FEW else lambda df: df
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = joined(both.where("v > u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = joined(large).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         then, then_path = written(small, "edges")
         drop_path(spark, path)
         now, path = then, then_path

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PATHS, UPPER, small, split_join, written
+from .common import PATHS, UPPER, shuffled, small, split_join, written
 from .components import stars
 
 #: Fingerprints that share a key, from which on a longer chain is the key.
@@ -129,8 +129,8 @@ def _met_dense(probe: DataFrame, index: DataFrame, dense: DataFrame) -> DataFram
     held = index.join(dense, ["i", "key"]).select("fp2", "g2", "i", F.col("fp2").bitwiseAND(mask).alias("key3"))
     both = asked.select("i", "key3", "g", F.lit(0).alias("n")).unionByName(held.select("i", "key3", F.col("g2").alias("g"), F.lit(1).alias("n")))
     mixed = both.groupBy("i", "key3").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.sum("n").alias("n")).where("low < high AND n > 0").select("i", "key3")
-    held = held.join(mixed, ["i", "key3"], "left_semi")
-    met = asked.alias("p").join(held.alias("q"), F.expr("p.i = q.i AND p.key3 = q.key3 AND g <> g2 AND bit_count(fp ^ fp2) <= 4") & _chain("(fp ^ fp2)", "p.i"))
+    held = held.join(shuffled(mixed), ["i", "key3"], "left_semi")
+    met = shuffled(asked).alias("p").join(held.alias("q"), F.expr("p.i = q.i AND p.key3 = q.key3 AND g <> g2 AND bit_count(fp ^ fp2) <= 4") & _chain("(fp ^ fp2)", "p.i"))
     return met.select("g", "g2")
 
 
@@ -156,7 +156,7 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
         more = _met_dense(probe, index, often)
         keys = F.broadcast(often.select("i", "key"))
         probe, index = probe.join(keys, ["i", "key"], "left_anti"), index.join(keys, ["i", "key"], "left_anti")
-    met = probe.alias("p").join(
+    met = shuffled(probe).alias("p").join(
         index.alias("q"),
         F.expr("p.i = q.i AND p.key = q.key AND g <> g2 AND bit_count(fp ^ fp2) <= 4") & _chain("(fp ^ fp2)", "p.i"),
     ).select("g", "g2")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PATHS, SPACE_RUN, ascii_lower, drop_written, small, split_join, written
+from .common import PATHS, SPACE_RUN, ascii_lower, drop_written, shuffled, small, split_join, written
 from .components import stars
 from .simhash import _hashes, fingerprints, links
 
@@ -157,10 +157,10 @@ def roots(texts: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     mixed, _ = written(known.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("times")).where("low < high").select("key", "times"), "mixed")
     open_, _ = written(split_join(known, mixed, ["key"], "times"), "open")
     told = open_.groupBy("node").agg(F.collect_list("key").alias("ks")).join(of.select("node", "sk", "sl"), "node")  # KEYS keys a node at most
-    left, _ = written(open_.join(told, "node"), "left")
+    left, _ = written(shuffled(open_).join(told, "node"), "left")
     other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "g", "ks", "sk", "sl")])
     like = (F.least("n", "n2") <= FEW) | (estimated("sk", "sk2", least - BELOW) & estimated("concat(sk, sl)", "concat(sk2, sl2)", least - BELOW_BOTH))
-    rest, _ = written(left.join(other, "key").where(F.col("g") < F.col("g2")).where(near).where(like).where("array_min(array_intersect(ks, ks2)) = key").select(F.col("node").alias("a"), F.col("node2").alias("b"), "g", "g2"), "rest")
+    rest, _ = written(shuffled(left).join(other, "key").where(F.col("g") < F.col("g2")).where(near).where(like).where("array_min(array_intersect(ks, ks2)) = key").select(F.col("node").alias("a"), F.col("node2").alias("b"), "g", "g2"), "rest")
     over, path = written(stars(_verified(rest, of, least).select(F.col("g").alias("a"), F.col("g2").alias("b"))).withColumnsRenamed({"node": "g", "root": "r"}), "over")
     all_ = known.select("node", "g").union(united.select("node", F.col("root").alias("g"))).distinct()
     return all_.join(small(over, path), "g", "left").select("node", F.coalesce("r", "g").alias("root")).where("node <> root")

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from siftworks.llm import pii, secrets
+from siftworks.llm import components, pii, secrets, simhash
 from siftworks.llm.common import split_join
 
 
@@ -110,3 +110,21 @@ def test_clashing_columns(spark):
     got = secrets.find_secrets(docs, docs.columns).orderBy("doc_id").first()
     assert len(got.assign) == 1 and got.seen[0].verdict == "unsure" and got.c == got.owner == got.h == 7
     assert docs.count() == pii.find_pii(docs, ["doc_id"]).count() == secrets.find_secrets(docs, ["doc_id"]).count()
+
+
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    """Spark takes a join's sides to be as small as the files of fingerprints that their keys are made of."""
+    plans = []
+
+    def kept(df, kind, of=components.written):
+        plans.append((kind, df._jdf.queryExecution().executedPlan().toString()))
+        return of(df, kind)
+
+    monkeypatch.setattr(components, "written", kept)
+    r = random.Random(5)
+    base = [r.getrandbits(63) for _ in range(150)]
+    fps = spark.createDataFrame([(x,) for b in base for x in (b, b ^ 1, b ^ (1 << r.randrange(63)) ^ (1 << r.randrange(62)))], "fp long").distinct()
+    fps, _ = simhash.written(fps, "fps")
+    assert simhash.links(fps).count() > 100
+    made = [p for kind, p in plans if "Generate" in p]
+    assert len(made) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in made)
