@@ -24,8 +24,10 @@ from siftworks.operators.cut import cut
 BLOCK = 1024
 #: Vectors to which angles are taken; what rounding may add to an angle; pairs of blocks up to which all are multiplied.
 PIVOTS, SLACK, PLAIN = 64, 1e-6, 16
-#: Parts of either side, and by how much products may differ that are the same number but for rounding.
-SIDE, ROUNDING = 44, 1e-9
+#: Parts of either side, and of the side of which each part gives an item's best.
+SIDE, PARTS = 44, 12
+#: Bytes and vectors of a block of packed vectors; rows of a product.
+BYTES, WIDEST, ROWS = 2 << 20, 4096, 512
 FOLDED = pa.schema([("url", pa.string()), ("slot", pa.int64()), ("kept", pa.bool_()), ("matched", pa.string()), ("sim", pa.float64()), ("filter_type", pa.string())])
 VERBATIM, OVERLAP, TOPIC = 0.90, 0.60, 0.30
 
@@ -169,21 +171,19 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r
     return a, b, float(np.arccos(min(1.0, threshold))) + SLACK
 
 
-def _tiers(left: DataFrame, right: DataFrame, verbatim: float, overlap: float, best: bool, block: int = BLOCK) -> DataFrame:
+def _tiers(left: DataFrame, right: DataFrame, verbatim: float, overlap: float, best: bool, block: int | None = None) -> DataFrame:
     """(a, b, sim, filter_type) of the pairs of unlike urls whose cosine reaches verbatim (dedup), or overlap where neither side is a roundup (content_overlap).
 
     With best, for each a only its greatest in a part of right, of equal ones the least b; else only those b whose pos is
     not above a's. Both rules hold where the products are made, so that of vectors of which each has a share of all near
     it, no more than that comes out.
     """
+    if best:
+        return _best(left, right, verbatim, overlap, block)
     kind = left.schema["url"].dataType.simpleString()
-    place = F.lit(0) if best else F.coalesce(F.col("pos").cast("long"), F.lit(-(1 << 62)))
-    keyed = lambda df: df.where("url IS NOT NULL").select(F.struct(F.col("url").alias("u"), F.coalesce("is_roundup", F.lit(False)).alias("f"), place.cast("long").alias("p")).alias("key"), "embedding_vector")
-    pairs = _pairs(keyed(left), keyed(right), min(verbatim, overlap), "key", "key", "embedding_vector", block, 1024)
-
-    def told(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        kinds = pa.DictionaryArray.from_arrays(pa.array((sim < verbatim).astype(np.int32)), ["dedup", "content_overlap"]).cast(pa.string())
-        return pa.RecordBatch.from_arrays([a[0].take(pa.array(i)), b[0].take(pa.array(j)), pa.array(sim), kinds], names=["a", "b", "sim", "filter_type"])
+    place = F.coalesce(F.col("pos").cast("long"), F.lit(-(1 << 62)))
+    keyed = lambda df: df.where("url IS NOT NULL").select(F.struct(F.col("url").alias("u"), F.coalesce("is_roundup", F.lit(False)).alias("f"), place.alias("p")).alias("key"), "embedding_vector")
+    pairs = _pairs(keyed(left), keyed(right), min(verbatim, overlap), "key", "key", "embedding_vector", block or BLOCK, 1024)
 
     def opened(cell: pa.ListScalar) -> tuple:
         keys, m, size = _unit(cell)
@@ -199,8 +199,7 @@ def _tiers(left: DataFrame, right: DataFrame, verbatim: float, overlap: float, b
             sim = np.where(sa[:, None] == sb[None, :], sim, 0.0)
         least = np.where(fa[:, None] | fb[None, :], verbatim, min(verbatim, overlap)) if fa.any() or fb.any() else min(verbatim, overlap)
         sim[sim < least] = -np.inf
-        if not best:
-            sim[pb[None, :] > pa_[:, None]] = -np.inf
+        sim[pb[None, :] > pa_[:, None]] = -np.inf
         return sim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,27 +211,136 @@ def _tiers(left: DataFrame, right: DataFrame, verbatim: float, overlap: float, b
                     last, a = first, opened(left_cell)
                 b = opened(right_cell)
                 sim = reached(a, b)
-                if not best:
-                    i, j = np.nonzero(sim > -np.inf)
-                    if len(i):
-                        unlike = pc.not_equal(a[0].take(pa.array(i)), b[0].take(pa.array(j))).to_numpy(zero_copy_only=False)
-                        yield told(a, b, i[unlike], j[unlike], sim[i, j][unlike])
-                    continue
-                top = sim.max(axis=1)
-                some = np.flatnonzero(top > -np.inf)
-                if len(some):
-                    # like vectors have like products only when each is summed by itself
-                    i, j = np.nonzero(sim[some] >= (top[some] - ROUNDING)[:, None])
-                    i = some[i]
-                    width = min(a[1].shape[1], b[1].shape[1])
-                    x = np.where(a[2][i] == b[2][j], (a[1][i, :width] * b[1][j, :width]).sum(axis=1), 0.0)
-                    at = np.lexsort((j, -x, i))  # a block's rows are in the order of their keys
-                    at = at[np.unique(i[at], return_index=True)[1]]
-                    yield told(a, b, i[at], j[at], x[at])
+                i, j = np.nonzero(sim > -np.inf)
+                if len(i):
+                    unlike = pc.not_equal(a[0].take(pa.array(i)), b[0].take(pa.array(j))).to_numpy(zero_copy_only=False)
+                    i, j = i[unlike], j[unlike]
+                    yield _told(a[0].take(pa.array(i)), b[0].take(pa.array(j)), sim[i, j], verbatim)
 
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, sim double, filter_type string")
 
 
+def _told(a: pa.Array, b: pa.Array, sim: np.ndarray, verbatim: float) -> pa.RecordBatch:
+    kinds = pa.DictionaryArray.from_arrays(pa.array((sim < verbatim).astype(np.int32)), ["dedup", "content_overlap"]).cast(pa.string())
+    return pa.RecordBatch.from_arrays([a, b, pa.array(sim), kinds], names=["a", "b", "sim", "filter_type"])
+
+
+def _packed(blocks: DataFrame, kind: str, parts: int | None, side: str) -> DataFrame:
+    """blocks with their vs, of keys (f, u), as arrays u, f and w (sizes) in the order of w, f and u, and the vectors at length 1 as bytes m; written. All columns get side before their names."""
+    rest = [c for c in blocks.columns if c != "vs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cell in batch.column("vs"):
+                keys, m, size = _unit(cell)
+                f, u = keys.flatten()
+                at = np.lexsort((f.to_numpy(zero_copy_only=False), size))
+                out.append((u.take(pa.array(at)), f.take(pa.array(at)), size[at].astype(np.int32), m[at][np.arange(m.shape[1])[None, :] < size[at][:, None]].tobytes()))
+            lists = [_listed([pa.array(o[k]) for o in out]) for k in range(3)] if out else [pa.array([], t) for t in (pa.list_(batch.column("vs").type.value_type[0].type[1].type), pa.list_(pa.bool_()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *lists, pa.array([o[3] for o in out], pa.binary())], names=[*rest, "u", "f", "w", "m"])
+
+    kept = "".join(f"{c} {blocks.schema[c].dataType.simpleString()}, " for c in rest)
+    got = blocks.mapInArrow(run, f"{kept}u array<{kind}>, f array<boolean>, w array<int>, m binary")
+    got = cut(got if parts is None else got.repartition(parts))
+    return got.select(*[F.col(c).alias(side + c) for c in got.columns])
+
+
+def _listed(arrays: list[pa.Array]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(arrays))
+
+
+def _best(left: DataFrame, right: DataFrame, verbatim: float, overlap: float, block: int | None) -> DataFrame:
+    """What _tiers gives with best. A row an item and part of right leaves a task.
+
+    Vectors of right that are the same meet once, under the least url. Blocks hold vectors as bytes, at most BYTES of
+    them. Products are taken at single precision first: what may be a row's greatest so far, by the most that rounding
+    can add, has its product taken again at double precision, which alone is compared and given.
+    """
+    kind = left.schema["url"].dataType.simpleString()
+    floor = min(verbatim, overlap)
+    flag = F.coalesce("is_roundup", F.lit(False)).alias("f")
+    vector = F.col("embedding_vector").cast("array<double>").alias("v")
+    one = left.where("url IS NOT NULL").select(F.struct(flag, F.col("url").alias("u")).alias("key"), vector)
+    two = right.where("url IS NOT NULL").groupBy(vector, flag).agg(F.min("url").alias("u")).select(F.struct("f", "u").alias("key"), "v")
+    two = cut(two)
+    (n, wide), (m, wide2) = (df.agg(F.count("*"), F.max(F.size("v"))).first() for df in (one, two))
+    block = block or min(WIDEST, max(64, BYTES // 8 // max(1, wide or 0, wide2 or 0)))
+    n, m = (max(1, -(-x // block)) for x in (n, m))
+    if floor <= 0 or n * m <= 1024:
+        dealt = lambda df, n: df.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("string").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("key").alias("k"), "v"))).alias("vs"))
+        pairs = _met(_packed(dealt(one, n), kind, min(SIDE, n), "l"), _packed(dealt(two, m), kind, min(PARTS, m), "r"))
+    else:
+        a, b, far = _near(one, two, floor, "key", "key", "v", block)
+        a, b = (df.select(F.concat_ws("/", "id", F.lit(x)).alias("id"), F.col("w").alias(f"w{x}"), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}"), "vs") for df, x in ((a, "a"), (b, "b")))
+        a, b = _packed(a, kind, min(SIDE, n), "l"), _packed(b, kind, min(PARTS, m), "r")
+        apart = F.exists(F.arrays_zip(F.col("lla").alias("la"), F.col("lha").alias("ha"), F.col("rlb").alias("lb"), F.col("rhb").alias("hb")), lambda z: (z["la"] - z["hb"] > far) | (z["lb"] - z["ha"] > far))
+        pairs = _met(a, b, (F.col("lwa") == F.col("rwb")) & ~apart)
+
+    def runs(u: pa.Array, f: pa.Array, w: pa.Array, m: pa.Buffer) -> list[tuple]:
+        """The rows of a block by size and flag: the first of them, urls, vectors at double and at single precision, flag."""
+        f, w, m = f.to_numpy(zero_copy_only=False), w.to_numpy(), np.frombuffer(m)
+        at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (f[1:] != f[:-1])])) if len(w) else []
+        out, begin = [], 0
+        for i, j in zip(at, [*at[1:], len(w)], strict=True):
+            x = m[begin : begin + (j - i) * w[i]].reshape(j - i, w[i])
+            begin += x.size
+            out.append((i, u.slice(i, j - i), x, x.astype(np.float32), f[i]))
+        return out
+
+    def greatest(a: np.ndarray, a32: np.ndarray, b: np.ndarray, b32: np.ndarray, held: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, x): for rows of a whose greatest product with b is least and held at least, the first row of b that has it, and it."""
+        if a.shape[1] != b.shape[1] or not a.shape[1]:
+            i = np.flatnonzero(held <= 0.0) if least <= 0 else np.zeros(0, dtype=np.int64)
+            return i, np.zeros_like(i), np.zeros(len(i))
+        slack = (a.shape[1] + 8) * 1.2e-7
+        sim = a32 @ b32.T
+        top = sim.max(axis=1)
+        low = np.maximum(np.maximum(held, least) - slack, top - 2 * slack).astype(np.float32)
+        some = np.flatnonzero(top >= low)
+        i, j = np.nonzero(sim[some] >= low[some, None])
+        i = some[i]
+        x = np.concatenate([np.zeros(0), *[(a[i[c : c + 65536]] * b[j[c : c + 65536]]).sum(axis=1) for c in range(0, len(i), 65536)]])
+        at = np.flatnonzero(x >= least)
+        at = at[np.lexsort((j[at], -x[at], i[at]))]
+        at = at[np.unique(i[at], return_index=True)[1]]
+        return i[at], j[at], x[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a, urls, x, b = None, [], pa.array([]), np.zeros(0), np.zeros(0, dtype=object)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            some = np.flatnonzero(x > -np.inf)
+            if len(some):
+                yield _told(urls.take(pa.array(some)), pa.array(b[some].tolist(), urls.type), x[some], verbatim)
+
+        for batch in batches:
+            for k in range(len(batch)):
+                of = lambda side, c: batch.column(side + c)[k].as_buffer() if c == "m" else batch.column(side + c)[k].values  # noqa: B023, E731
+                block_id = batch.column("lid")[k].as_py()
+                if block_id != last:
+                    yield from done()
+                    last, urls = block_id, of("l", "u")
+                    a, x, b = runs(urls, *[of("l", c) for c in "fwm"]), np.full(len(urls), -np.inf), np.full(len(urls), None, dtype=object)
+                for _, theirs, mb, mb32, fb in runs(*[of("r", c) for c in "ufwm"]):
+                    for begin, _, ma, ma32, fa in a:
+                        for t in range(0, len(ma), ROWS):
+                            at = slice(begin + t, begin + min(t + ROWS, len(ma)))
+                            i, j, sim = greatest(ma[t : t + ROWS], ma32[t : t + ROWS], mb, mb32, x[at], verbatim if fa or fb else floor)
+                            if not len(i):
+                                continue
+                            i, u = i + at.start, np.array([*theirs.take(pa.array(j)).to_pylist(), None], dtype=object)[:-1]
+                            same = np.flatnonzero(sim == x[i])
+                            new = sim > x[i]
+                            new[same] = u[same] < b[i[same]]
+                            x[i[new]], b[i[new]] = sim[new], u[new]
+        yield from done()
+
+    columns = ["lid", *[side + c for side in "lr" for c in "ufwm"]]
+    return pairs.select(*columns).mapInArrow(run, f"a {kind}, b {kind}, sim double, filter_type string")
+
+
 def window_match(items: DataFrame, window: DataFrame, verbatim: float = VERBATIM, overlap: float = OVERLAP) -> DataFrame:
     """(url, matched, sim, filter_type): for each item with a match, its best in the window (J2, O4). Of equal ones the least url, which is this engine's rule. A row an item and pair of blocks leaves the products at most."""
     best = _tiers(items, window, verbatim, overlap, True).groupBy("a").agg(F.min_by(F.struct("b", "sim", "filter_type"), F.struct(-F.col("sim"), F.col("b"))).alias("m"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -314,3 +315,36 @@ def test_window_match_gives_like_vectors_the_least_url(spark):
     window = spark.createDataFrame([(f"w{i:04d}", False, vectors[i % 20]) for i in range(2900)], "url string, is_roundup boolean, embedding_vector array<double>")
     got = similarity.window_match(items, window).collect()
     assert len(got) == 300 and all(x.matched == f"w{int(x.url[1:]) % 20:04d}" for x in got)
+
+
+def test_best_match_at_single_precision_first_equals_brute_force(spark, monkeypatch):
+    """Vectors that single precision can't tell apart, copies, other sizes, nulls and flags; a row an item and part of the window leaves the products."""
+    r = random.Random(21)
+    base = [[r.gauss(0, 1) for _ in range(6)] for _ in range(8)]
+    near = lambda v, e: [x + e * r.gauss(0, 1) for x in v]
+    items = [(f"i{i:03d}", i % 9 == 0, near(base[i % 8], 0.5)) for i in range(50)] + [("n1", False, None), ("n2", False, [0.0] * 6), ("n3", True, [1.0, 2.0]), ("n4", None, near(base[0], 0.1))]
+    window = [(f"w{i:03d}", i % 5 == 0, near(base[i % 8], 1e-7 if i % 2 else 0.4)) for i in range(60)]
+    window += [(f"c{i:03d}", i % 3 == 0, window[i][2]) for i in range(20)] + [("m1", False, None), ("m2", False, [0.0] * 6), ("m3", False, [2.0, 1.0])]
+
+    def unit(v):
+        a = np.array(v or [], dtype=float)
+        return a / np.sqrt((a * a).sum()) if a.any() else a
+
+    want = {}
+    for url, f, v in items:
+        for b, g, w in window:
+            x = float((unit(v) * unit(w)).sum()) if v and w and len(v) == len(w) else 0.0
+            if x >= (0.9 if f or g else 0.3):
+                want[url] = min(want.get(url, (9, "")), (-x, b))
+    schema = "url string, is_roundup boolean, embedding_vector array<double>"
+    left, right = spark.createDataFrame(items, schema), spark.createDataFrame(window, schema)
+    monkeypatch.setattr(similarity, "PARTS", 3)
+    for block in (None, 10, 1):
+        met = similarity._tiers(left, right, 0.9, 0.3, True, block=block).collect()
+        assert max(Counter(x.a for x in met).values()) <= 3
+        got = {}
+        for x in met:
+            got[x.a] = min(got.get(x.a, (9, "")), (-x.sim, x.b))
+            assert x.filter_type == ("dedup" if x.sim >= 0.9 else "content_overlap")
+        assert {k: b for k, (_, b) in got.items()} == {k: b for k, (_, b) in want.items()}
+        assert all(abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
