@@ -348,3 +348,15 @@ def test_best_match_at_single_precision_first_equals_brute_force(spark, monkeypa
             assert x.filter_type == ("dedup" if x.sim >= 0.9 else "content_overlap")
         assert {k: b for k, (_, b) in got.items()} == {k: b for k, (_, b) in want.items()}
         assert all(abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
+
+
+def test_equal_vectors_of_a_window_meet_once(spark, monkeypatch):
+    """However common a vector of the window is, its rows are packed, shuffled and multiplied as one for each flag, under their least url."""
+    made = []
+    packed = similarity._packed
+    monkeypatch.setattr(similarity, "_packed", lambda *a: made.append(packed(*a)) or made[-1])
+    schema = "url string, is_roundup boolean, embedding_vector array<double>"
+    window = spark.createDataFrame([(f"w{i:04d}", i % 2 == 0, [1.0, 0.5] if i > 7 else [0.0, float(i)]) for i in range(600)], schema)
+    got = similarity.window_match(spark.createDataFrame([("a", False, [1.0, 0.5]), ("b", True, [2.0, 1.0])], schema), window).collect()
+    assert {(x.url, x.matched, x.filter_type) for x in got} == {("a", "w0008", "dedup"), ("b", "w0008", "dedup")}
+    assert made[1].agg(F.sum(F.size("ru"))).first()[0] == 10
