@@ -23,7 +23,7 @@ def stars(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
-        joined = shuffled if state is None or state[0] > FEW else lambda df: df
+        joined = shuffled if (state[0] if state else now.count()) > FEW else lambda df: df
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = joined(both.where("v > u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
