@@ -10,15 +10,15 @@ pair of theirs can reach it: such blocks never meet, and only their angles are c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftworks.operators import scan
 from siftworks.operators.cut import cut
 
 BLOCK = 1024
@@ -52,9 +52,13 @@ def _met(a: DataFrame, b: DataFrame, on: Column | None = None) -> DataFrame:
 def _unit(keys_and_vectors: pa.ListScalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """A block's keys, its vectors as rows of length 1 or 0, filled up with zeros, and their sizes."""
     keys, vectors = keys_and_vectors.values.flatten()
+    return keys, *_units(vectors)
+
+
+def _units(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     m, size = _matrix(vectors)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return keys, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), size
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), size
 
 
 def _matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +109,9 @@ def _pairs(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_
     return _met(name(one, "a", "l"), name(two, "b", "r"), (F.col("wa") == F.col("wb")) & ~_apart(far)).select("l", "r")
 
 
-def _apart(far: float) -> Column:
+def _apart(far: float, la: str = "la", ha: str = "ha", lb: str = "lb", hb: str = "hb") -> Column:
     """Whether blocks' angles (la, ha) and (lb, hb) to some pivot are too far apart."""
-    return F.exists(F.arrays_zip("la", "ha", "lb", "hb"), lambda z: (z["la"] - z["hb"] > far) | (z["lb"] - z["ha"] > far))
+    return F.exists(F.arrays_zip(la, ha, lb, hb), lambda z: (z[la] - z[hb] > far) | (z[lb] - z[ha] > far))
 
 
 def near_blocks(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str = "embedding_vector", block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -124,6 +128,31 @@ def near_blocks(left: DataFrame, right: DataFrame, threshold: float, key_l: str,
 
 def _near(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r: str, vector: str, block: int) -> tuple[DataFrame, DataFrame, float]:
     """The blocks of left and right as near_blocks has them, and the angle beyond which they can't reach the threshold."""
+    one, two, angles = _celled(left, right, key_l, key_r, vector)
+
+    def packed(near: DataFrame, n: int) -> DataFrame:
+        kind = near.schema["k"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            for i, rows in enumerate(_runs(batches, ["w", "cell"], block)):
+                k, v = rows.column("k"), rows.column("v")
+                vs = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays([k, v], ["k", "v"]))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part}/{i}"]), rows.column("w").slice(0, 1), vs, *_ends(angles(_matrix(v)[0]))], names=["id", "w", "vs", "low", "high"])
+
+        return cut(_dealt(near, min(SIDE, n)).mapInArrow(run, f"id string, w int, vs array<struct<k:{kind},v:array<double>>>, low array<double>, high array<double>"))
+
+    a = packed(one, _count(left, block))
+    b = a if two is one else packed(two, _count(right, block))
+    return a, b, _far(threshold)
+
+
+def _far(threshold: float) -> float:
+    return float(np.arccos(min(1.0, threshold))) + SLACK
+
+
+def _celled(left: DataFrame, right: DataFrame, key_l: str, key_r: str, vector: str) -> tuple[DataFrame, DataFrame, Callable[[np.ndarray], np.ndarray]]:
+    """The vectors of left and right that aren't zero, written, as (k, v, w, cell, at): key, vector, size, the nearest pivot and the angle to it; and what gives the angles of vectors of one size to the pivots."""
     some = lambda df, key: df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0))
     both = some(left, key_l).select(F.xxhash64("k").alias("h"), "v").union(some(right, key_r).select(F.xxhash64("k").alias("h"), "v"))
     chosen: dict[int, np.ndarray] = {}
@@ -149,26 +178,46 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, key_l: str, key_r
                     cell[mine], at[mine] = x.argmin(axis=1), x.min(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), pa.array(size, pa.int32()), pa.array(cell), pa.array(at)], names=["k", "v", "w", "cell", "at"])
 
-    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = []
-            for cell in batch.column("vs"):
-                x = angles(_matrix(cell.values.flatten()[1])[0])
-                ends.append((x.min(axis=0).tolist(), x.max(axis=0).tolist()))
-            low, high = ([e[i] for e in ends] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("w"), batch.column("vs"), pa.array(low, pa.list_(pa.float64())), pa.array(high, pa.list_(pa.float64()))], names=["id", "w", "vs", "low", "high"])
-
-    def packed(df: DataFrame, key: str) -> DataFrame:
-        kind = df.schema[key].dataType.simpleString()
-        near = some(df, key).mapInArrow(celled, f"k {kind}, v array<double>, w int, cell int, at double")
-        numbered = scan.row_numbers(cut(near), ["w", "cell"], ["at", "k"], "__n")
-        one = numbered.groupBy("w", "cell", F.floor((F.col("__n") - 1) / block).alias("c")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("vs"))
-        one = one.select(F.concat_ws("/", "w", "cell", "c").alias("id"), "w", "vs").repartition(min(SIDE, _count(df, block)))
-        return cut(one.mapInArrow(ranged, f"id string, w int, vs array<struct<k:{kind},v:array<double>>>, low array<double>, high array<double>"))
-
-    a = packed(left, key_l)
-    b = a if left is right and key_l == key_r else packed(right, key_r)
-    return a, b, float(np.arccos(min(1.0, threshold))) + SLACK
+    near = lambda df, key: cut(some(df, key).mapInArrow(celled, f"k {df.schema[key].dataType.simpleString()}, v array<double>, w int, cell int, at double"))
+    a = near(left, key_l)
+    return a, a if left is right and key_l == key_r else near(right, key_r), angles
+
+
+def _dealt(near: DataFrame, parts: int) -> DataFrame:
+    """What _celled gives, in order: vectors are shuffled this once, and tasks make blocks of those that follow each other. Keys come last, so that no angle that many vectors have is in one task. Never more than parts, whatever a session makes of the number."""
+    by = ["w", "cell", "at", "k"]
+    return near.repartitionByRange(parts, *by).coalesce(parts).sortWithinPartitions(*by)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], of: list[str], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows that follow each other and are alike in the numbers of, block of them at most."""
+    held, n, last = [], 0, None
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [batch.column(c).to_numpy() for c in of]
+        starts = (np.flatnonzero(np.any([x[1:] != x[:-1] for x in values], axis=0)) + 1).tolist() if of else []
+        for i, end in zip([0, *starts], [*starts, len(batch)], strict=True):
+            this = [x[i] for x in values]
+            if held and this != last:
+                yield whole()
+                held, n = [], 0
+            last = this
+            while i < end:
+                more = min(end - i, block - n)
+                held.append(batch.slice(i, more))
+                i, n = i + more, n + more
+                if n == block:
+                    yield whole()
+                    held, n = [], 0
+    if held:
+        yield whole()
+
+
+def _ends(x: np.ndarray) -> list[pa.Array]:
+    """The least and the greatest of each column, as arrays of one list."""
+    return [pa.array([e.tolist()], pa.list_(pa.float64())) for e in (x.min(axis=0), x.max(axis=0))]
 
 
 def _tiers(left: DataFrame, right: DataFrame, verbatim: float, overlap: float, best: bool, block: int | None = None) -> DataFrame:
@@ -225,37 +274,29 @@ def _told(a: pa.Array, b: pa.Array, sim: np.ndarray, verbatim: float) -> pa.Reco
     return pa.RecordBatch.from_arrays([a, b, pa.array(sim), kinds], names=["a", "b", "sim", "filter_type"])
 
 
-def _packed(blocks: DataFrame, kind: str, parts: int | None, side: str) -> DataFrame:
-    """blocks with their vs, of keys (f, u), as arrays u, f and w (sizes) in the order of w, f and u, and the vectors at length 1 as bytes m; written. All columns get side before their names."""
-    rest = [c for c in blocks.columns if c != "vs"]
+def _packed(rows: DataFrame, kind: str, block: int, side: str, angles: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The rows of each part, of keys k (f, u) and vectors v, in blocks, written: id, arrays u, f and w (sizes) in the order of w, f and u, and the vectors at length 1 as bytes m. With angles, rows are as _dealt gives them, and blocks have those of one size n, with low and high, their angles to the pivots. All columns get side before their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for cell in batch.column("vs"):
-                keys, m, size = _unit(cell)
-                f, u = keys.flatten()
-                at = np.lexsort((f.to_numpy(zero_copy_only=False), size))
-                out.append((u.take(pa.array(at)), f.take(pa.array(at)), size[at].astype(np.int32), m[at][np.arange(m.shape[1])[None, :] < size[at][:, None]].tobytes()))
-            lists = [_listed([pa.array(o[k]) for o in out]) for k in range(3)] if out else [pa.array([], t) for t in (pa.list_(batch.column("vs").type.value_type[0].type[1].type), pa.list_(pa.bool_()), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *lists, pa.array([o[3] for o in out], pa.binary())], names=[*rest, "u", "f", "w", "m"])
-
-    kept = "".join(f"{c} {blocks.schema[c].dataType.simpleString()}, " for c in rest)
-    got = blocks.mapInArrow(run, f"{kept}u array<{kind}>, f array<boolean>, w array<int>, m binary")
-    got = cut(got if parts is None else got.repartition(parts))
+        part = TaskContext.get().partitionId()
+        for i, got in enumerate(_runs(batches, ["w", "cell"] if angles else [], block)):
+            (f, u), (m, size) = got.column("k").flatten(), _units(got.column("v"))
+            at = pc.array_sort_indices(u).to_numpy()
+            at = at[np.lexsort((f.to_numpy(zero_copy_only=False)[at], size[at]))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), x) for x in (u.take(pa.array(at)), f.take(pa.array(at)), pa.array(size[at], pa.int32()))]
+            vectors = m[at][np.arange(m.shape[1])[None, :] < size[at][:, None]].tobytes()
+            ends = _ends(angles(m)) if angles else [pa.array([[]], pa.list_(pa.float64()))] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([f"{part}/{i}"]), pa.array([m.shape[1]], pa.int32()), *ends, *lists, pa.array([vectors], pa.binary())], names=["id", "n", "low", "high", "u", "f", "w", "m"])
+
+    got = cut(rows.mapInArrow(run, f"id string, n int, low array<double>, high array<double>, u array<{kind}>, f array<boolean>, w array<int>, m binary"))
     return got.select(*[F.col(c).alias(side + c) for c in got.columns])
 
 
-def _listed(arrays: list[pa.Array]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(arrays))
-
-
 def _best(left: DataFrame, right: DataFrame, verbatim: float, overlap: float, block: int | None) -> DataFrame:
     """What _tiers gives with best. A row an item and part of right leaves a task.
 
-    Vectors of right that are the same meet once, under the least url. Blocks hold vectors as bytes, at most BYTES of
-    them. Products are taken at single precision first: what may be a row's greatest so far, by the most that rounding
+    Vectors of right that are the same meet once, under the least url. Else vectors are shuffled once a side, into parts
+    whose tasks make the blocks. Blocks hold vectors as bytes, at most BYTES of them. Products are taken at single precision first: what may be a row's greatest so far, by the most that rounding
     can add, has its product taken again at double precision, which alone is compared and given.
     """
     kind = left.schema["url"].dataType.simpleString()
@@ -269,14 +310,12 @@ def _best(left: DataFrame, right: DataFrame, verbatim: float, overlap: float, bl
     block = block or min(WIDEST, max(64, BYTES // 8 // max(1, wide or 0, wide2 or 0)))
     n, m = (max(1, -(-x // block)) for x in (n, m))
     if floor <= 0 or n * m <= 1024:
-        dealt = lambda df, n: df.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("string").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("key").alias("k"), "v"))).alias("vs"))
-        pairs = _met(_packed(dealt(one, n), kind, min(SIDE, n), "l"), _packed(dealt(two, m), kind, min(PARTS, m), "r"))
+        one, two = (df.select(F.col("key").alias("k"), "v").repartition(parts) for df, parts in ((one, min(SIDE, n)), (two, min(PARTS, m))))
+        pairs = _met(_packed(one, kind, block, "l"), _packed(two, kind, block, "r"))
     else:
-        a, b, far = _near(one, two, floor, "key", "key", "v", block)
-        a, b = (df.select(F.concat_ws("/", "id", F.lit(x)).alias("id"), F.col("w").alias(f"w{x}"), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}"), "vs") for df, x in ((a, "a"), (b, "b")))
-        a, b = _packed(a, kind, min(SIDE, n), "l"), _packed(b, kind, min(PARTS, m), "r")
-        apart = F.exists(F.arrays_zip(F.col("lla").alias("la"), F.col("lha").alias("ha"), F.col("rlb").alias("lb"), F.col("rhb").alias("hb")), lambda z: (z["la"] - z["hb"] > far) | (z["lb"] - z["ha"] > far))
-        pairs = _met(a, b, (F.col("lwa") == F.col("rwb")) & ~apart)
+        one, two, angles = _celled(one, two, "key", "key", "v")
+        a, b = _packed(_dealt(one, min(SIDE, n)), kind, block, "l", angles), _packed(_dealt(two, min(PARTS, m)), kind, block, "r", angles)
+        pairs = _met(a, b, (F.col("ln") == F.col("rn")) & ~_apart(_far(floor), "llow", "lhigh", "rlow", "rhigh"))
 
     def runs(u: pa.Array, f: pa.Array, w: pa.Array, m: pa.Buffer) -> list[tuple]:
         """The rows of a block by size and flag: the first of them, urls, vectors at double and at single precision, flag."""

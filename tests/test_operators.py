@@ -360,3 +360,21 @@ def test_equal_vectors_of_a_window_meet_once(spark, monkeypatch):
     got = similarity.window_match(spark.createDataFrame([("a", False, [1.0, 0.5]), ("b", True, [2.0, 1.0])], schema), window).collect()
     assert {(x.url, x.matched, x.filter_type) for x in got} == {("a", "w0008", "dedup"), ("b", "w0008", "dedup")}
     assert made[1].agg(F.sum(F.size("ru"))).first()[0] == 10
+
+
+def test_vectors_of_a_window_match_are_shuffled_once_a_side(spark, monkeypatch):
+    """However many blocks there are: what is shuffled grows with the vectors alone. Once more where equal ones of the window meet."""
+    plans = []
+    cut = similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    r = random.Random(31)
+    schema = "url string, is_roundup boolean, embedding_vector array<double>"
+    some = lambda name, n: [(f"{name}{i:03d}", i % 7 == 0, [r.gauss(0, 1) for _ in range(4)]) for i in range(n)]
+    items, window = (spark.createDataFrame(some(*x), schema) for x in (("i", 70), ("w", 50)))
+    shuffles, got = [], []
+    for block in (None, 10, 1):  # the last has over 1,024 pairs of blocks
+        plans.clear()
+        met = similarity._tiers(items, window, 0.9, 0.5, True, block=block)
+        shuffles.append(sum(p.count("Exchange ") for p in plans))
+        got.append({(x.a, x.b, x.filter_type) for x in met.groupBy("a").agg(F.min_by(F.struct("b", "filter_type"), F.struct(-F.col("sim"), F.col("b"))).alias("m")).select("a", "m.*").collect()})
+    assert shuffles == [3, 3, 3] and got[0] == got[1] == got[2] and len(got[0]) > 50
