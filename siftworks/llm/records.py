@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import BinaryIO
 
 import numpy as np
@@ -198,7 +199,7 @@ class Encoder:
         return found
 
     def _units(self, raw: list[bytes]) -> list[bytes]:
-        """The ids of texts in lower case that hold no special token."""
+        """The ids of texts in lower case that hold no special token; of no texts, none."""
         data = b" " + b" ".join(raw) + b" " + bytes(32)
         view = np.frombuffer(data, dtype=np.uint8)
         kind = KIND[view[: len(data) - 32]]
@@ -243,9 +244,9 @@ class Encoder:
         upto = np.cumsum(each)
         out = flat[np.repeat(begin[code] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
         # the bytes at which texts end, and so the ids
-        edge = np.cumsum([len(r) + 1 for r in raw])
+        edge = np.cumsum([0, *(len(r) + 1 for r in raw)])
         upto = np.concatenate([[0], upto])[np.searchsorted(start, edge, side="right")] * self.width
-        return [out[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+        return [out[a:b] for a, b in pairwise(upto.tolist())]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of texts; a null text has none. Memory grows with TOGETHER and the longest run without white space, not with the texts."""

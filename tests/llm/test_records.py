@@ -34,6 +34,23 @@ def test_encoder_equals_the_library_on_odd_texts(library, monkeypatch):
     assert list(map(ids, encoder.encode(texts))) == want
 
 
+def test_texts_that_leave_nothing_to_encode_at_the_end(spark, library, monkeypatch, tmp_path):
+    tokenizer, encoder = library
+    full = "a b " * (records.TOGETHER // 4)  # units are found as soon as there are so many bytes, and none wait when the texts end there
+    for texts in ([], ["<|endoftext|> x"] * 2, [full], ["ab", full], [full + "and more"], [full, "<|endoftext|>", None]):
+        assert list(map(ids, encoder.encode(texts))) == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame([(1, full), (2, "<|endoftext|>")], "doc_id long, text string").repartition(2, "doc_id")
+    got = {r.doc_id: r.n_tokens for r in records.token_records(docs, f"file://{tmp_path}/out").collect()}
+    assert got == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in ((1, full), (2, "<|endoftext|>"))}
+    r = random.Random(6)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randrange(12))) for _ in range(60)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for together in (1, 8, 16):
+        monkeypatch.setattr(records, "TOGETHER", together)
+        for n in range(len(texts) + 1):
+            assert list(map(ids, encoder.encode(texts[:n]))) == want[:n]
+
+
 def test_units_that_share_a_mixed_key_are_told_apart(library, monkeypatch):
     tokenizer, encoder = library
     monkeypatch.setattr(records, "MIX", np.zeros(4, dtype=np.uint64))
