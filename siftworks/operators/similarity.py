@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftworks.operators.cut import cut
+from siftworks.operators.cut import carried, cut, drop
 
 BLOCK = 1024
 #: Vectors to which angles are taken; what rounding may add to an angle; pairs of blocks up to which all are multiplied.
@@ -396,12 +396,14 @@ def nearest_topic(items: DataFrame, topics: DataFrame, key: str = "url", vector:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) by least labels that are passed along edges (a, b) and then along the labels' own labels, until none changes."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    label, path = carried(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     for _ in range(rounds):
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near, label.node == near.a).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
         up = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        after = cut(step.join(up, step.root == up.n2).select("node", F.least("root", "r2").alias("root"), "was"))
+        after, new = carried(step.join(up, step.root == up.n2).select("node", F.least("root", "r2").alias("root"), "was"))
+        drop(edges.sparkSession, path)
+        path = new
         if after.where("root <> was").isEmpty():
             return after.select("node", "root")
         label = after.select("node", "root")
@@ -458,7 +460,7 @@ def _rounds(rows: DataFrame, own: DataFrame, most: int) -> DataFrame:
     earlier = own.join(place.select(F.col("url").alias("a"), F.col("pos").alias("pa"), F.col("fetched_at").alias("fa")), "a").join(place.select(F.col("url").alias("b"), F.col("pos").alias("pb"), F.col("fetched_at").alias("fb")), "b")
     earlier = cut(earlier.where("pb < pa").withColumn("takes", F.coalesce(F.col("fa") < F.col("fb"), F.lit(False))))
     none = F.lit(None)
-    now = cut(rows.select("url", "pos", "fetched_at", "state", "slot", "death", none.cast("string").alias("matched"), none.cast("double").alias("sim"), none.cast("string").alias("filter_type")))
+    now, path = carried(rows.select("url", "pos", "fetched_at", "state", "slot", "death", none.cast("string").alias("matched"), none.cast("double").alias("sim"), none.cast("string").alias("filter_type")))
     for _ in range(ROUNDS):
         left = now.where("state IS NULL").select(F.col("url").alias("a"))
         if left.limit(most + 1).count() <= most:
@@ -476,11 +478,13 @@ def _rounds(rows: DataFrame, own: DataFrame, most: int) -> DataFrame:
         j = now.join(born, F.col("url") == F.col("u"), "left").join(dead, F.col("url") == F.col("d"), "left")
         new, lost, by = F.col("u").isNotNull(), F.col("s") == "N", F.col("by")
         pick = lambda name, mine: F.when(by.isNotNull(), by[mine]).when(lost, F.col("m")[name]).otherwise(F.col(name if name != "b" else "matched"))
-        now = cut(j.select(
+        now, after = carried(j.select(
             "url", "pos", "fetched_at", F.when(new, F.col("s")).otherwise(F.col("state")).alias("state"),
             F.when(new, F.when(F.col("s") == "H", F.coalesce(F.when(F.col("t"), F.col("m.slot_b")), F.col("pos")))).otherwise(F.col("slot")).alias("slot"),
             F.when(by.isNotNull(), by["pa"]).otherwise(F.col("death")).alias("death"), pick("b", "a").alias("matched"), pick("sim", "sim").alias("sim"), pick("filter_type", "filter_type").alias("filter_type"),
         ))
+        drop(rows.sparkSession, path)
+        path = after
     return now
 
 
@@ -525,7 +529,7 @@ def greedy_dedup(items: DataFrame, verbatim: float = VERBATIM, overlap: float =
     light = items.select("url", "pos", "fetched_at", "is_roundup", "embedding_vector")
     none = F.lit(None)
     open_ = light.withColumns({"state": none.cast("string"), "slot": none.cast("long")})
-    held, told, at, step = open_.limit(0), [], 0, 1
+    held, path, told, at, step = open_.limit(0), None, [], 0, 1
     while at <= len(ends):
         then = min(at + step, len(ends) + 1)
         part = open_
@@ -536,10 +540,12 @@ def greedy_dedup(items: DataFrame, verbatim: float = VERBATIM, overlap: float =
         whole = part.unionByName(held) if at else part
         own = cut(_tiers(part, whole, verbatim, overlap, False))
         told.append(cut(_passed(whole.select("url", "pos", "fetched_at", "state", "slot", none.cast("long").alias("death")), own, most).withColumn("at", F.lit(at))))
+        old, path = path, None
         if then <= len(ends):
             new = told[-1].select(F.col("url").alias("u"), F.col("kept").alias("k"), F.col("slot").alias("s"))
-            held = cut(whole.join(new, F.col("url") == F.col("u"), "left").where("k IS NULL OR k").select(*light.columns, F.lit("H").alias("state"), F.coalesce("s", "slot", F.col("pos").cast("long")).alias("slot")))
+            held, path = carried(whole.join(new, F.col("url") == F.col("u"), "left").where("k IS NULL OR k").select(*light.columns, F.lit("H").alias("state"), F.coalesce("s", "slot", F.col("pos").cast("long")).alias("slot")))
             step = 2 * step if own.count() <= FEW else max(1, step // 2)
+        drop(items.sparkSession, old)
         at = then
     last = told[0]
     for x in told[1:]:

@@ -294,6 +294,39 @@ def test_greedy_pass_makes_pairs_of_a_part_only(spark, monkeypatch):
     assert len(pairs) == 10 and max(pairs) < 600 and sum(pairs) < 4000  # of 19,900
 
 
+def _digits(df):
+    """Binary digits of the size that Spark estimates for df."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+
+
+def test_estimates_do_not_grow_with_the_parts_of_a_run(spark, monkeypatch):
+    """A checkpoint keeps its plan's estimate, and a join's is a product: carried from part to part, it doubled its digits each time."""
+    sizes, passed = [], similarity._passed
+    monkeypatch.setattr(similarity, "_passed", lambda bare, own, most: sizes.append(_digits(bare)) or passed(bare, own, most))
+    monkeypatch.setattr(similarity, "FEW", 0)
+    r = random.Random(12)
+    items = [(f"u{i:03d}", f"{r.randint(0, 40):03d}", r.random() < 0.2, [r.gauss(0, 1) for _ in range(3)]) for i in range(72)]
+    df = spark.createDataFrame([(u, f, p, v, i) for i, (u, f, p, v) in enumerate(items)], "url string, fetched_at string, is_roundup boolean, embedding_vector array<double>, pos long")
+    got = similarity.greedy_dedup(df, 0.95, 0.8, size=12).collect()
+    assert [x.url for x in sorted((x for x in got if x.kept), key=lambda x: x.slot)] == greedy(items, 0.95, 0.8)
+    assert len(sizes) == 6 and max(sizes) <= sizes[0] + 4
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir() + "/carried-*")
+    before = set(map(str, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)))
+    similarity.greedy_dedup(df, 0.95, 0.8, size=30).count()
+    assert set(map(str, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder))) <= before  # survivors of a part go when the next ones are there
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    path = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(40)], "a string, b string")
+    roots = similarity.components(path)
+    assert _digits(roots) < 64 and {x.root for x in roots.collect()} == {"00"}
+    none = F.lit(None)
+    rows_ = spark.range(12).select(F.format_string("%02d", "id").alias("url"), F.col("id").alias("pos"), F.lit("0").alias("fetched_at"), none.cast("string").alias("state"), none.cast("long").alias("slot"), none.cast("long").alias("death"))
+    own = spark.createDataFrame([(f"{i + 1:02d}", f"{i:02d}", 0.9, "dedup") for i in range(11)], "a string, b string, sim double, filter_type string")
+    done = similarity._rounds(rows_, own, 0)
+    assert _digits(done) < 64 and [x.state for x in done.orderBy("pos").collect()] == ["H", "N"] * 6
+
+
 def _shuffled(df):
     """Whether df's plan shuffles arrays."""
     return any("Exchange" in x and "RoundRobin" in x for x in df._jdf.queryExecution().executedPlan().toString().split("\n"))
